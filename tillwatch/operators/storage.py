@@ -28,15 +28,15 @@ def month_of(ts: Column) -> Column:
     return F.when(month.between(fv.FIRST_MONTH, fv.LAST_MONTH), month).otherwise(F.lit(fv.DEFAULT_MONTH))
 
 
-def to_stored(results: DataFrame, now: Column) -> DataFrame:
-    """Result events as stored rows.
+def to_stored(results: DataFrame, now: Column, keep: tuple[str, ...] = ("batch_seq",)) -> DataFrame:
+    """Result events as stored rows, with the columns in ``keep`` passed on.
 
     Unreadable transaction times become year 1, unreadable decision times ``now``.
     """
     zero = F.lit("0001-01-01 00:00:00").cast("timestamp")
     status = C.status_label(F.col("decision"))
     ts = C.parse_ts(F.col("txn_timestamp"), zero)
-    extra = [c for c in ("batch_seq",) if c in results.columns]
+    extra = [c for c in keep if c in results.columns]
     return results.select(
         "txn_id", "card_hash", "masked_pan", "amount_minor", "currency", "merchant_id",
         C.transaction_type_label(F.col("transaction_type")).alias("transaction_type"),

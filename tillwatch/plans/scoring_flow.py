@@ -61,9 +61,22 @@ def score_transactions(
     ``clock_ms`` is the velocity clock (default: the transaction time). ``answered``
     is false on rows whose scoring call failed. Extra columns of ``txns`` are kept.
     """
-    df = with_rules(fill_absent(txns, TRANSACTIONS), now, rules)
-    clock = F.unix_millis(F.coalesce("event_ts", now)) if clock_ms is None else clock_ms
+    df = fill_absent(txns, TRANSACTIONS)
+    clock = F.unix_millis(F.coalesce(C.parse_ts(F.col("txn_timestamp")), now)) if clock_ms is None else clock_ms
     df = with_velocity(df.withColumn("ms", clock), block_ms)
+    return score_rows(df, merchants, now, answered, overrides, rules)
+
+
+def score_rows(
+    txns: DataFrame,
+    merchants: DataFrame,
+    now: Column,
+    answered: Column | None = None,
+    overrides: dict[str, float] | None = None,
+    rules: list[dict] | None = None,
+) -> DataFrame:
+    """The row-wise part, for batches and streams; absent velocity counts as zero."""
+    df = with_rules(fill_absent(txns, TRANSACTIONS), now, rules)
     df = with_merchant_risk(df, merchants, overrides)
     return with_score(with_features(df), answered)
 
