@@ -43,7 +43,9 @@ def run_to_memory(spark, stream, name, mode="append"):
         stream.writeStream.format("memory").queryName(name).outputMode(mode)
         .option("checkpointLocation", new_table_path(spark, "cp")).trigger(availableNow=True).start()
     )
-    query.awaitTermination(300)
+    if not query.awaitTermination(240):
+        query.stop()
+        raise AssertionError(f"{name} did not finish")
     return spark.table(name)
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed_values as fv
@@ -177,39 +177,38 @@ def _window_values(facts: pd.DataFrame, at: np.ndarray) -> dict[str, np.ndarray]
     return out
 
 
-class CardVelocity(StatefulProcessor):
-    """State: one card's facts of the last hour. It expires two hours after its last change."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.facts = handle.getValueState("facts", _FACTS, ttlDurationMs=2 * fv.HOUR_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        facts = _facts_of(batch)
-        if self.facts.exists():
-            kept = self.facts.get()
-            facts = pd.concat([pd.DataFrame(dict(zip(_FACTS.names, map(list, kept)))), facts], ignore_index=True)
-        facts = _merge_facts(facts)
-        result = {"card_hash": key[0], "txn_id": batch["txn_id"], "ms": batch["ms"]}
-        values = _window_values(facts, batch["ms"].to_numpy(dtype="int64"))
-        for name in VELOCITY_COLUMNS:
-            result[name] = values[name].astype("int64" if name in LONG_COLUMNS else "int32")
-        recent = facts[facts["ms"] > facts["ms"].max() - fv.HOUR_MS - fv.FIVE_MINUTES_MS]
-        self.facts.update(tuple(recent[c].tolist() for c in _FACTS.names))
-        yield pd.DataFrame(result)
-
-    def close(self) -> None:
-        pass
-
-
-def keyed_velocity(stream: DataFrame) -> DataFrame:
-    """(card_hash, txn_id, ms, velocity columns) with state per card."""
+def _card_update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """State: one card's facts of the last hour. It expires when the watermark is two hours on."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    batch = pd.concat(list(rows), ignore_index=True)
+    facts = _facts_of(batch)
+    if state.exists:
+        kept = pd.DataFrame({name: list(values) for name, values in zip(_FACTS.names, state.get)})
+        facts = pd.concat([kept, facts], ignore_index=True)
+    facts = _merge_facts(facts)
+    result = {"card_hash": key[0], "txn_id": batch["txn_id"], "ms": batch["ms"]}
+    values = _window_values(facts, batch["ms"].to_numpy(dtype="int64"))
+    for name in VELOCITY_COLUMNS:
+        result[name] = values[name].astype("int64" if name in LONG_COLUMNS else "int32")
+    recent = facts[facts["ms"] > facts["ms"].max() - fv.HOUR_MS - fv.FIVE_MINUTES_MS]
+    state.update(tuple(recent[name].tolist() for name in _FACTS.names))
+    state.setTimeoutTimestamp(int(facts["ms"].max()) + 2 * fv.HOUR_MS)
+    yield pd.DataFrame(result)
+
+
+def keyed_velocity(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """(card_hash, txn_id, ms, velocity columns) with state per card.
+
+    Rows later than ``lateness`` get no result here; ``VelocityJob`` sets them aside.
+    """
     return (
         stream.select("card_hash", "txn_id", "ms", "amount_minor", "merchant_id", "terminal_id")
+        .withColumn("event_time", F.timestamp_millis("ms"))
+        .withWatermark("event_time", lateness)
         .groupBy("card_hash")
-        .transformWithStateInPandas(
-            statefulProcessor=CardVelocity(), outputStructType=KEYED_OUTPUT, outputMode="Append", timeMode="ProcessingTime"
-        )
+        .applyInPandasWithState(_card_update, KEYED_OUTPUT, _FACTS, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
