@@ -18,6 +18,13 @@ def is_blank(col: Column) -> Column:
     return ~col.rlike(r"(?U)\S")
 
 
+def texts_where(pairs: list[tuple[Column, Column]]) -> Column:
+    """Array of the texts whose condition holds, in order. No lambda, so it compiles."""
+    none = F.array().cast("array<string>")
+    parts = [F.when(condition, F.array(text)).otherwise(none) for condition, text in pairs]
+    return F.concat(*parts) if parts else none
+
+
 # --- card numbers --------------------------------------------------------------
 
 

@@ -92,8 +92,7 @@ def rule_columns(ts: Column, rules: list[dict] | None = None) -> dict[str, Colum
 
 def triggered(ts: Column, rules: list[dict] | None = None) -> Column:
     """Ordered array of the ids that fired."""
-    flags = rule_columns(ts, rules)
-    return F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()]))
+    return C.texts_where([(flag, F.lit(name)) for name, flag in rule_columns(ts, rules).items()])
 
 
 def points(ts: Column, rules: list[dict] | None = None) -> Column:
@@ -118,9 +117,7 @@ def rule_flags(event_ts: Column) -> dict[str, Column]:
 
 def velocity_triggers() -> Column:
     """Velocity rules that fire (value at or above threshold); separate from ``triggered``."""
-    return F.array_compact(
-        F.array(*[F.when(F.col(col) >= limit, F.lit(name)) for name, col, limit, _ in fv.VELOCITY_RULES])
-    )
+    return C.texts_where([(F.col(col) >= limit, F.lit(name)) for name, col, limit, _ in fv.VELOCITY_RULES])
 
 
 def with_rules(txns: DataFrame, now: Column, rules: list[dict] | None = None) -> DataFrame:

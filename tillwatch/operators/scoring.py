@@ -21,26 +21,28 @@ def check_model(model: Model) -> Model:
     return model
 
 
-def contributions(model: Model | None = None) -> list[tuple[str, float, Column]]:
+Contribution = tuple[str, float, Column]
+
+
+def contributions(model: Model | None = None) -> list[Contribution]:
+    """(feature, weight, weighted normalised value) in model order."""
     return [
         (name, weight, C.normalise(F.col(name), method, cap) * F.lit(weight))
         for name, weight, method, cap in check_model(fv.MODEL if model is None else model)
     ]
 
 
-def risk_score(model: Model | None = None) -> Column:
+def risk_score(parts: list[Contribution]) -> Column:
     """round(100 + 900 * weighted sum), within [100, 1000]; terms add up in model order."""
     total = F.lit(0.0)
-    for _, _, part in contributions(model):
+    for _, _, part in parts:
         total = total + part
     score = F.floor(F.lit(100.0) + total * F.lit(900.0) + F.lit(0.5)).cast("int")
     return F.greatest(F.lit(fv.SCORE_MIN), F.least(F.lit(fv.SCORE_MAX), score))
 
 
-def contributing_factors(model: Model | None = None, share: float = fv.FACTOR_SHARE) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(part > F.lit(share * weight), F.lit(name)) for name, weight, part in contributions(model)])
-    )
+def contributing_factors(parts: list[Contribution], share: float = fv.FACTOR_SHARE) -> Column:
+    return C.texts_where([(part > F.lit(share * weight), F.lit(name)) for name, weight, part in parts])
 
 
 def decide(score: Column, approve_below: int = fv.APPROVE_BELOW, decline_above: int = fv.DECLINE_ABOVE) -> Column:
@@ -84,7 +86,6 @@ def with_score(df: DataFrame, answered: Column | None = None, model: Model | Non
     A request without a transaction id is never answered.
     """
     valid = F.col("txn_id") != ""
-    scored = df.withColumn("risk_score", risk_score(model)).withColumn(
-        "contributing_factors", contributing_factors(model)
-    )
+    parts = contributions(model)
+    scored = df.withColumns({"risk_score": risk_score(parts), "contributing_factors": contributing_factors(parts)})
     return with_fallback(scored, valid if answered is None else valid & answered)

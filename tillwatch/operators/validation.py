@@ -53,8 +53,7 @@ def request_checks() -> dict[str, tuple[Column, Column]]:
 
 def with_failures(requests: DataFrame) -> DataFrame:
     """Add ``failures`` (ordered messages) and ``error`` (joined text, NULL if valid)."""
-    failing = F.array_compact(F.array(*[F.when(bad, msg) for bad, msg in request_checks().values()]))
-    df = requests.withColumn("failures", failing)
+    df = requests.withColumn("failures", C.texts_where(list(request_checks().values())))
     return df.withColumn(
         "error",
         F.when(
@@ -79,9 +78,7 @@ def optional_format_failures(df: DataFrame) -> DataFrame:
         (~C.transaction_type_label(F.col("transaction_type")).isin(fv.ALLOWED_TYPES), "transaction_type: not allowed"),
         (~C.channel_label(F.col("channel")).isin(fv.ALLOWED_CHANNELS), "channel: not allowed"),
     ]
-    return df.withColumn(
-        "format_failures", F.array_compact(F.array(*[F.when(bad, F.lit(msg)) for bad, msg in checks]))
-    )
+    return df.withColumn("format_failures", C.texts_where([(bad, F.lit(msg)) for bad, msg in checks]))
 
 
 UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\z"

@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..operators.scoring import decide
 from ..session import use_utc
 from .frames import frame
+from .readers import spread
 
 SECRET = "sample-secret"
 EPOCH_MS = 1704067200000
@@ -26,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per event. ``ms`` is event time, ``vms`` a compressed clock."""
     base = (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events"))
         .withColumns(
             {
                 "ts": F.col("ts").cast("timestamp"),
@@ -100,11 +101,11 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("processed_at", C.format_ts(F.timestamp_millis("processed_ms")))
         .withColumn(
             "triggered_rules",
-            F.array_compact(
-                F.array(
-                    F.when(F.col("channel") == 2, F.lit("CARD_NOT_PRESENT")),
-                    F.when(F.col("currency") == "USD", F.lit("FOREIGN_CURRENCY")),
-                )
+            C.texts_where(
+                [
+                    (F.col("channel") == 2, F.lit("CARD_NOT_PRESENT")),
+                    (F.col("currency") == "USD", F.lit("FOREIGN_CURRENCY")),
+                ]
             ),
         )
     )
