@@ -4,10 +4,9 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from tillwatch.functions import fixed_values as fv
-from tillwatch.operators import dedup, sessions, velocity
+from tillwatch.operators import dedup, joins, sessions, velocity
 
 HOUR = fv.HOUR_MS
 
@@ -147,3 +146,21 @@ def test_sessions_equal_brute_force(spark, block):
     got = sessions.failure_sessions(df, block_ms=block)
     cols = ["dependency", "start_ms", "end_ms", "failures", "opened_ms", "is_episode"]
     assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=repr) == brute_sessions(rows, 30_000, 5)
+
+
+def test_sketched_buckets_are_close(spark):
+    rows = [(f"t{i}", "c", 1_700_000_000_000 + i % 50, 1, f"m{i % 3000}", f"p{i % 40}") for i in range(6000)]
+    row = velocity.bucket_distinct_approx(spark.createDataFrame(rows, SCHEMA)).first()
+    assert abs(row["unique_merchants_5min"] - 3000) <= 3000 * 0.0081 * 4
+    assert abs(row["unique_terminals_5min"] - 40) <= 1
+
+
+def test_copies_do_not_multiply(spark):
+    ids = spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "txn_id string")
+    submitted = spark.createDataFrame([("a", "T1")] * 50 + [("b", "T2")], "txn_id string, txn_timestamp string")
+    results = spark.createDataFrame(
+        [("a", 1, 300, "P1")] * 50 + [("a", 2, 800, "P2")], "txn_id string, decision int, risk_score int, processed_at string"
+    )
+    got = sorted(tuple(r) for r in joins.status_lookup(ids, submitted, results).collect())
+    declined = ("a", "DECLINED", "DECLINE", 800, "T1", "P2")
+    assert got == [declined, declined, ("b", "PENDING", "", 0, "T2", ""), ("z", "NOT_FOUND", "", 0, "", "")]

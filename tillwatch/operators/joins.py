@@ -52,26 +52,27 @@ def with_threshold(txns: DataFrame, thresholds: DataFrame, default: int = fv.HIG
 
 
 def status_lookup(ids: DataFrame, submitted: DataFrame, results: DataFrame) -> DataFrame:
-    """Status of each asked txn_id: decided, PENDING, or NOT_FOUND."""
-    decided = results.select(
-        "txn_id",
-        C.status_label(F.col("decision")).alias("decided_status"),
-        C.label(F.col("decision"), fv.DECISIONS, "").alias("fraud_decision"),
-        F.col("risk_score").alias("decided_score"),
-        F.col("processed_at").alias("decided_at"),
+    """Status of each asked txn_id: decided, PENDING, or NOT_FOUND.
+
+    Repeated submissions and results collapse first, so no id is multiplied; the
+    latest result counts.
+    """
+    known = submitted.groupBy("txn_id").agg(F.min("txn_timestamp").alias("submitted_at"))
+    decided = results.groupBy("txn_id").agg(
+        F.max(F.struct("processed_at", "risk_score", "decision")).alias("result")
     )
-    known = submitted.select("txn_id", F.col("txn_timestamp").alias("submitted_at"))
     joined = ids.join(known, "txn_id", "left").join(decided, "txn_id", "left")
+    decision = F.col("result.decision")
     return joined.select(
         "txn_id",
-        F.when(F.col("decided_status").isNotNull(), F.col("decided_status"))
+        F.when(F.col("result").isNotNull(), C.status_label(decision))
         .when(F.col("submitted_at").isNotNull(), F.lit("PENDING"))
         .otherwise(F.lit("NOT_FOUND"))
         .alias("status"),
-        F.coalesce("fraud_decision", F.lit("")).alias("fraud_decision"),
-        F.coalesce("decided_score", F.lit(0)).alias("risk_score"),
+        C.label(decision, fv.DECISIONS, "").alias("fraud_decision"),
+        F.coalesce("result.risk_score", F.lit(0)).alias("risk_score"),
         F.coalesce("submitted_at", F.lit("")).alias("submitted_at"),
-        F.coalesce("decided_at", F.lit("")).alias("decided_at"),
+        F.coalesce("result.processed_at", F.lit("")).alias("decided_at"),
     )
 
 

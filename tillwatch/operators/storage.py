@@ -8,8 +8,6 @@ running it again gives the same table.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -81,14 +79,17 @@ def merge_rows(existing: DataFrame | None, incoming: DataFrame, now: Column) ->
     return merged.select(*KEY, *[source[c].alias(c) for c in values])
 
 
-def write_table(rows: DataFrame, path: str) -> None:
-    """Write whole months. Large months are split over tasks, small ones share files."""
+def write_table(rows: DataFrame, path: str, overwrite: str = "dynamic") -> None:
+    """Write whole months. Large months are split over tasks, small ones share files.
+
+    ``dynamic`` replaces only the months in ``rows``, ``static`` the whole table.
+    """
     (
         rows.select([f.name for f in STORED.fields])
         .hint("rebalance", "txn_month")
         .sortWithinPartitions("txn_month", "card_hash", "txn_timestamp")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", overwrite)
         .partitionBy("txn_month")
         .parquet(path)
     )
@@ -104,15 +105,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def upsert(spark: SparkSession, path: str, incoming: DataFrame, now: Column) -> None:
-    """Merge ``incoming`` into the table at ``path``, rewriting only the months it touches."""
+    """Merge ``incoming`` into the table at ``path``, rewriting only the months it touches.
+
+    One writer per table: the staged copy next to it is reused by every upsert.
+    """
     months = [row["txn_month"] for row in incoming.select("txn_month").distinct().collect()]
     if not months:
         return
     existing = read_table(spark, path)
     if existing is not None:
         existing = existing.filter(F.col("txn_month").isin(months))
-    staged = f"{path.rstrip('/')}_staged/{uuid.uuid4().hex}"
-    write_table(merge_rows(existing, incoming, now), staged)
+    staged = f"{path.rstrip('/')}_staged"
+    write_table(merge_rows(existing, incoming, now), staged, "static")
     write_table(spark.read.schema(STORED).parquet(staged), path)
 
 

@@ -408,7 +408,9 @@ query("p04_card_hash", f"WITH {_PANS} SELECT event_id, {o.hash_sql('written')} A
 )
 query(
     "p05_verify_hash",
-    f"""WITH {_PANS} SELECT event_id, event_id % 3 = 2 AS tampered FROM pans WHERE event_id % 3 = 2""",
+    f"""WITH {_PANS}, kept AS (SELECT event_id, card_hash,
+      CASE event_id % 3 WHEN 0 THEN card_hash WHEN 1 THEN upper(card_hash) ELSE reverse(card_hash) END AS stored FROM pans)
+    SELECT event_id, stored <> card_hash AS tampered FROM kept WHERE lower(stored) <> card_hash""",
 )(
     lambda spark, sf: sd.transactions(spark, sf)
     .withColumn(
