@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 
 BLOCK_MS = 4 * fv.HOUR_MS
+SKETCH_LG_K = 14
 VELOCITY_COLUMNS = [
     "txn_count_1min", "txn_count_5min", "txn_count_1hr",
     "amount_sum_1min", "amount_sum_1hr",
@@ -120,17 +121,23 @@ def with_velocity(txns: DataFrame, block_ms: int = BLOCK_MS) -> DataFrame:
     )
 
 
-def bucket_distinct_approx(txns: DataFrame, rsd: float = 0.0081) -> DataFrame:
+def sketched_distinct(col: str) -> Column:
+    """Distinct count from an HLL sketch of 2^14 registers (standard error 0.81 %).
+
+    A sketch of a few items holds just those items, so the many cards with little
+    traffic stay small in the shuffle and in streaming state.
+    """
+    return F.hll_sketch_estimate(F.hll_sketch_agg(col, F.lit(SKETCH_LG_K))).cast("int")
+
+
+def bucket_distinct_approx(txns: DataFrame) -> DataFrame:
     """Sketched distinct merchants and terminals per card and 5-minute bucket.
 
     The sketches merge map-side, so a busy card costs one sketch per task.
     """
-    return (
-        txns.groupBy("card_hash", F.expr(f"ms div {fv.FIVE_MINUTES_MS}").alias("bucket"))
-        .agg(
-            F.approx_count_distinct("merchant_id", rsd).cast("int").alias("unique_merchants_5min"),
-            F.approx_count_distinct("terminal_id", rsd).cast("int").alias("unique_terminals_5min"),
-        )
+    return txns.groupBy("card_hash", F.expr(f"ms div {fv.FIVE_MINUTES_MS}").alias("bucket")).agg(
+        sketched_distinct("merchant_id").alias("unique_merchants_5min"),
+        sketched_distinct("terminal_id").alias("unique_terminals_5min"),
     )
 
 

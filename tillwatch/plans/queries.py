@@ -664,7 +664,11 @@ for _i, _col in enumerate(o.VELOCITY_SQL, 1):
     query(f"w{_i:02d}_{_col}", f"WITH {o.TX} SELECT txn_id, {o.VELOCITY_SQL[_col]} AS {_col} FROM tx")(_velocity)
 
 
-@query("x06_bucket_sketch")
+@query(
+    "x06_bucket_sketch",
+    f"""WITH {o.TX} SELECT card_hash, vms // 300000 AS bucket, count(DISTINCT merchant_id)::INT AS unique_merchants_5min,
+    count(DISTINCT terminal_id)::INT AS unique_terminals_5min FROM tx GROUP BY ALL""",
+)
 def x06(spark, sf):
     return velocity.bucket_distinct_approx(vms_transactions(spark, sf))
 

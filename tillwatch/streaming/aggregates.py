@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..operators.scoring import decision_name
+from ..operators.velocity import sketched_distinct
 
 
 def first_requests(requests: DataFrame, ts: str = "ts") -> DataFrame:
@@ -14,14 +15,14 @@ def first_requests(requests: DataFrame, ts: str = "ts") -> DataFrame:
     return requests.withWatermark(ts, "24 hours").dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
-def bucket_distinct(txns: DataFrame, ts: str = "ts", delay: str = "1 hour", rsd: float = 0.0081) -> DataFrame:
+def bucket_distinct(txns: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Sketched distinct merchants and terminals per card and 5-minute bucket."""
     return (
         txns.withWatermark(ts, delay)
         .groupBy("card_hash", F.window(ts, "5 minutes").alias("w"))
         .agg(
-            F.approx_count_distinct("merchant_id", rsd).cast("int").alias("unique_merchants_5min"),
-            F.approx_count_distinct("terminal_id", rsd).cast("int").alias("unique_terminals_5min"),
+            sketched_distinct("merchant_id").alias("unique_merchants_5min"),
+            sketched_distinct("terminal_id").alias("unique_terminals_5min"),
         )
         .select(
             "card_hash",
