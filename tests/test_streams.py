@@ -1,13 +1,13 @@
 """Streams give what the batch operators give."""
 
-import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tillwatch.functions import columns as C
 from tillwatch.functions import fixed_values as fv
-from tillwatch.operators import reports, sessions, storage, velocity
+from tillwatch.operators import dedup, reports, sessions, storage, velocity
 from tillwatch.plans import queries as q
 from tillwatch.plans import scoring_flow as flow
 from tillwatch.schemas import RAW_FRAMES
@@ -16,6 +16,7 @@ from tillwatch.sources import frames, readers
 from tillwatch.sources import sample_data as sd
 from tillwatch.streaming import aggregates, persist
 from tillwatch.streaming import velocity as sv
+from tillwatch.streaming.idempotency import IdempotencyJob
 
 
 def arrive(spark, df, order, parts, name):
@@ -112,13 +113,36 @@ def test_stateless_scoring_equals_batch(spark, sf_dir, txns):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
-def test_stream_dedup(spark):
-    t = dt.datetime(2025, 1, 1)
-    rows = [("a", t, 1), ("a", t + dt.timedelta(hours=1), 2), ("b", t, 3), ("a", t + dt.timedelta(hours=23), 4)]
-    df = spark.createDataFrame(rows, "idempotency_key string, ts timestamp, n int").withColumn("o", F.col("n").cast("double"))
-    path = arrive(spark, df, "o", 4, "dedup")
-    got = run_to_memory(spark, aggregates.first_requests(follow(spark, path, df.schema)), "dedup")
-    assert sorted(r["n"] for r in got.collect()) == [1, 3]
+@pytest.mark.parametrize("fold_limit", [5, 100_000])
+def test_idempotency_job_equals_batch(spark, fold_limit):
+    rnd = random.Random(fold_limit)
+    start = 1_700_000_000_000
+    rows = [
+        ("busy" if rnd.random() < 0.6 else f"k{rnd.randrange(6)}", start + rnd.randrange(5 * 864) * 100_000, f"t{i:04d}")
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, "idempotency_key string, ms long, txn_id string")
+    path = arrive(spark, df, "ms", 3, "requests")
+    folder, checkpoint = new_table_path(spark, "idempotency"), new_table_path(spark, "cp")
+    job = IdempotencyJob(folder, fold_limit=fold_limit)
+    job.start(follow(spark, path, df.schema), checkpoint, availableNow=True).awaitTermination(300)
+    cols = ["txn_id", "original_txn_id", "is_duplicate"]
+    want = sorted(map(tuple, dedup.with_original(df).select(cols).collect()))
+    out = spark.read.parquet(f"{folder}/requests")
+    assert sorted(map(tuple, out.select(cols).collect())) == want
+    last = [r["txn_id"] for r in out.filter("batch_id = 2").select("txn_id").collect()]
+    job(df.filter(F.col("txn_id").isin(last)), 2)  # a replay changes nothing
+    assert sorted(map(tuple, spark.read.parquet(f"{folder}/requests").select(cols).collect())) == want
+
+
+def test_late_request_repeats_the_known_original(spark):
+    folder, t = new_table_path(spark, "idempotency"), 1_700_000_000_000
+    schema = "idempotency_key string, ms long, txn_id string"
+    job = IdempotencyJob(folder)
+    job(spark.createDataFrame([("k", t, "b")], schema), 0)
+    job(spark.createDataFrame([("k", t - 5, "a"), ("k", t + fv.DAY_MS - 1, "c"), ("k", t + fv.DAY_MS, "d")], schema), 1)
+    got = {r["txn_id"]: r["original_txn_id"] for r in spark.read.parquet(f"{folder}/requests").collect()}
+    assert got == {"a": "b", "b": "b", "c": "b", "d": "d"}
 
 
 def test_bucket_stream_equals_batch(spark, txns):

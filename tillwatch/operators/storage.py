@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import columns as C
@@ -95,15 +96,20 @@ def write_table(rows: DataFrame, path: str, overwrite: str = "dynamic") -> None:
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
+    """The table at ``path``, or None before its first write."""
     try:
-        return spark.read.schema(STORED).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
         raise
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    return read_if_present(spark, path, STORED)
+
+
 def upsert(spark: SparkSession, path: str, incoming: DataFrame, now: Column) -> None:
     """Merge ``incoming`` into the table at ``path``, rewriting only the months it touches.
 

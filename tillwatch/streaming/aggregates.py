@@ -10,11 +10,6 @@ from ..operators.scoring import decision_name
 from ..operators.velocity import sketched_distinct
 
 
-def first_requests(requests: DataFrame, ts: str = "ts") -> DataFrame:
-    """Drop repeats of an idempotency key within 24 hours; state expires with the watermark."""
-    return requests.withWatermark(ts, "24 hours").dropDuplicatesWithinWatermark(["idempotency_key"])
-
-
 def bucket_distinct(txns: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Sketched distinct merchants and terminals per card and 5-minute bucket."""
     return (

@@ -12,13 +12,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import fixed_values as fv
-from ..operators.storage import append_changes, to_stored, upsert
+from ..operators.storage import append_changes, read_if_present, to_stored, upsert
 from ..operators.validation import with_constraint_reason
 from ..schemas import FRAUD_RESULTS, STORED, fill_absent
 from ..sources.frames import batch_failure_reason, decode, to_quarantine, triage
+from .batches import put_batch, start_batches
+
+AUDIT = StructType(
+    [StructField("status", StringType()), StructField("units", LongType()), StructField("batch_id", LongType())]
+)
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -40,23 +45,9 @@ class PersistJob:
         self.now = now
         self.attempts = attempts
 
-    def _put(self, df: DataFrame, name: str, batch_id: int) -> None:
-        (
-            df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(f"{self.folder}/{name}")
-        )
-
     def _finished(self, spark: SparkSession, batch_id: int) -> bool:
-        try:
-            audit = spark.read.parquet(f"{self.folder}/audit")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return False
-            raise
-        return not audit.filter(F.col("batch_id") == batch_id).isEmpty()
+        audit = read_if_present(spark, f"{self.folder}/audit", AUDIT)
+        return audit is not None and not audit.filter(F.col("batch_id") == batch_id).isEmpty()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -96,17 +87,12 @@ class PersistJob:
             reason = batch_failure_reason(type(error).__name__, self.attempts)
             bad = batch.withColumn("reason", F.lit(reason)).select(*frame_columns)
         quarantine = to_quarantine(bad, self.now, retries)
-        self._put(quarantine, "quarantine", batch_id)
+        put_batch(quarantine, f"{self.folder}/quarantine", batch_id)
         good_count = good.count() if error is None else 0
         counts = [("success", good_count), ("retry", tried - 1 if error is None else tried), ("dlq", bad.count())]
-        audit = spark.createDataFrame(counts, "status string, units long")
-        self._put(audit.coalesce(1), "audit", batch_id)
+        audit = spark.createDataFrame(counts, StructType(AUDIT.fields[:2]))
+        put_batch(audit.coalesce(1), f"{self.folder}/audit", batch_id)
 
     def start(self, frames: DataFrame, checkpoint: str, **trigger):
         """``frames`` needs partition, offset, key and value."""
-        return (
-            frames.writeStream.foreachBatch(self)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "500 milliseconds"}))
-            .start()
-        )
+        return start_batches(frames, self, checkpoint, trigger)

@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed_values as fv
+from ..operators.storage import read_if_present
 from ..operators.velocity import BLOCK_MS, LONG_COLUMNS, VELOCITY_COLUMNS, velocity_by_ms
+from .batches import put_batch, start_batches
 
 HISTORY = T.StructType(
     [
@@ -39,11 +40,6 @@ HISTORY = T.StructType(
 _NARROW = [f.name for f in HISTORY.fields[:5]]
 
 
-def _replace_partitions(df: DataFrame, path: str, *by: str) -> None:
-    """Partitions written by an earlier attempt of the same batch are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-
-
 class VelocityJob:
     """Per micro-batch: split off late rows, add velocity, write, remember the batch.
 
@@ -67,13 +63,8 @@ class VelocityJob:
         self.block_ms = block_ms
 
     def _history(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        try:
-            table = spark.read.schema(HISTORY).parquet(f"{self.folder}/history")
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-        return table.filter(F.col("batch_id") < batch_id)
+        table = read_if_present(spark, f"{self.folder}/history", HISTORY)
+        return None if table is None else table.filter(F.col("batch_id") < batch_id)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -93,7 +84,7 @@ class VelocityJob:
                 horizon = newest - self.lateness_ms
                 on_time = batch.filter(F.col("ms") >= horizon)
                 late = batch.filter(F.col("ms") < horizon)
-                _replace_partitions(self._tagged(late, batch_id), f"{self.folder}/late", "batch_id")
+                put_batch(late, f"{self.folder}/late", batch_id)
         known = on_time.select(*_NARROW)
         if horizon is not None:
             first_hour = (horizon - fv.HOUR_MS) // fv.HOUR_MS
@@ -102,22 +93,13 @@ class VelocityJob:
         out = on_time.join(vel, ["card_hash", "ms"], "left")
         if self.score is not None:
             out = self.score(out)
-        _replace_partitions(self._tagged(out, batch_id), f"{self.folder}/results", "batch_id")
+        put_batch(out, f"{self.folder}/results", batch_id)
         remembered = on_time.select(*_NARROW, F.expr(f"ms div {fv.HOUR_MS}").alias("hour"))
-        _replace_partitions(self._tagged(remembered, batch_id), f"{self.folder}/history", "hour", "batch_id")
-
-    @staticmethod
-    def _tagged(df: DataFrame, batch_id: int) -> DataFrame:
-        return df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        put_batch(remembered, f"{self.folder}/history", batch_id, "hour")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         """``stream`` needs card_hash, ms, amount_minor, merchant_id and terminal_id."""
-        return (
-            stream.writeStream.foreachBatch(self)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**(trigger or {"processingTime": "500 milliseconds"}))
-            .start()
-        )
+        return start_batches(stream, self, checkpoint, trigger)
 
 
 def late_counts(late: DataFrame) -> DataFrame:
