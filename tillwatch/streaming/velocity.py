@@ -43,6 +43,8 @@ _NARROW = [f.name for f in HISTORY.fields[:5]]
 class VelocityJob:
     """Per micro-batch: split off late rows, add velocity, write, remember the batch.
 
+    Of the history, only the hours its windows reach and the cards it holds are used.
+
     ``folder`` is shared storage; it receives ``results``, ``late`` and ``history``.
     Rows more than ``lateness_ms`` behind the newest earlier row are late: windows
     already reported may have needed them, so they are set aside, not dropped.
@@ -76,19 +78,23 @@ class VelocityJob:
 
     def _run(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
         history = self._history(spark, batch_id)
-        on_time, horizon = batch, None
-        if history is not None:
-            last_hour = history.agg(F.max("hour")).first()[0]
-            if last_hour is not None:
-                newest = history.filter(F.col("hour") == last_hour).agg(F.max("ms")).first()[0]
-                horizon = newest - self.lateness_ms
-                on_time = batch.filter(F.col("ms") >= horizon)
-                late = batch.filter(F.col("ms") < horizon)
-                put_batch(late, f"{self.folder}/late", batch_id)
+        on_time = batch
+        last_hour = None if history is None else history.agg(F.max("hour")).first()[0]
+        if last_hour is not None:
+            newest = history.filter(F.col("hour") == last_hour).agg(F.max("ms")).first()[0]
+            horizon = newest - self.lateness_ms
+            on_time = batch.filter(F.col("ms") >= horizon)
+            put_batch(batch.filter(F.col("ms") < horizon), f"{self.folder}/late", batch_id)
         known = on_time.select(*_NARROW)
-        if horizon is not None:
-            first_hour = (horizon - fv.HOUR_MS) // fv.HOUR_MS
-            known = history.filter(F.col("hour") >= first_hour).select(*_NARROW).unionByName(known)
+        first_ms = known.agg(F.min("ms")).first()[0]
+        if last_hour is not None and first_ms is not None:
+            since = first_ms - fv.HOUR_MS
+            earlier = (
+                history.filter((F.col("hour") >= since // fv.HOUR_MS) & (F.col("ms") > since))
+                .select(*_NARROW)
+                .join(known.select("card_hash").distinct(), "card_hash", "left_semi")
+            )
+            known = earlier.unionByName(known)
         vel = velocity_by_ms(known, self.block_ms)
         out = on_time.join(vel, ["card_hash", "ms"], "left")
         if self.score is not None:
