@@ -12,7 +12,7 @@ from tillwatch.plans import queries as q
 from tillwatch.plans import scoring_flow as flow
 from tillwatch.schemas import RAW_FRAMES
 from tillwatch.session import new_table_path
-from tillwatch.sources import frames, readers
+from tillwatch.sources import frames, readers, sinks
 from tillwatch.sources import sample_data as sd
 from tillwatch.streaming import aggregates, persist
 from tillwatch.streaming import velocity as sv
@@ -235,9 +235,33 @@ def test_failed_batch_goes_to_quarantine(spark, sf_dir):
     ]
 
 
-def test_submit_then_score(spark, sf_dir):
+def test_from_request_to_table(spark, sf_dir):
+    """Submit, score, publish, follow the records as a stream, store; then compare with the direct way."""
     accepted = flow.submit(sd.requests(spark, sf_dir), sd.SECRET)
     scored = flow.score_transactions(accepted, sd.merchants(spark, sf_dir), q.now())
     events = flow.fraud_result_events(scored, C.format_ts(q.now()))
-    assert events.count() == accepted.select("txn_id").distinct().count() > 0
     assert "pan" not in events.columns
+    path, table = new_table_path(spark, "topic"), new_table_path(spark, "table")
+    records = frames.publish(events, schema_id=7).withColumns(
+        {"partition": F.lit(0), "offset": F.monotonically_increasing_id()}
+    )
+    sinks.append_records(records.select("partition", "offset", "key", "value"), path)
+    job = persist.PersistJob(new_table_path(spark, "job"), persist.month_writer(table, q.now()), q.now())
+    job.start(
+        readers.stream_files(spark, path, RAW_FRAMES), new_table_path(spark, "cp"), availableNow=True
+    ).awaitTermination(300)
+    cols = ["txn_id", "card_hash", "masked_pan", "status", "risk_score", "triggered_rules", "txn_month"]
+    direct = storage.to_stored(events, q.now()).select(cols)
+    stored = storage.read_table(spark, table).select(cols)
+    assert stored.count() > 0
+    assert sorted(map(repr, stored.collect())) == sorted(map(repr, direct.collect()))
+
+
+def test_records_stream_to_files(spark, sf_dir):
+    events = flow.fraud_result_events(sd.decided(spark, sf_dir), F.col("processed_at"))
+    source, target = new_table_path(spark, "events"), new_table_path(spark, "records")
+    events.write.parquet(source)
+    stream = frames.publish(readers.stream_files(spark, source, events.schema))
+    sinks.stream_records(stream, target, new_table_path(spark, "cp"), availableNow=True).awaitTermination(300)
+    want = frames.publish(events)
+    assert sorted(map(tuple, spark.read.parquet(target).collect())) == sorted(map(tuple, want.collect()))

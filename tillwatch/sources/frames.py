@@ -61,10 +61,14 @@ def frame(payload: Column, schema_id: int) -> Column:
     return F.concat(F.lit(b"\0" + schema_id.to_bytes(4, "big")), payload.cast("binary"))
 
 
-def publish(results: DataFrame) -> DataFrame:
-    """Results as keyed records; the key is the card so one card stays in one partition."""
-    columns = [F.col(c) for c in results.columns]
-    return results.select(F.col("card_hash").alias("key"), F.to_json(F.struct(*columns)).alias("value"))
+def publish(results: DataFrame, schema_id: int | None = None) -> DataFrame:
+    """Results as keyed records, framed if a schema id is given.
+
+    The key is the card, so one card stays in one topic partition.
+    """
+    payload = F.to_json(F.struct(*[F.col(c) for c in results.columns]))
+    value = payload if schema_id is None else frame(payload, schema_id)
+    return results.select(F.col("card_hash").alias("key"), value.alias("value"))
 
 
 def to_quarantine(bad: DataFrame, failed_at: Column, retry_count: int = 0) -> DataFrame:
