@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # the JVM interprets methods above 8,000 bytes of code; past that, Spark should
+    # run the operators one by one, whose projections it splits into small methods
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -37,9 +40,10 @@ def local_session(cpus: str | int = "*", memory: str = "8g", **extra: str) -> Sp
     return spark
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Results are defined in UTC, whoever made the session."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def prepare(spark: SparkSession) -> None:
+    """Settings the library relies on, whoever made the session: results are defined in UTC."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        spark.conf.set(key, SETTINGS[key])
 
 
 def shared_folder(spark: SparkSession) -> str:

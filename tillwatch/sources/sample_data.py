@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators.scoring import decide
-from ..session import use_utc
+from ..session import prepare
 from .frames import frame
 from .readers import spread
 
@@ -20,7 +20,7 @@ SCHEMA_ID = 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    use_utc(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
