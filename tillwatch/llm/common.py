@@ -27,6 +27,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, keep: list[str]) -> tuple[list[Column], list[Column]]:
+    """(columns to start with, columns to end with): ``keep`` passes through under names of numbers,
+    so that no name of the input meets one that an operator uses on the way."""
+    names = [f"in:{n}" for n in range(len(keep))]
+    start = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)]
+    return start, [F.col(f"`{n}`").alias(c) for c, n in zip(keep, names)]
+
+
 def fraction_of(*parts: Column) -> Column:
     """A reproducible number in [0, 1) from text parts: 32 bits of an MD5."""
     digits = F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fraction_of, written
+from .common import fraction_of, numbered, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Copies are added up as whole numbers of this many parts.
@@ -67,11 +67,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     Result columns replace input columns of the same name. Reruns agree.
     """
     own = ["size", "source_size", "target", "copies"]
-    keep = [c for c in docs.columns if c not in own]
+    start_with, end_with = numbered(docs, [c for c in docs.columns if c not in own])
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     placed = (
-        docs.select(*keep, word_count(F.col("text")).alias("size"), key.alias("_src"), F.xxhash64("text").alias("_tie"))
+        docs.select(
+            *start_with, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_src"), F.xxhash64("text").alias("_tie")
+        )
         .withColumn("_class", _size_class(F.col("size")))
         .withColumn("_bucket", F.conv(F.substring(F.md5(doc), 1, 2), 16, 10).cast("int"))
     )
@@ -103,10 +105,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     met = ranked.join(starts, ["_src", "_class", "_bucket"])
     last = (F.col("_ahead") + F.col("_rank")).cast("decimal(18,0)") * F.col("_each") + F.col("_start")
     crossed = F.expr(f"cast((_last div {UNIT}) - ((_last - _each) div {UNIT}) as bigint)")
-    return met.withColumn("_last", last).select(*keep, "size", "source_size", "target", crossed.alias("copies"))
+    return met.withColumn("_last", last).select(*end_with, "size", "source_size", "target", crossed.alias("copies"))
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    times = F.sequence(F.lit(1), F.col("copies"))
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(times)).drop("_copy")
+    """Each document as often as the mix takes it, numbered by ``copy`` from 1."""
+    kept = [c for c in mixed.columns if c != "copy"]
+    return mixed.filter("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))

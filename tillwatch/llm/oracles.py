@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import licenses
+from .decontamination import WINDOW
 from .licenses import DRIFT, ENOUGH, GAP, K
 from .mixing import UNIT
 
@@ -95,7 +96,40 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 FROM docs LEFT JOIN found USING (r)"""
 
 
+def decontamination_sql(table: str = "documents", select: str = "") -> str:
+    select = select or """doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated"""
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, *,
+         regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '{LETTERS}') AS w FROM {table}
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '{LETTERS}') AS w FROM benchmark
+), sized AS (
+  SELECT *, least(len(w), {WINDOW}) AS size FROM items WHERE len(w) > 0
+), starts AS (
+  SELECT *, unnest(range(len(w) - size + 1)) AS p FROM sized
+), windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[p + 1:p + size], ' ') AS gram FROM starts
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), places AS (
+  SELECT r, size, w, unnest(range(len(w) - size + 1)) AS p FROM docs CROSS JOIN sizes WHERE len(w) >= size
+), grams AS (
+  SELECT r, size, p, array_to_string(w[p + 1:p + size], ' ') AS gram FROM places
+), occurrences AS (
+  SELECT r, p, size, item_id FROM grams JOIN windows USING (size, gram)
+), hit AS (
+  SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(p, p + size)) AS place FROM occurrences) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM occurrences GROUP BY r
+)
+SELECT {select} FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
+
+
 ORACLES = {
     "op3_mixing": mixing_sql(),
     "op4_license_scans": licenses_sql(),
+    "op7_decontamination": decontamination_sql(),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, quality, simhash, token_counts, toxicity
+from . import decontamination, licenses, mixing, quality, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort("found.items"), ",")
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        decontamination.n_hit(F.col("found")).alias("n_hit"),
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(items, 256).alias("items_sha256"),
+        (F.size("found.spans") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -68,4 +82,5 @@ QUERIES = {
     "op4_license_scans": op4_license_scans,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op7_decontamination": op7_decontamination,
 }

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_tiles, written
+from .common import components, in_tiles, numbered, written
 
 SHINGLE, SEED = 3, 42
 MOST_BITS = 2
@@ -209,5 +209,6 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     kept = kept.select(
         F.coalesce(F.col("_first.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("_first.tie").alias("_hash")
     )
-    stays = docs.withColumns(row).join(kept, ["_id", "_hash"], "left_semi")
-    return stays.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    start_with, end_with = numbered(docs, docs.columns)
+    stays = docs.select(*start_with, *[c.alias(n) for n, c in row.items()]).join(kept, ["_id", "_hash"], "left_semi")
+    return stays.dropDuplicates(["_id", "_hash"]).select(*end_with)
