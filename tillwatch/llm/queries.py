@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, quality, simhash, token_counts, toxicity
+from . import decontamination, embeddings, licenses, mixing, quality, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.links(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -83,4 +87,5 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
