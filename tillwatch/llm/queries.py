@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, language_model, licenses, mixing, quality, simhash, token_counts, toxicity
+from . import decontamination, embeddings, html_text, language_model, licenses, mixing, quality, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.links(table(spark, sf_dir, "embeddings"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -96,4 +100,5 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_html_extraction": op10_html_extraction,
 }
