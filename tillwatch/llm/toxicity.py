@@ -28,7 +28,7 @@ BUCKETS = 1 << 17
 GRAMS = range(3, 7)
 DIMENSIONS = 8
 EPOCHS, BATCH, RATE, SCALE = 5, 32, 0.3, 10.0
-#: Buckets in a larger share of the sampled documents than this tell nothing and stay zero.
+#: Buckets in a larger share of the sampled clean documents than this tell nothing and stay zero.
 COMMON = 0.3
 #: Words whose weight a worker remembers; emptied when full.
 REMEMBERED = 300_000
@@ -138,8 +138,8 @@ def fit(
         return SubwordModel(np.zeros(BUCKETS), odds)
     known: dict[str, np.ndarray] = {}
     bags = [_bag(t, known) for t in rows["text"]]
-    seen = np.bincount(np.concatenate([ids for ids, _ in bags]), minlength=BUCKETS)
-    rare = seen <= COMMON * len(bags)
+    clean = [ids for (ids, _), mark in zip(bags, y) if mark == 0]
+    rare = np.bincount(np.concatenate(clean), minlength=BUCKETS) <= COMMON * len(clean)
     weights, base = _train([(ids[rare[ids]], share[rare[ids]]) for ids, share in bags], y, seed)
     weights = np.where(rare, weights, 0.0)
     return SubwordModel(weights, base + odds - float(np.log(y.mean() / (1 - y.mean()))))
