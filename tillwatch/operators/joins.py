@@ -17,37 +17,44 @@ def as_score(col: Column) -> Column:
     return F.when(text.rlike(NUMERIC), text.try_cast("double"))
 
 
-def newest_merchants(merchants: DataFrame, limit: int = fv.MERCHANT_DIM_LIMIT) -> DataFrame:
-    """The ``limit`` most recently updated merchants; this bound is what allows a broadcast."""
+def newest_merchants(merchants: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` most recently updated merchants."""
     return merchants.orderBy(F.desc("updated_at"), "merchant_id").limit(limit)
 
 
+def merchant_scores(merchants: DataFrame, overrides: dict[str, float] | None = None) -> DataFrame:
+    """(merchant_id, stored_risk) of all merchants: the override, else the score updated last."""
+    scores = merchants.groupBy("merchant_id").agg(F.max_by(as_score(F.col("risk_score")), "updated_at").alias("stored_risk"))
+    if not overrides:
+        return scores
+    given = merchants.sparkSession.createDataFrame(list(overrides.items()), "merchant_id string, override double")
+    return scores.join(given, "merchant_id", "full").select(
+        "merchant_id", F.coalesce("override", "stored_risk").alias("stored_risk")
+    )
+
+
 def with_merchant_risk(
     txns: DataFrame, merchants: DataFrame, overrides: dict[str, float] | None = None
 ) -> DataFrame:
     """Add ``merchant_risk``: override, else stored score, else the neutral value.
 
-    ``merchants`` is cut to its newest 100,000 rows, a few megabytes, so it can
-    always be broadcast and a merchant with a third of the rows costs nothing.
+    Any number of merchants. Spark broadcasts the scores when they are small; otherwise both
+    sides are shuffled, and adaptive execution splits the rows of a busy merchant.
     """
-    scores = newest_merchants(merchants).groupBy("merchant_id").agg(
-        F.max_by(as_score(F.col("risk_score")), "updated_at").alias("stored_risk")
-    )
-    joined = txns.join(F.broadcast(scores), "merchant_id", "left")
+    joined = txns.join(merchant_scores(merchants, overrides), "merchant_id", "left")
     risk = F.coalesce(F.col("stored_risk"), F.lit(fv.UNKNOWN_MERCHANT_RISK))
-    for merchant, score in (overrides or {}).items():
-        risk = F.when(F.col("merchant_id") == merchant, F.lit(score)).otherwise(risk)
     return joined.withColumn("merchant_risk", risk).drop("stored_risk")
 
 
 def threshold_table(spark: SparkSession, thresholds: dict[str, int] | None = None) -> DataFrame:
-    rows = list((fv.HIGH_AMOUNT_THRESHOLDS if thresholds is None else thresholds).items())
-    return spark.createDataFrame(rows, "currency string, threshold long")
+    """Currency limits as rows; configured ones are laid over the built-in ones."""
+    limits = {**fv.HIGH_AMOUNT_THRESHOLDS, **(thresholds or {})}
+    return spark.createDataFrame(list(limits.items()), "currency string, threshold long")
 
 
 def with_threshold(txns: DataFrame, thresholds: DataFrame, default: int = fv.HIGH_AMOUNT_DEFAULT) -> DataFrame:
-    """Currency limits joined as a table of a handful of currencies."""
-    joined = txns.join(F.broadcast(thresholds), "currency", "left")
+    """Add ``threshold``: the limit of the row's currency, else ``default``."""
+    joined = txns.join(thresholds, "currency", "left")
     return joined.withColumn("threshold", F.coalesce("threshold", F.lit(default)))
 
 

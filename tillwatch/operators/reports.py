@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -52,23 +52,24 @@ def score_histogram_by_decision(results: DataFrame) -> DataFrame:
 
 
 def _array_rates(results: DataFrame, column: str, names: list[str], label: str) -> DataFrame:
-    """How often each name occurs in an array column; names that never occur count 0."""
-    agg = results.agg(
-        F.count("*").alias("total"),
-        *[F.count(F.when(F.array_contains(column, n), 1)).alias(f"n{i}") for i, n in enumerate(names)],
-    )
-    rows = F.array(
-        *[F.struct(F.lit(n).alias(label), F.col(f"n{i}").alias("triggered")) for i, n in enumerate(names)]
-    )
-    return agg.select(F.inline(rows), "total").withColumn("rate", F.col("triggered") / F.col("total"))
+    """How often each name occurs in an array column. Every name that occurs is counted, and
+    those of ``names`` that never do count 0."""
+    everything = ""  # stands for the row itself, so that one pass counts names and rows
+    seen = F.explode(F.concat(F.array(F.lit(everything)), F.array_distinct(F.coalesce(column, F.array()))))
+    found = results.select(seen.alias(label)).groupBy(label).agg(F.count("*").alias("n"))
+    known = results.sparkSession.createDataFrame([(n,) for n in (*names, everything)], f"{label} string")
+    counted = known.join(found, label, "full").select(label, F.coalesce("n", F.lit(0)).alias("triggered"))
+    total = F.max(F.when(F.col(label) == everything, F.col("triggered"))).over(Window.partitionBy())
+    rates = counted.withColumn("total", total).filter(F.col(label) != everything)
+    return rates.withColumn("rate", F.try_divide("triggered", "total"))
 
 
 def rule_trigger_rates(results: DataFrame, rules: list[str] | None = None) -> DataFrame:
     return _array_rates(results, "triggered_rules", rules or [r["id"] for r in fv.RULES], "rule_id")
 
 
-def factor_counts(results: DataFrame) -> DataFrame:
-    rates = _array_rates(results, "contributing_factors", [f[0] for f in fv.MODEL], "factor")
+def factor_counts(results: DataFrame, factors: list[str] | None = None) -> DataFrame:
+    rates = _array_rates(results, "contributing_factors", factors or [f[0] for f in fv.MODEL], "factor")
     return rates.select("factor", F.col("triggered").alias("transactions"))
 
 
@@ -100,9 +101,21 @@ def quarantine_rate(quarantine: DataFrame, seconds: int = 300) -> DataFrame:
     return per_window(quarantine, C.parse_ts(F.col("dlq_failed_at")), seconds)
 
 
-def quarantine_alerts(quarantine: DataFrame) -> DataFrame:
-    """Two-minute windows in which anything was quarantined."""
-    return quarantine_rate(quarantine, 120).withColumn("alert", F.col("rows_per_second") > 0)
+def quarantine_alerts(quarantine: DataFrame, seconds: int = 120) -> DataFrame:
+    """All windows from the first quarantined row to the last; an alert where anything was quarantined.
+
+    The time grid comes from two aggregates, so quiet windows are rows too.
+    """
+    rate = quarantine_rate(quarantine, seconds)
+    step = seconds * 1000
+    ends = rate.agg(F.min("window_start_ms").alias("first"), F.max("window_start_ms").alias("last")).filter("first IS NOT NULL")
+    grid = ends.select(F.explode(F.sequence("first", "last", F.lit(step).cast("long"))).alias("window_start_ms"))
+    filled = grid.join(rate, "window_start_ms", "left").select(
+        "window_start_ms",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("rows_per_second", F.lit(0.0)).alias("rows_per_second"),
+    )
+    return filled.withColumn("alert", F.col("n_rows") > 0)
 
 
 def write_outcomes(audit: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ DAY_NUMBERS = {
 
 
 def threshold_for(currency: Column, thresholds: dict[str, int]) -> Column:
+    """Limit of a currency: configured limits are laid over the built-in ones."""
+    thresholds = {**fv.HIGH_AMOUNT_THRESHOLDS, **thresholds}
     out = F
     for code, limit in thresholds.items():
         if code != "DEFAULT":
@@ -115,9 +117,32 @@ def rule_flags(event_ts: Column) -> dict[str, Column]:
     }
 
 
-def velocity_triggers() -> Column:
+def velocity_settings(settings: dict[str, dict] | None = None) -> list[tuple[str, str, int, int]]:
+    """Enabled velocity rules as (id, column, threshold, points); ``settings`` by id are laid over the
+    built-in ones: enabled, threshold, score_contribution."""
+    known = {name for name, *_ in fv.VELOCITY_RULES}
+    given = settings or {}
+    if set(given) - known:
+        raise ValueError(f"no such velocity rule: {sorted(set(given) - known)}")
+    rows = [(given.get(name, {}), name, column, limit, pts) for name, column, limit, pts in fv.VELOCITY_RULES]
+    return [
+        (name, column, own.get("threshold", limit), own.get("score_contribution", pts))
+        for own, name, column, limit, pts in rows
+        if own.get("enabled", True)
+    ]
+
+
+def velocity_triggers(settings: dict[str, dict] | None = None) -> Column:
     """Velocity rules that fire (value at or above threshold); separate from ``triggered``."""
-    return C.texts_where([(F.col(col) >= limit, F.lit(name)) for name, col, limit, _ in fv.VELOCITY_RULES])
+    return C.texts_where([(F.col(col) >= limit, F.lit(name)) for name, col, limit, _ in velocity_settings(settings)])
+
+
+def velocity_points(settings: dict[str, dict] | None = None) -> Column:
+    """Sum of the points of the velocity rules that fire (reporting only)."""
+    total = F.lit(0)
+    for _, col, limit, pts in velocity_settings(settings):
+        total = total + F.when(F.col(col) >= limit, F.lit(pts)).otherwise(F.lit(0))
+    return total
 
 
 def with_rules(txns: DataFrame, now: Column, rules: list[dict] | None = None) -> DataFrame:

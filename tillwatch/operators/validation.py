@@ -52,8 +52,14 @@ def request_checks() -> dict[str, tuple[Column, Column]]:
 
 
 def with_failures(requests: DataFrame) -> DataFrame:
-    """Add ``failures`` (ordered messages) and ``error`` (joined text, NULL if valid)."""
-    df = requests.withColumn("failures", C.texts_where(list(request_checks().values())))
+    """Add ``failures`` (ordered messages) and ``error`` (joined text, NULL if valid).
+
+    Where requests carry their time in ``ts``, a missing one is a failure too.
+    """
+    checks = list(request_checks().values())
+    if "ts" in requests.columns:
+        checks.append((F.col("ts").isNull(), F.lit("ts: required")))
+    df = requests.withColumn("failures", C.texts_where(checks))
     return df.withColumn(
         "error",
         F.when(

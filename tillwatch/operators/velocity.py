@@ -140,7 +140,3 @@ def bucket_distinct_approx(txns: DataFrame) -> DataFrame:
         sketched_distinct("terminal_id").alias("unique_terminals_5min"),
     )
 
-
-def cap_members(df: DataFrame) -> DataFrame:
-    """Optional: counts as they read when each window keeps only its newest entries."""
-    return df.withColumns({c: F.least(F.col(c), F.lit(n)) for c, n in fv.VELOCITY_MEMBER_CAPS.items()})

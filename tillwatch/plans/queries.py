@@ -104,19 +104,21 @@ def s03(spark, sf):
     )
 
 
-_NEWEST = f"""WITH {o.MERCHANTS} SELECT merchant_id, risk::DOUBLE AS risk_score, epoch_us(updated_at) // 1000 AS updated_ms
-    FROM mer ORDER BY updated_at DESC, merchant_id LIMIT {fv.MERCHANT_DIM_LIMIT}"""
+_MERCHANT_ROWS = f"""WITH {o.MERCHANTS} SELECT merchant_id, risk::DOUBLE AS risk_score, epoch_us(updated_at) // 1000 AS updated_ms
+    FROM mer"""
 
 
-def _newest(spark, sf, limit=fv.MERCHANT_DIM_LIMIT):
-    return joins.newest_merchants(sd.merchants(spark, sf), limit).select(
+def _merchant_rows(merchants):
+    return merchants.select(
         "merchant_id", F.col("risk_score").cast("double").alias("risk_score"),
         F.unix_millis("updated_at").alias("updated_ms"),
     )
 
 
-query("s04_merchant_dim", _NEWEST)(_newest)
-query("t01_newest_merchants", _NEWEST.replace(str(fv.MERCHANT_DIM_LIMIT), "25"))(lambda spark, sf: _newest(spark, sf, 25))
+query("s04_merchant_dim", _MERCHANT_ROWS)(lambda spark, sf: _merchant_rows(sd.merchants(spark, sf)))
+query("t01_newest_merchants", f"{_MERCHANT_ROWS} ORDER BY updated_at DESC, merchant_id LIMIT 25")(
+    lambda spark, sf: _merchant_rows(joins.newest_merchants(sd.merchants(spark, sf), 25))
+)
 
 
 @query(
@@ -542,13 +544,19 @@ OTHER_RULES = [
     {"id": "NOT_GULF", "enabled": True, "score_contribution": 90,
      "condition": {"type": "currency_not_in", "domestic_currencies": ["OMR", "AED"]}},
 ]
+# configured limits over the built-in ones: only the default and OMR change
+_OTHER_LIMIT = (
+    "CASE currency "
+    + " ".join(f"WHEN '{c}' THEN {20000 if c == 'OMR' else v}" for c, v in fv.HIGH_AMOUNT_THRESHOLDS.items())
+    + " ELSE 90000 END"
+)
 _OTHER = {
-    "BIG": ("amount_minor > CASE WHEN currency = 'OMR' THEN 20000 ELSE 90000 END", 10),
+    "BIG": (f"amount_minor > {_OTHER_LIMIT}", 10),
     "ROUND": ("amount_minor > 5000 AND amount_minor % 1000 = 0", 20),
     "FOOD": ("mcc IN ('5411', '5812')", 30),
     "LATE": ("(hour(ts) >= 22 OR hour(ts) < 3)", 40),
     "SHOP": ("channel = 1", 60),
-    "MONDAY_BIG": ("amount_minor > CASE WHEN currency = 'OMR' THEN 20000 ELSE 90000 END AND dayofweek(ts) = 1", 70),
+    "MONDAY_BIG": (f"amount_minor > {_OTHER_LIMIT} AND dayofweek(ts) = 1", 70),
     "NOT_GULF": ("currency NOT IN ('OMR', 'AED')", 90),
 }
 
@@ -593,6 +601,34 @@ def r14(spark, sf):
     return v.select("txn_id", F.concat_ws(",", rules.velocity_triggers()).alias("velocity_rules"))
 
 
+OTHER_VELOCITY = {
+    "TXN_COUNT_1MIN": {"threshold": 2},
+    "TXN_COUNT_1HR": {"enabled": False},
+    "AMOUNT_SUM_1HR": {"threshold": 5000000, "score_contribution": 7},
+}
+
+
+@query(
+    "r14_velocity_settings",
+    f"""WITH {o.VELOCITY} SELECT txn_id, concat_ws(',', CASE WHEN txn_count_1min >= 2 THEN 'TXN_COUNT_1MIN' END,
+      CASE WHEN txn_count_5min >= 10 THEN 'TXN_COUNT_5MIN' END, CASE WHEN amount_sum_1min >= 100000 THEN 'AMOUNT_SUM_1MIN' END,
+      CASE WHEN amount_sum_1hr >= 5000000 THEN 'AMOUNT_SUM_1HR' END,
+      CASE WHEN unique_merchants_5min >= 3 THEN 'UNIQUE_MERCHANTS_5MIN' END,
+      CASE WHEN unique_terminals_5min >= 4 THEN 'UNIQUE_TERMINALS_5MIN' END) AS velocity_rules,
+    (CASE WHEN txn_count_1min >= 2 THEN 250 ELSE 0 END + CASE WHEN txn_count_5min >= 10 THEN 150 ELSE 0 END
+     + CASE WHEN amount_sum_1min >= 100000 THEN 200 ELSE 0 END + CASE WHEN amount_sum_1hr >= 5000000 THEN 7 ELSE 0 END
+     + CASE WHEN unique_merchants_5min >= 3 THEN 180 ELSE 0 END
+     + CASE WHEN unique_terminals_5min >= 4 THEN 120 ELSE 0 END) AS velocity_points FROM vel""",
+)
+def r14_settings(spark, sf):
+    v = velocity.with_velocity(vms_transactions(spark, sf))
+    return v.select(
+        "txn_id",
+        F.concat_ws(",", rules.velocity_triggers(OTHER_VELOCITY)).alias("velocity_rules"),
+        rules.velocity_points(OTHER_VELOCITY).alias("velocity_points"),
+    )
+
+
 # --- joins -----------------------------------------------------------------------
 
 
@@ -684,16 +720,6 @@ def w08(spark, sf):
     return scored(spark, sf).select("txn_id", *_FEATURE_NAMES)
 
 
-@query(
-    "w09_member_cap",
-    f"WITH {o.VELOCITY} SELECT txn_id, least(txn_count_1min, 50) AS txn_count_1min, least(txn_count_5min, 100) AS txn_count_5min, "
-    "least(txn_count_1hr, 200) AS txn_count_1hr FROM vel",
-)
-def w09(spark, sf):
-    v = velocity.cap_members(velocity.with_velocity(vms_transactions(spark, sf)))
-    return v.select("txn_id", "txn_count_1min", "txn_count_5min", "txn_count_1hr")
-
-
 @query(
     "w11_idempotency",
     f"""WITH RECURSIVE {o.IDEMPOTENCY}
@@ -914,7 +940,10 @@ query("a12_dlq_rate", f"WITH {_QUARANTINE} {window_sql('quar', 'event_ms', 300)}
 )
 query(
     "a12_dlq_alerts",
-    f"WITH {_QUARANTINE}, w AS ({window_sql('quar', 'event_ms', 120)}) SELECT *, rows_per_second > 0 AS alert FROM w",
+    f"""WITH {_QUARANTINE}, w AS ({window_sql('quar', 'event_ms', 120)}),
+    grid AS (SELECT unnest(range(min(window_start_ms), max(window_start_ms) + 1, 120000)) AS window_start_ms FROM w)
+    SELECT window_start_ms, coalesce(n_rows, 0) AS n_rows, coalesce(rows_per_second, 0) AS rows_per_second,
+      coalesce(n_rows, 0) > 0 AS alert FROM grid LEFT JOIN w USING (window_start_ms)""",
 )(lambda spark, sf: reports.quarantine_alerts(quarantined(spark, sf)))
 query(
     "a13_request_rate_audit",

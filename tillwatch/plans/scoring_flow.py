@@ -21,13 +21,15 @@ RESULT_COLUMNS = [
 ]
 
 
-def submit(requests: DataFrame, secret: str, fold_limit: int | None = None) -> DataFrame:
-    """Valid first-time requests as transactions. ``requests`` needs pan, ts and no NULLs."""
-    r = fill_absent(requests, REQUESTS)
-    r = accepted(with_failures(r))
+def submit(requests: DataFrame, secret: str) -> DataFrame:
+    """Valid first-time requests as transactions. ``requests`` needs pan and ts.
+
+    Absent fields count as empty; a request without a time cannot be placed in its 24 hours,
+    so ``with_failures`` rejects it with a reason.
+    """
+    r = accepted(with_failures(fill_absent(requests, REQUESTS)))
     r = r.withColumn("ms", F.unix_millis("ts")).withColumn("txn_id", C.txn_id_for(F.col("idempotency_key"), F.col("ms")))
-    r = first_requests(r) if fold_limit is None else first_requests(r, fold_limit=fold_limit)
-    return to_events(r, secret)
+    return to_events(first_requests(r), secret)
 
 
 def to_events(requests: DataFrame, secret: str) -> DataFrame:

@@ -8,15 +8,6 @@ from pyspark.sql import types as T
 from .. import schemas
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a scan has fewer splits than cores, as with one small file.
-
-    A large table has more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TRANSACTIONS).parquet(path)
 

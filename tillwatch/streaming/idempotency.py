@@ -1,9 +1,12 @@
 """The 24-hour idempotency rule on a stream.
 
-Each micro-batch meets the originals of the last two days, kept as narrow rows
-in a table partitioned by day. A request inside the 24 hours of its key's last
-original repeats it; the rest goes through the batch operator. Requests arriving
-late, before that original, repeat it too: the first to arrive wins.
+The policy: the first request of a key to arrive is its original. A request less than
+24 hours after or before a known original of its key repeats it: the latest original at
+or before it, else the earliest after it. Requests of a micro-batch that repeat nothing
+known are decided among themselves by the batch operator, in order of their times.
+
+Originals are kept as narrow rows in a table partitioned by day; a micro-batch reads
+the days its own times reach and no others.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
-from ..operators.dedup import FOLD_LIMIT, with_original
+from ..operators.dedup import with_original
 from ..operators.storage import read_if_present
 from .batches import put_batch, start_batches
 
@@ -29,14 +32,14 @@ ORIGINS = T.StructType(
 
 
 class IdempotencyJob:
-    """``folder`` receives ``requests`` (all, with original_txn_id and is_duplicate) and
-    ``origins``. Days older than two are never read again and may be deleted by a
-    storage lifecycle rule."""
+    """``folder`` receives ``requests`` (all, with original_txn_id and is_duplicate) and ``origins``.
+
+    Days whose requests can no longer arrive may be deleted by a storage lifecycle rule.
+    """
 
-    def __init__(self, folder: str, ttl_ms: int = fv.DAY_MS, fold_limit: int = FOLD_LIMIT) -> None:
+    def __init__(self, folder: str, ttl_ms: int = fv.DAY_MS) -> None:
         self.folder = folder.rstrip("/")
         self.ttl_ms = ttl_ms
-        self.fold_limit = fold_limit
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -45,26 +48,35 @@ class IdempotencyJob:
         finally:
             batch.unpersist()
 
-    def _run(self, batch: DataFrame, batch_id: int) -> None:
-        first_ms = batch.agg(F.min("ms")).first()[0]
-        if first_ms is None:
-            return
-        fresh, out = batch, None
+    def _known(self, batch: DataFrame, batch_id: int) -> DataFrame | None:
+        """Originals of earlier batches in the days around the batch, by (key, day) of the requests they can meet."""
+        day = F.call_function("div", F.col("ms"), F.lit(self.ttl_ms))
+        days = {row["day"] + k for row in batch.select(day.alias("day")).distinct().collect() if row["day"] is not None for k in (-1, 0, 1)}
         origins = read_if_present(batch.sparkSession, f"{self.folder}/origins", ORIGINS)
-        if origins is not None:
-            latest = (
-                origins.filter((F.col("batch_id") < batch_id) & (F.col("day") >= first_ms // self.ttl_ms - 1))
-                .groupBy("idempotency_key")
-                .agg(F.max(F.struct("origin_ms", "original_txn_id")).alias("last"))
-            )
-            met = batch.join(latest, "idempotency_key", "left")
-            inside = F.coalesce(F.col("ms") < F.col("last.origin_ms") + self.ttl_ms, F.lit(False))
-            out = met.filter(inside).select(
-                *batch.columns, F.col("last.original_txn_id").alias("original_txn_id"), F.lit(True).alias("is_duplicate")
+        if origins is None or not days:
+            return None
+        known = origins.filter(F.col("day").isin(sorted(days)) & (F.col("batch_id") < batch_id))
+        known = known.groupBy("idempotency_key", "origin_ms").agg(F.min("original_txn_id").alias("original_txn_id"))
+        own = F.call_function("div", F.col("origin_ms"), F.lit(self.ttl_ms))
+        return known.withColumn("request_day", F.explode(F.sequence(own - 1, own + 1)))
+
+    def _run(self, batch: DataFrame, batch_id: int) -> None:
+        fresh, repeats = batch, None
+        known = self._known(batch, batch_id)
+        if known is not None:
+            day = F.call_function("div", F.col("ms"), F.lit(self.ttl_ms))
+            stamps = batch.select("idempotency_key", "ms").distinct().withColumn("request_day", day)
+            apart = F.col("ms") - F.col("origin_ms")
+            near = stamps.join(known, ["idempotency_key", "request_day"]).filter(F.abs(apart) < self.ttl_ms)
+            order = F.struct((apart < 0).alias("later"), F.abs(apart).alias("apart"))
+            met = near.groupBy("idempotency_key", "ms").agg(F.min_by("original_txn_id", order).alias("original_txn_id"))
+            decided = batch.join(met, ["idempotency_key", "ms"], "left")
+            repeats = decided.filter("original_txn_id IS NOT NULL").select(
+                *batch.columns, "original_txn_id", F.lit(True).alias("is_duplicate")
             )
-            fresh = met.filter(~inside).select(*batch.columns)
-        decided = with_original(fresh, self.ttl_ms, self.fold_limit)
-        put_batch(decided if out is None else decided.unionByName(out), f"{self.folder}/requests", batch_id)
+            fresh = decided.filter("original_txn_id IS NULL").select(*batch.columns)
+        decided = with_original(fresh, self.ttl_ms)
+        put_batch(decided if repeats is None else decided.unionByName(repeats), f"{self.folder}/requests", batch_id)
         new = (
             decided.filter(~F.col("is_duplicate"))
             .groupBy("idempotency_key", F.col("ms").alias("origin_ms"))
