@@ -63,20 +63,6 @@ def test_empty_upsert(spark, sf_dir, table):
     assert storage.read_table(spark, table) is None
 
 
-def test_changes_merge_on_read_and_fold(spark, sf_dir, table):
-    existing, incoming = q.upsert_sets(spark, sf_dir)
-    changes = new_table_path(spark, "changes")
-    storage.upsert(spark, table, existing, at("2024-02-01"))
-    storage.append_changes(incoming.filter("batch_seq % 2 = 0"), changes, 0)
-    later = incoming.filter("batch_seq % 2 = 1")
-    storage.append_changes(later, changes, 1)
-    storage.append_changes(later, changes, 1)  # a replay
-    expected = content(storage.merge_rows(existing, incoming, q.now()))
-    assert content(storage.current_rows(spark, table, changes, q.now())) == expected
-    storage.fold_changes(spark, table, changes, q.now())
-    assert content(storage.read_table(spark, table)) == expected
-
-
 def test_unreadable_times(spark, sf_dir):
     d = sd.decided(spark, sf_dir).limit(1).withColumns({"txn_timestamp": F.lit("x"), "processed_at": F.lit("x")})
     row = storage.to_stored(d, q.now()).select(
@@ -91,15 +77,23 @@ def test_empty_rules_are_a_list(spark, sf_dir):
 
 
 def test_replay_of_the_quarantine(spark, sf_dir, table):
-    all_frames = sd.raw_frames(spark, sf_dir).withColumn("reason", F.lit(frames.batch_failure_reason("timeout")))
+    failed = q.uuid_frames(spark, sf_dir).withColumn("reason", F.lit(frames.batch_failure_reason("timeout")))
     path = new_table_path(spark, "quarantine")
-    frames.to_quarantine(all_frames, F.timestamp_millis("event_ms"), 3).write.parquet(path)
-    stored = storage.to_stored(sd.decided(spark, sf_dir).filter("event_type = 'purchase'"), q.now())
-    storage.upsert(spark, table, stored, q.now())
+    frames.to_quarantine(failed, F.timestamp_millis("event_ms"), 3).write.parquet(path)
+    decided = q.with_uuids(sd.decided(spark, sf_dir))
+    storage.upsert(spark, table, storage.to_stored(decided.filter("event_type = 'purchase'"), q.now()), q.now())
+    before = storage.read_table(spark, table).count()
     replay.replay(spark, path, table, q.now())
-    readable = sd.decided(spark, sf_dir).filter("event_id % 50 > 2 OR event_type = 'purchase'").count()
-    assert storage.read_table(spark, table).count() == readable
-    assert replay.replay_rows(spark.read.parquet(path), storage.read_table(spark, table), q.now()).isEmpty()
+    good = decided.filter("event_id % 50 > 2 AND event_id % 41 <> 0 AND event_type <> 'purchase'").count()
+    assert storage.read_table(spark, table).count() == before + good
+    left = spark.read.parquet(path)
+    reasons = {r[0]: r[1] for r in left.groupBy("dlq_failure_reason").count().collect()}
+    assert reasons["constraint_violation: txn_id is not a uuid"] == decided.filter("event_id % 50 > 2 AND event_id % 41 = 0").count()
+    assert sum(reasons.values()) == decided.filter("event_id % 50 <= 2 OR event_id % 41 = 0").count()
+    assert [r[0] for r in left.select("dlq_retry_count").distinct().collect()] == ["4"]
+    replay.replay(spark, path, table, q.now())  # nothing new passes
+    assert storage.read_table(spark, table).count() == before + good
+    assert [r[0] for r in spark.read.parquet(path).select("dlq_retry_count").distinct().collect()] == ["5"]
 
 
 def test_read_transactions(spark, sf_dir):

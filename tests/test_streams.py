@@ -98,6 +98,17 @@ def test_late_rows_are_set_aside(spark):
     assert [tuple(r) for r in sv.late_counts(late).collect()] == [(1, 1)]
 
 
+def test_rows_out_of_order_see_everything_in_reach(spark):
+    """Minutes 0, 30, 40, then 120, then 65: the last is within the hour of lateness and counts 30, 40 and itself."""
+    folder, t = new_table_path(spark, "order"), 1_700_000_000_000
+    schema = "txn_id string, card_hash string, ms long, amount_minor long, merchant_id string, terminal_id string"
+    job = sv.VelocityJob(folder)
+    for n, minutes in enumerate([(0, 30, 40), (120,), (65,)]):
+        job(spark.createDataFrame([(f"t{m}", "c", t + m * 60_000, 1, "m", "p") for m in minutes], schema), n)
+    got = {r["txn_id"]: r["txn_count_1hr"] for r in spark.read.parquet(f"{folder}/results").collect()}
+    assert got == {"t0": 1, "t30": 2, "t40": 3, "t120": 1, "t65": 3}
+
+
 def test_stateless_scoring_equals_batch(spark, sf_dir, txns):
     path, df = txns
     cols = ["txn_id", "risk_score", "decision"]
@@ -227,19 +238,15 @@ def result_frames(spark, sf_dir):
     )
 
 
-@pytest.mark.parametrize("kind", ["months", "changes"])
-def test_persist_job(spark, sf_dir, kind):
+def test_persist_job(spark, sf_dir):
     source = result_frames(spark, sf_dir)
     path = arrive(spark, source, "offset", 3, "frames")
-    folder, table, changes = (new_table_path(spark, n) for n in ("job", "table", "changes"))
+    folder, table = (new_table_path(spark, n) for n in ("job", "table"))
     checkpoint = new_table_path(spark, "cp")
-    write = persist.month_writer(table, q.now()) if kind == "months" else persist.change_writer(changes)
-    job = persist.PersistJob(folder, write, q.now())
+    job = persist.PersistJob(folder, persist.month_writer(table, q.now()), q.now())
     for _ in range(2):  # the second run resumes and finds nothing to do
         job.start(follow(spark, path, RAW_FRAMES), checkpoint, availableNow=True).awaitTermination(600)
     job(source.filter("offset < 10"), 0)  # a finished batch again: skipped
-    if kind == "changes":
-        storage.fold_changes(spark, table, changes, q.now())
     n = source.count()
     framed_badly = source.filter("offset % 50 = 0").count()
     no_uuid = source.filter("offset % 50 <> 0 AND offset % 41 = 0").count()
@@ -256,7 +263,7 @@ def test_persist_job(spark, sf_dir, kind):
 
 
 def test_failed_batch_goes_to_quarantine(spark, sf_dir):
-    calls = []
+    calls, waits = [], []
 
     def broken(rows, batch_id):
         calls.append(batch_id)
@@ -264,13 +271,33 @@ def test_failed_batch_goes_to_quarantine(spark, sf_dir):
 
     folder = new_table_path(spark, "job")
     source = result_frames(spark, sf_dir).filter("offset < 60")
-    persist.PersistJob(folder, broken, q.now())(source, 5)
-    assert calls == [5, 5, 5]
+    persist.PersistJob(folder, broken, q.now(), sleep=waits.append)(source, 5)
+    assert calls == [5, 5, 5] and waits == [5.0, 10.0]
     quarantine = spark.read.parquet(f"{folder}/quarantine")
-    assert quarantine.count() == source.count()
-    assert quarantine.select("dlq_failure_reason", "dlq_retry_count").distinct().collect() == [
-        ("db_error after 3 attempts: OSError", "3")
-    ]
+    found = {(r["dlq_failure_reason"], r["dlq_retry_count"]): r["count"] for r in quarantine.groupBy("dlq_failure_reason", "dlq_retry_count").count().collect()}
+    framed_badly = source.filter("offset % 50 = 0").count()
+    no_uuid = source.filter("offset % 50 <> 0 AND offset % 41 = 0").count()
+    assert found == {
+        ("message too short (2 bytes)", "0"): framed_badly,
+        ("constraint_violation: txn_id is not a uuid", "0"): no_uuid,
+        ("db_error after 3 attempts: OSError", "3"): source.count() - framed_badly - no_uuid,
+    }
+
+
+def test_retry_waits_grow_and_stop():
+    waits, tries = [], []
+
+    def third_time(error):
+        tries.append(1)
+        if len(tries) < 3:
+            raise error
+
+    assert persist.with_retry(lambda: third_time(OSError()), sleep=waits.append) == (3, None) and waits == [5.0, 10.0]
+    tries.clear()
+    tried, error = persist.with_retry(lambda: third_time(ValueError()), sleep=waits.append)
+    assert tried == 1 and isinstance(error, ValueError) and len(waits) == 2
+    tried, error = persist.with_retry(lambda: third_time(OSError()) or third_time(OSError()), attempts=1, sleep=waits.append)
+    assert (tried, error) == (1, None) or isinstance(error, OSError)
 
 
 def test_from_request_to_table(spark, sf_dir):

@@ -168,7 +168,12 @@ FIRST_MONTH = "2025-01"
 LAST_MONTH = "2026-12"
 DEFAULT_MONTH = "default"
 RESULT_TOPIC = "fraud_results"
+QUARANTINE_TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+# write attempts; seconds before the second, growth, and the longest wait
 MAX_ATTEMPTS = 3
+RETRY_DELAY = 5.0
+RETRY_GROWTH = 2.0
+RETRY_LONGEST = 10.0
 
 # --- fixed values: histogram buckets -----------------------------------------
 

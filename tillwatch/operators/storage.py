@@ -106,6 +106,17 @@ def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataF
         raise
 
 
+def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of ``paths`` that exist, asked one by one, so no parent folder is listed."""
+    configuration = spark._jsc.hadoopConfiguration()
+    found = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(configuration).exists(place):
+            found.append(path)
+    return found
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return read_if_present(spark, path, STORED)
 
@@ -115,6 +126,14 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, now: Column) ->
 
     One writer per table: the staged copy next to it is reused by every upsert.
     """
+    incoming = incoming.persist()
+    try:
+        _replace_months(spark, path, incoming, now)
+    finally:
+        incoming.unpersist()
+
+
+def _replace_months(spark: SparkSession, path: str, incoming: DataFrame, now: Column) -> None:
     months = [row["txn_month"] for row in incoming.select("txn_month").distinct().collect()]
     if not months:
         return
@@ -125,37 +144,3 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, now: Column) ->
     write_table(merge_rows(existing, incoming, now), staged, "static")
     write_table(spark.read.schema(STORED).parquet(staged), path)
 
-
-# --- many small batches ----------------------------------------------------------
-#
-# Rewriting a month for every micro-batch does not scale, so a stream appends its
-# batches to a change table and readers merge on read; `fold_changes` moves them
-# into the month table from time to time.
-
-
-def append_changes(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Append one batch; writing the same batch again replaces it."""
-    numbered = rows if "batch_seq" in rows.columns else rows.withColumn("batch_seq", F.lit(0).cast("long"))
-    (
-        numbered.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
-
-
-def read_changes(spark: SparkSession, path: str) -> DataFrame:
-    """Appended rows with ``batch_seq`` ordered over all batches."""
-    changes = spark.read.parquet(path)
-    order = F.col("batch_id").cast("long") * F.lit(1 << 40) + F.col("batch_seq")
-    return changes.withColumn("batch_seq", order).drop("batch_id")
-
-
-def current_rows(spark: SparkSession, table: str, changes: str, now: Column) -> DataFrame:
-    """The table as it reads with all appended changes merged in."""
-    return merge_rows(read_table(spark, table), read_changes(spark, changes), now)
-
-
-def fold_changes(spark: SparkSession, table: str, changes: str, now: Column) -> None:
-    upsert(spark, table, read_changes(spark, changes), now)

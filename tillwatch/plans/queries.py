@@ -275,25 +275,52 @@ def s09(spark, sf):
     return quarantined(spark, sf).withColumns({"key": F.col("key").cast("string"), "value": F.lower(F.hex("value"))})
 
 
+def with_uuids(rows):
+    """Ids as the service assigns them, one row in 41 excepted."""
+    return rows.withColumn(
+        "txn_id", F.when(F.expr("event_id % 41 = 0"), F.col("txn_id")).otherwise(C.txn_id_for(F.col("txn_id"), F.col("event_ms")))
+    )
+
+
+def uuid_frames(spark, sf):
+    return sd.raw_frames(spark, sf, with_uuids)
+
+
+UUID_SQL = """CASE WHEN event_id % 41 = 0 THEN txn_id ELSE regexp_replace(sha256(txn_id || '|' || event_ms),
+    '^(.{8})(.{4}).(.{3}).(.{3})(.{12}).*$', '\\1-\\2-4\\3-a\\4-\\5') END"""
+
+
 # every frame was quarantined after failed writes; purchases had been stored before
 def replayable(spark, sf):
-    all_frames = sd.raw_frames(spark, sf).withColumn("reason", F.lit(frames.batch_failure_reason("timeout")))
+    all_frames = uuid_frames(spark, sf).withColumn("reason", F.lit(frames.batch_failure_reason("timeout")))
     quarantine = frames.to_quarantine(all_frames, F.timestamp_millis("event_ms"), fv.MAX_ATTEMPTS)
-    before = storage.to_stored(sd.decided(spark, sf).filter("event_type = 'purchase'"), now())
-    return replay.replay_rows(quarantine, before, now())
+    before = storage.to_stored(with_uuids(sd.decided(spark, sf)).filter("event_type = 'purchase'"), now())
+    return quarantine, before
 
 
-_REPLAY = f"""WITH {o.FRAMES} SELECT txn_id, txn_timestamp, risk_score, {_STATUS} AS status,
-    '["' || event_type || '"]' AS triggered_rules FROM decoded WHERE reason IS NULL AND event_type <> 'purchase'"""
+_REPLAY = f"""WITH {o.FRAMES} SELECT {UUID_SQL} AS txn_id, txn_timestamp, risk_score, {_STATUS} AS status,
+    '["' || event_type || '"]' AS triggered_rules FROM decoded
+    WHERE reason IS NULL AND event_id % 41 <> 0 AND event_type <> 'purchase'"""
 
 
 @query("s10_dlq_replay", _REPLAY)
 def s10(spark, sf):
-    return replayable(spark, sf).select(
+    return replay.replay_rows(*replayable(spark, sf), now()).select(
         "txn_id", C.format_ts(F.col("txn_timestamp")).alias("txn_timestamp"), "risk_score", "status", "triggered_rules"
     )
 
 
+@query(
+    "s10_dlq_rejects",
+    f"""WITH {o.FRAMES} SELECT event_id::VARCHAR AS dlq_original_offset,
+    coalesce(reason, 'constraint_violation: txn_id is not a uuid') AS dlq_failure_reason, '4' AS dlq_retry_count
+    FROM decoded WHERE reason IS NOT NULL OR event_id % 41 = 0""",
+)
+def s10_rejects(spark, sf):
+    quarantine, _ = replayable(spark, sf)
+    return replay.still_rejected(quarantine, now()).select("dlq_original_offset", "dlq_failure_reason", "dlq_retry_count")
+
+
 # --- validation and projections --------------------------------------------------
 
 _V_IDS = {name: f"v{i:02d}_{name}" for i, name in enumerate(o.CHECK_SQL, 1)}

@@ -81,7 +81,7 @@ def to_quarantine(bad: DataFrame, failed_at: Column, retry_count: int = 0) -> Da
         F.col("offset").cast("string").alias("dlq_original_offset"),
         F.col("reason").alias("dlq_failure_reason"),
         F.lit(str(retry_count)).alias("dlq_retry_count"),
-        F.date_format(failed_at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("dlq_failed_at"),
+        F.date_format(failed_at, fv.QUARANTINE_TIME).alias("dlq_failed_at"),
     )
 
 

@@ -5,20 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..operators.joins import not_stored
 from ..operators.storage import read_table, to_stored, upsert
-from ..schemas import FRAUD_RESULTS
-from .frames import decode, readable, triage
+from ..operators.validation import with_constraint_reason
+from ..schemas import FRAUD_RESULTS, STORED, fill_absent
+from .frames import decode, triage
+
+QUARANTINE_COLUMNS = [
+    "key", "value", "dlq_original_topic", "dlq_original_partition", "dlq_original_offset", "dlq_failure_reason",
+    "dlq_retry_count", "dlq_failed_at",
+]
+_KEPT = tuple(c for c in QUARANTINE_COLUMNS if c != "dlq_failure_reason")
+
+
+def checked_rows(quarantine: DataFrame, now: Column) -> DataFrame:
+    """Quarantined records as stored rows with ``reason``: what still keeps them out, or NULL.
+
+    The same checks as on the way in: frame, payload, absent values, constraints.
+    """
+    decoded = decode(triage(quarantine), FRAUD_RESULTS)
+    fields = [F.col(f"event.{f.name}").alias(f.name) for f in FRAUD_RESULTS.fields]
+    events = decoded.select(*_KEPT, F.col("reason").alias("unread"), *fields)
+    rows = with_constraint_reason(to_stored(fill_absent(events, FRAUD_RESULTS), now, (*_KEPT, "unread")))
+    return rows.withColumn("reason", F.coalesce("unread", "reason")).drop("unread")
 
 
 def replay_rows(quarantine: DataFrame, stored: DataFrame | None, now: Column) -> DataFrame:
-    """Quarantined records that can be read and are not in the table yet."""
-    frames = quarantine.select("key", "value")
-    results = readable(decode(triage(frames), FRAUD_RESULTS), FRAUD_RESULTS)
-    rows = to_stored(results, now)
+    """Quarantined records that pass all checks and are not in the table yet."""
+    rows = checked_rows(quarantine, now).filter("reason IS NULL").select([f.name for f in STORED.fields])
     return rows if stored is None else not_stored(rows, stored)
 
 
+def still_rejected(quarantine: DataFrame, now: Column) -> DataFrame:
+    """Records that fail again, with the reason found now and a higher retry count."""
+    rows = checked_rows(quarantine, now).filter("reason IS NOT NULL")
+    return rows.withColumns(
+        {
+            "dlq_failure_reason": F.col("reason"),
+            "dlq_retry_count": (F.coalesce(F.col("dlq_retry_count").try_cast("int"), F.lit(0)) + 1).cast("string"),
+            "dlq_failed_at": F.date_format(now, fv.QUARANTINE_TIME),
+        }
+    ).select(QUARANTINE_COLUMNS)
+
+
 def replay(spark: SparkSession, quarantine_path: str, table: str, now: Column) -> None:
-    rows = replay_rows(spark.read.parquet(quarantine_path), read_table(spark, table), now)
+    """Store what passes now; the quarantine keeps the rest.
+
+    The new quarantine is written beside the old one before it replaces it, and storing the
+    same rows again changes nothing, so a replay that is cut off can be run again.
+    """
+    quarantine = spark.read.parquet(quarantine_path)
+    rows = replay_rows(quarantine, read_table(spark, table), now)
     upsert(spark, table, rows.withColumn("batch_seq", F.lit(0).cast("long")), now)
+    staged = f"{quarantine_path.rstrip('/')}_staged"
+    still_rejected(quarantine, now).write.mode("overwrite").parquet(staged)
+    spark.read.parquet(staged).write.mode("overwrite").parquet(quarantine_path)

@@ -5,6 +5,8 @@ Everything is integer arithmetic or text, so any engine derives the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,9 +112,9 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_frames(spark: SparkSession, sf_dir: str, change: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Framed result records; some are cut, carry a wrong first byte, or hold broken JSON."""
-    d = decided(spark, sf_dir)
+    d = change(decided(spark, sf_dir))
     payload = F.expr(
         """concat('{"txn_id":"', txn_id, '","txn_timestamp":"', txn_timestamp, '","card_hash":"', card_hash,
         '","amount_minor":', amount_minor, ',"currency":"', currency, '","decision":', decision,

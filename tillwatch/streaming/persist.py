@@ -1,21 +1,24 @@
 """Result records to the stored table, batch by batch.
 
-Rows that cannot be decoded or that break a constraint go to the quarantine and
-the rest carries on. A batch that cannot be written after all attempts goes to
-the quarantine as a whole. The audit table records each finished batch, so a
-batch replayed after a restart is skipped or writes the same rows again.
+Rows that cannot be decoded or that break a constraint go to the quarantine with their
+own reason, and the rest carries on. A write that fails is tried again after growing
+waits, unless trying again cannot help; rows that still cannot be written go to the
+quarantine too. The audit table records each finished batch, so a batch replayed after
+a restart is skipped or writes the same rows again.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed_values as fv
-from ..operators.storage import append_changes, read_if_present, to_stored, upsert
+from ..operators.storage import read_if_present, to_stored, upsert
 from ..operators.validation import with_constraint_reason
 from ..schemas import FRAUD_RESULTS, STORED, fill_absent
 from ..sources.frames import batch_failure_reason, decode, to_quarantine, triage
@@ -33,21 +36,53 @@ def month_writer(table: str, now: Column) -> Writer:
     return lambda rows, batch_id: upsert(rows.sparkSession, table, rows, now)
 
 
-def change_writer(changes: str) -> Writer:
-    """Append each batch to the change table; cost follows the batch, not the month."""
-    return lambda rows, batch_id: append_changes(rows, changes, batch_id)
+#: Errors of the data or of the program: the same write would fail again.
+NOT_RETRYABLE = (AnalysisException, ValueError, TypeError, KeyError)
+
+
+def may_pass_later(error: Exception) -> bool:
+    return not isinstance(error, NOT_RETRYABLE)
+
+
+def with_retry(
+    write: Callable[[], None],
+    attempts: int = fv.MAX_ATTEMPTS,
+    retryable: Callable[[Exception], bool] = may_pass_later,
+    sleep: Callable[[float], None] = time.sleep,
+) -> tuple[int, Exception | None]:
+    """(attempts made, last error or None). Waits grow up to a longest one."""
+    delay = fv.RETRY_DELAY
+    for tried in range(1, attempts + 1):
+        try:
+            write()
+            return tried, None
+        except Exception as error:  # noqa: BLE001 - any write failure sends the rows to quarantine
+            if tried == attempts or not retryable(error):
+                return tried, error
+        sleep(delay)
+        delay = min(delay * fv.RETRY_GROWTH, fv.RETRY_LONGEST)
+    return attempts, None
 
 
 class PersistJob:
-    def __init__(self, folder: str, write: Writer, now: Column, attempts: int = fv.MAX_ATTEMPTS) -> None:
+    def __init__(
+        self,
+        folder: str,
+        write: Writer,
+        now: Column,
+        attempts: int = fv.MAX_ATTEMPTS,
+        sleep: Callable[[float], None] = time.sleep,
+    ) -> None:
         self.folder = folder.rstrip("/")
         self.write = write
         self.now = now
         self.attempts = attempts
+        self.sleep = sleep
 
     def _finished(self, spark: SparkSession, batch_id: int) -> bool:
-        audit = read_if_present(spark, f"{self.folder}/audit", AUDIT)
-        return audit is not None and not audit.filter(F.col("batch_id") == batch_id).isEmpty()
+        """Looks at this batch's folder only, however many batches there were."""
+        audit = read_if_present(spark, f"{self.folder}/audit/batch_id={batch_id}", AUDIT)
+        return audit is not None and not audit.isEmpty()
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -72,24 +107,16 @@ class PersistJob:
         bad = decoded.filter("reason IS NOT NULL").select(*frame_columns).unionByName(
             rows.filter("reason IS NOT NULL").select(*frame_columns)
         )
-        tried, error = 0, None
-        while tried < self.attempts:
-            tried += 1
-            try:
-                self.write(good, batch_id)
-                error = None
-                break
-            except Exception as failure:  # noqa: BLE001 - any write failure sends the batch to quarantine
-                error = failure
-        retries = 0
+        tried, error = with_retry(lambda: self.write(good, batch_id), self.attempts, sleep=self.sleep)
+        quarantine, refused = to_quarantine(bad, self.now), bad.count()
+        good_count = good.count()
         if error is not None:
-            retries = self.attempts
-            reason = batch_failure_reason(type(error).__name__, self.attempts)
-            bad = batch.withColumn("reason", F.lit(reason)).select(*frame_columns)
-        quarantine = to_quarantine(bad, self.now, retries)
+            reason = batch_failure_reason(type(error).__name__, tried)
+            unwritten = rows.filter("reason IS NULL").withColumn("reason", F.lit(reason)).select(*frame_columns)
+            quarantine = quarantine.unionByName(to_quarantine(unwritten, self.now, tried))
+            good_count, refused = 0, refused + good_count
         put_batch(quarantine, f"{self.folder}/quarantine", batch_id)
-        good_count = good.count() if error is None else 0
-        counts = [("success", good_count), ("retry", tried - 1 if error is None else tried), ("dlq", bad.count())]
+        counts = [("success", good_count), ("retry", tried - 1 if error is None else tried), ("dlq", refused)]
         audit = spark.createDataFrame(counts, StructType(AUDIT.fields[:2]))
         put_batch(audit.coalesce(1), f"{self.folder}/audit", batch_id)
 

@@ -1,29 +1,24 @@
 """Velocity on a stream.
 
-``VelocityJob`` runs the batch operator on each micro-batch together with the
-last hour of history, kept as narrow rows in a table partitioned by hour. A card
-with a third of the traffic is spread exactly as in batch, and nothing has to
-fit in one task's state.
-
-``keyed_velocity`` keeps the same facts as state per card, for lower latency. It
-gathers one card's rows of one micro-batch in one task, so use it where no card
-dominates and bound the micro-batch at the source.
+``VelocityJob`` runs the batch operator on each micro-batch together with the last hour
+of history, kept as narrow rows in a table partitioned by hour. A card with a third of
+the traffic is spread exactly as in batch, and nothing has to fit in one task's state.
+
+A row's velocity counts the rows that had arrived with or before its micro-batch. Rows
+that arrive in order of time, in any order within a micro-batch, get what the batch
+operator gives; a row that arrives in a later micro-batch than rows after it sees all of
+them that its windows reach, and does not change what was already reported for them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed_values as fv
-from ..operators.storage import read_if_present
-from ..operators.velocity import BLOCK_MS, LONG_COLUMNS, VELOCITY_COLUMNS, velocity_by_ms
+from ..operators.storage import existing_paths, read_if_present
+from ..operators.velocity import BLOCK_MS, velocity_by_ms
 from .batches import put_batch, start_batches
 
 HISTORY = T.StructType(
@@ -63,10 +58,24 @@ class VelocityJob:
         self.score = score
         self.lateness_ms = lateness_ms
         self.block_ms = block_ms
-
-    def _history(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        table = read_if_present(spark, f"{self.folder}/history", HISTORY)
-        return None if table is None else table.filter(F.col("batch_id") < batch_id)
+        self._seen: tuple[int, int | None] | None = None
+
+    def _newest(self, spark: SparkSession, batch_id: int) -> int | None:
+        """Newest time of earlier batches: remembered, or looked up once after a restart."""
+        if self._seen is None or self._seen[0] != batch_id - 1:
+            table = read_if_present(spark, f"{self.folder}/history", HISTORY)
+            found = None if table is None else table.filter(F.col("batch_id") < batch_id).agg(F.max("ms")).first()[0]
+            self._seen = (batch_id - 1, found)
+        return self._seen[1]
+
+    def _history(self, spark: SparkSession, batch_id: int, since: int, until: int) -> DataFrame | None:
+        """Rows of earlier batches in (since, until]; opens the folders of those hours only."""
+        hours = range(since // fv.HOUR_MS, until // fv.HOUR_MS + 1)
+        paths = existing_paths(spark, [f"{self.folder}/history/hour={h}" for h in hours])
+        if not paths:
+            return None
+        table = spark.read.schema(HISTORY).option("basePath", f"{self.folder}/history").parquet(*paths)
+        return table.filter((F.col("batch_id") < batch_id) & (F.col("ms") > since) & (F.col("ms") <= until))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -77,24 +86,19 @@ class VelocityJob:
             batch.unpersist()
 
     def _run(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
-        history = self._history(spark, batch_id)
+        newest = self._newest(spark, batch_id)
         on_time = batch
-        last_hour = None if history is None else history.agg(F.max("hour")).first()[0]
-        if last_hour is not None:
-            newest = history.filter(F.col("hour") == last_hour).agg(F.max("ms")).first()[0]
+        if newest is not None:
             horizon = newest - self.lateness_ms
             on_time = batch.filter(F.col("ms") >= horizon)
             put_batch(batch.filter(F.col("ms") < horizon), f"{self.folder}/late", batch_id)
         known = on_time.select(*_NARROW)
-        first_ms = known.agg(F.min("ms")).first()[0]
-        if last_hour is not None and first_ms is not None:
-            since = first_ms - fv.HOUR_MS
-            earlier = (
-                history.filter((F.col("hour") >= since // fv.HOUR_MS) & (F.col("ms") > since))
-                .select(*_NARROW)
-                .join(known.select("card_hash").distinct(), "card_hash", "left_semi")
-            )
-            known = earlier.unionByName(known)
+        first_ms, last_ms = known.agg(F.min("ms"), F.max("ms")).first()
+        if newest is not None and first_ms is not None:
+            earlier = self._history(spark, batch_id, first_ms - fv.HOUR_MS, last_ms)
+            if earlier is not None:
+                cards = known.select("card_hash").distinct()
+                known = earlier.select(*_NARROW).join(cards, "card_hash", "left_semi").unionByName(known)
         vel = velocity_by_ms(known, self.block_ms)
         out = on_time.join(vel, ["card_hash", "ms"], "left")
         if self.score is not None:
@@ -102,6 +106,7 @@ class VelocityJob:
         put_batch(out, f"{self.folder}/results", batch_id)
         remembered = on_time.select(*_NARROW, F.expr(f"ms div {fv.HOUR_MS}").alias("hour"))
         put_batch(remembered, f"{self.folder}/history", batch_id, "hour")
+        self._seen = (batch_id, max((x for x in (newest, last_ms) if x is not None), default=None))
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         """``stream`` needs card_hash, ms, amount_minor, merchant_id and terminal_id."""
@@ -112,94 +117,6 @@ def late_counts(late: DataFrame) -> DataFrame:
     return late.groupBy("batch_id").agg(F.count("*").alias("late_rows"))
 
 
-# --- keyed state -------------------------------------------------------------------
-
-KEYED_OUTPUT = T.StructType(
-    [T.StructField("card_hash", T.StringType()), T.StructField("txn_id", T.StringType()), T.StructField("ms", T.LongType())]
-    + [T.StructField(c, T.LongType() if c in LONG_COLUMNS else T.IntegerType()) for c in VELOCITY_COLUMNS]
-)
-_FACTS = T.StructType(
-    [
-        T.StructField("kind", T.ArrayType(T.IntegerType())),
-        T.StructField("item", T.ArrayType(T.StringType())),
-        T.StructField("ms", T.ArrayType(T.LongType())),
-        T.StructField("n", T.ArrayType(T.LongType())),
-        T.StructField("amount", T.ArrayType(T.LongType())),
-    ]
-)
-
-
-def _facts_of(rows: pd.DataFrame) -> pd.DataFrame:
-    zero = np.zeros(len(rows), dtype="int64")
-    parts = [pd.DataFrame({"kind": 0, "item": "", "ms": rows["ms"], "n": zero + 1, "amount": rows["amount_minor"]})]
-    for kind, column in ((1, "merchant_id"), (2, "terminal_id")):
-        parts.append(pd.DataFrame({"kind": kind, "item": rows[column], "ms": rows["ms"], "n": zero, "amount": zero}))
-    return pd.concat(parts, ignore_index=True)
-
-
-def _merge_facts(facts: pd.DataFrame) -> pd.DataFrame:
-    """One fact per millisecond, and per first sighting of an item in its bucket."""
-    slot = np.where(facts["kind"] == 0, facts["ms"], facts["ms"] // fv.FIVE_MINUTES_MS)
-    merged = facts.assign(slot=slot).groupby(["kind", "item", "slot"], as_index=False, sort=False)
-    return merged.agg({"ms": "min", "n": "sum", "amount": "sum"}).sort_values("ms", kind="stable")
-
-
-def _window_values(facts: pd.DataFrame, at: np.ndarray) -> dict[str, np.ndarray]:
-    """Velocity at each time in ``at``: differences of running sums."""
-    rows = facts[facts["kind"] == 0]
-    times = rows["ms"].to_numpy()
-    out = {}
-    for name, column, width in (
-        ("txn_count_1min", "n", fv.MINUTE_MS),
-        ("txn_count_5min", "n", fv.FIVE_MINUTES_MS),
-        ("txn_count_1hr", "n", fv.HOUR_MS),
-        ("amount_sum_1min", "amount", fv.MINUTE_MS),
-        ("amount_sum_1hr", "amount", fv.HOUR_MS),
-    ):
-        sums = np.concatenate([[0], np.cumsum(rows[column].to_numpy(dtype="int64"))])
-        out[name] = sums[np.searchsorted(times, at, "right")] - sums[np.searchsorted(times, at - width, "right")]
-    bucket_start = at // fv.FIVE_MINUTES_MS * fv.FIVE_MINUTES_MS
-    for name, kind in (("unique_merchants_5min", 1), ("unique_terminals_5min", 2)):
-        seen = facts.loc[facts["kind"] == kind, "ms"].to_numpy()
-        out[name] = np.searchsorted(seen, at, "right") - np.searchsorted(seen, bucket_start, "left")
-    return out
-
-
-def _card_update(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: one card's facts of the last hour. It expires when the watermark is two hours on."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    batch = pd.concat(list(rows), ignore_index=True)
-    facts = _facts_of(batch)
-    if state.exists:
-        kept = pd.DataFrame({name: list(values) for name, values in zip(_FACTS.names, state.get)})
-        facts = pd.concat([kept, facts], ignore_index=True)
-    facts = _merge_facts(facts)
-    result = {"card_hash": key[0], "txn_id": batch["txn_id"], "ms": batch["ms"]}
-    values = _window_values(facts, batch["ms"].to_numpy(dtype="int64"))
-    for name in VELOCITY_COLUMNS:
-        result[name] = values[name].astype("int64" if name in LONG_COLUMNS else "int32")
-    recent = facts[facts["ms"] > facts["ms"].max() - fv.HOUR_MS - fv.FIVE_MINUTES_MS]
-    state.update(tuple(recent[name].tolist() for name in _FACTS.names))
-    state.setTimeoutTimestamp(int(facts["ms"].max()) + 2 * fv.HOUR_MS)
-    yield pd.DataFrame(result)
-
-
-def keyed_velocity(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """(card_hash, txn_id, ms, velocity columns) with state per card.
-
-    Rows later than ``lateness`` get no result here; ``VelocityJob`` sets them aside.
-    """
-    return (
-        stream.select("card_hash", "txn_id", "ms", "amount_minor", "merchant_id", "terminal_id")
-        .withColumn("event_time", F.timestamp_millis("ms"))
-        .withWatermark("event_time", lateness)
-        .groupBy("card_hash")
-        .applyInPandasWithState(_card_update, KEYED_OUTPUT, _FACTS, "append", GroupStateTimeout.EventTimeTimeout)
-    )
-
-
 def scorer(merchants: DataFrame, now: Column, **options):
     """Scoring step for ``VelocityJob``."""
     from ..plans.scoring_flow import score_rows
