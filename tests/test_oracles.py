@@ -4,7 +4,7 @@ import oracle
 import pytest
 
 from __spark_entry__ import entry
-from tillwatch.plans.queries import ORACLES, QUERIES
+from tillwatch.plans.catalog import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")

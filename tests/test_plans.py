@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.operators import dedup, storage
 from tillwatch.plans import queries as q
-from tillwatch.plans.queries import QUERIES
+from tillwatch.plans.catalog import QUERIES
 
 
 def plan_of(df):

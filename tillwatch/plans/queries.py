@@ -220,7 +220,7 @@ def merged_rows(spark, sf):
     return storage.merge_rows(existing, incoming, now())
 
 
-def _merge_view(df):
+def merge_view(df):
     return df.select(
         "txn_id", C.format_ts(F.col("txn_timestamp")).alias("txn_timestamp"), "currency", "risk_score", "status",
         F.unix_millis("created_at").alias("created_ms"), F.unix_millis("updated_at").alias("updated_ms"),
@@ -230,7 +230,7 @@ def _merge_view(df):
 query(
     "s08_upsert",
     f"WITH {_MERGED} SELECT txn_id, txn_timestamp, currency, risk_score, {_STATUS} AS status, created_ms, updated_ms FROM merged",
-)(lambda spark, sf: _merge_view(merged_rows(spark, sf)))
+)(lambda spark, sf: merge_view(merged_rows(spark, sf)))
 
 query(
     "u01_existing_and_incoming",
@@ -249,7 +249,7 @@ query(
     arg_max(risk_score, seq) AS risk_score FROM writes WHERE seq >= 0 GROUP BY ALL)
     SELECT txn_id, txn_timestamp, currency, risk_score, 1709251200000 AS updated_ms FROM batch""",
 )(
-    lambda spark, sf: _merge_view(storage.merge_rows(None, upsert_sets(spark, sf)[1], now())).select(
+    lambda spark, sf: merge_view(storage.merge_rows(None, upsert_sets(spark, sf)[1], now())).select(
         "txn_id", "txn_timestamp", "currency", "risk_score", "updated_ms"
     )
 )
@@ -914,36 +914,6 @@ query("a07_throughput", f"WITH {o.TX} {window_sql('tx', 'vms', 60)}")(
 )
 
 
-def write_audit(spark, sf):
-    """Batches of 500 offsets: unreadable frames are quarantined, the third attempt
-    of every third batch fails as a whole."""
-    df = frames.decode(frames.triage(sd.raw_frames(spark, sf)), FRAUD_RESULTS)
-    per_batch = df.groupBy(F.expr("offset div 500").alias("batch_id")).agg(
-        F.count(F.when(F.col("reason").isNull(), 1)).alias("good"), F.count("reason").alias("bad")
-    )
-    failed = F.col("batch_id") % 3 == 2
-    return per_batch.select(
-        "batch_id",
-        F.inline(
-            F.array(
-                F.struct(F.lit("success").alias("status"), F.when(failed, F.lit(0)).otherwise(F.col("good")).alias("units")),
-                F.struct(F.lit("retry").alias("status"), F.when(failed, F.lit(3)).otherwise(F.col("batch_id") % 3).alias("units")),
-                F.struct(F.lit("dlq").alias("status"), F.when(failed, F.col("good") + F.col("bad")).otherwise(F.col("bad")).alias("units")),
-            )
-        ),
-    )
-
-
-query(
-    "a08_write_outcomes",
-    f"""WITH {o.FRAMES}, b AS (SELECT event_id // 500 AS batch_id, count(CASE WHEN reason IS NULL THEN 1 END) AS good,
-      count(reason) AS bad FROM decoded GROUP BY ALL)
-    SELECT 'success' AS status, sum(CASE WHEN batch_id % 3 = 2 THEN 0 ELSE good END)::BIGINT AS units FROM b
-    UNION ALL SELECT 'retry', sum(CASE WHEN batch_id % 3 = 2 THEN 3 ELSE batch_id % 3 END)::BIGINT FROM b
-    UNION ALL SELECT 'dlq', sum(CASE WHEN batch_id % 3 = 2 THEN good + bad ELSE bad END)::BIGINT FROM b""",
-)(lambda spark, sf: reports.write_outcomes(write_audit(spark, sf)))
-
-
 @query(
     "a09_batch_size_histogram",
     f"""WITH {o.FRAMES}, b AS (SELECT event_id // 500 AS batch_id, count(*) AS n FROM decoded WHERE reason IS NULL GROUP BY ALL)
