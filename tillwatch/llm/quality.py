@@ -4,7 +4,8 @@ Two zstandard dictionaries are built, from good and from bad labelled text. A te
 is cut into pieces, each compressed with both; how much shorter the good dictionary
 makes it, per byte of text, is the difference, and a logistic curve fitted on labelled
 texts that went into neither dictionary turns it into a score. Short pieces keep the
-text itself from becoming the better dictionary.
+text itself from becoming the better dictionary. A short text says little, so every
+text counts some bytes of the usual difference besides its own.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SAMPLE, CHARS = 2000, 8000
 PIECE = 512
 DICTIONARY = 16_384
 LEVEL = 3
+#: Bytes of the usual difference that every text has besides its own.
+USUAL = 100
 
 
 def _pieces(text: str | None) -> list[bytes]:
@@ -48,9 +51,10 @@ class CompressionModel:
     bad: bytes
     slope: float = 0.0
     base: float = 0.0
+    usual: float = 0.0
 
     def differences(self, texts) -> np.ndarray:
-        """(bad size - good size) / text size of each text; 0 for empty ones."""
+        """(bad size - good size) / text size of each text, drawn towards the usual one when short."""
         packers = [
             zstandard.ZstdCompressor(
                 level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None,
@@ -62,7 +66,7 @@ class CompressionModel:
         for text in texts:
             pieces = _pieces(text)
             sizes = [sum([len(packer.compress(p)) for p in pieces]) for packer in packers]
-            out.append((sizes[0] - sizes[1]) / max(1, sum(map(len, pieces))))
+            out.append((sizes[0] - sizes[1] + self.usual * USUAL) / (sum(map(len, pieces)) + USUAL))
         return np.asarray(out, dtype="float64")
 
     def scores(self, texts) -> np.ndarray:
@@ -100,13 +104,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     rest = pd.concat([part[0, False], part[1, False]])
     y = rest["label"].to_numpy(dtype="float64")
     share = np.where(y == 1, rate / y.sum(), (1 - rate) / (1 - y).sum()) * len(y)
+    usual = float(np.average(model.differences(rest["text"]), weights=share))
+    model = CompressionModel(model.good, model.bad, usual=usual)
     slope, base = _logistic(model.differences(rest["text"]), y, share)
-    return CompressionModel(model.good, model.bad, float(slope), float(base))
+    return CompressionModel(model.good, model.bad, float(slope), float(base), usual)
 
 
 def score(text: Column, model: CompressionModel) -> Column:
     """Probability that ``text`` is good: from its whole text alone. Null and empty texts get the
-    score of difference 0; rows are independent, so ties, repeats and other columns do not matter."""
+    score of the usual difference; rows are independent, so ties, repeats and other columns do not matter."""
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -1,7 +1,8 @@
 """Toxicity from subword bags.
 
 A word is the mean of the vectors of its character n-grams, a text the mean of its
-words; a linear softmax on top decides. Vectors and softmax are trained together in
+words and of a few empty ones, which keep one odd word from deciding a short text; a
+linear softmax on top decides. Vectors and softmax are trained together in
 numpy. A misspelled word never seen shares most n-grams with the word it came from.
 
 The model is linear in the word vectors, so scoring needs one number per n-gram
@@ -30,6 +31,8 @@ DIMENSIONS = 8
 EPOCHS, BATCH, RATE, SCALE = 5, 32, 0.3, 10.0
 #: Buckets in a larger share of the sampled clean documents than this tell nothing and stay zero.
 COMMON = 0.3
+#: Empty words that every text has besides its own.
+EMPTY = 20
 #: Words whose weight a worker remembers; emptied when full.
 REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -57,7 +60,7 @@ def _bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarra
         if name not in known:
             known[name] = np.asarray(buckets(name), dtype="int32")
     lists = [known[name] for name in names]
-    each = np.concatenate([np.full(len(b), n / len(b) / len(found)) for b, n in zip(lists, counts)])
+    each = np.concatenate([np.full(len(b), n / len(b) / (len(found) + EMPTY)) for b, n in zip(lists, counts)])
     ids, inverse = np.unique(np.concatenate(lists), return_inverse=True)
     return ids.astype("int32"), np.bincount(inverse, each).astype("float32")
 
@@ -83,7 +86,7 @@ class SubwordModel:
 
     def log_odds(self, text: str | None) -> float:
         found = words(text)
-        return self.base + (sum(map(self._weight, found)) / len(found) if found else 0.0)
+        return self.base + sum(map(self._weight, found)) / (len(found) + EMPTY)
 
     def scores(self, texts) -> np.ndarray:
         odds = np.clip([self.log_odds(t) for t in texts], -60, 60)
