@@ -30,7 +30,7 @@ BLOCK = 8
 #: Coordinates of a block that the grid divides.
 GRID = 2
 #: Members of one slice of a busy cell, and candidate pairs verified together.
-SLICE, PAIRS = 512, 1 << 15
+SLICE, PAIRS = 2048, 1 << 15
 #: Room for rounding, as a share of the budget; candidates are verified exactly.
 SLACK = 1e-6
 
