@@ -12,7 +12,7 @@ bucket: the weight its vector adds to the toxic side.
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,6 +35,7 @@ COMMON = 0.3
 EMPTY = 20
 #: Words whose weight a worker remembers; emptied when full.
 REMEMBERED = 300_000
+_FACTOR = np.uint64(0xD1342543DE82EF95)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -42,27 +43,41 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def buckets(word: str) -> list[int]:
-    """Buckets of the word itself and of its character n-grams, with marks at both ends."""
-    marked = f"<{word}>"
-    grams = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-    grams.add(marked)
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(grams)]
+def buckets(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, which word each belongs to) of the words themselves and of their n-grams, with marks at both ends.
 
-
-def _bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    N-grams are of UTF-8 bytes, one per letter in most Latin words, hashed for all words together.
+    """
+    marked = [f"<{w}>".encode("utf-8", "surrogatepass") for w in names]
+    sizes = np.array([len(m) for m in marked])
+    letters = np.frombuffer(b"".join(marked), dtype="u1").astype("uint64") + np.uint64(1)
+    owner = np.repeat(np.arange(len(marked)), sizes)
+    ends = np.cumsum(sizes)
+    place = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
+    powers = _FACTOR ** np.arange(int(sizes.max(initial=1)), dtype="uint64")
+    found, owners = [np.add.reduceat(letters * powers[place], ends - sizes)], [np.arange(len(marked))]
+    rolled = letters
+    for n in range(2, max(GRAMS) + 1):
+        rolled = rolled[:-1] * _FACTOR + letters[n - 1 :]
+        if n in GRAMS:
+            inside = owner[: len(rolled)] == owner[n - 1 :]
+            found.append(rolled[inside] + np.uint64(n << 56))
+            owners.append(owner[: len(rolled)][inside])
+    mixed = np.concatenate(found)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype("int64"), np.concatenate(owners)
+
+
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and the weight of each in the text's mean vector."""
-    found = words(text)
-    if not found:
+    counts = Counter(words(text))
+    if not counts:
         return np.zeros(0, "int32"), np.zeros(0, "float32")
-    names, counts = np.unique(np.asarray(found, dtype=object), return_counts=True)
-    for name in names:
-        if name not in known:
-            known[name] = np.asarray(buckets(name), dtype="int32")
-    lists = [known[name] for name in names]
-    each = np.concatenate([np.full(len(b), n / len(b) / (len(found) + EMPTY)) for b, n in zip(lists, counts)])
-    ids, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-    return ids.astype("int32"), np.bincount(inverse, each).astype("float32")
+    ids, owner = buckets(list(counts))
+    times = np.fromiter(counts.values(), dtype="float64")
+    each = times / np.bincount(owner) / (times.sum() + EMPTY)
+    used, inverse = np.unique(ids, return_inverse=True)
+    return used.astype("int32"), np.bincount(inverse, each[owner]).astype("float32")
 
 
 @dataclass
@@ -76,17 +91,20 @@ class SubwordModel:
     def __getstate__(self):
         return {"weights": self.weights, "base": self.base, "_known": {}}
 
-    def _weight(self, word: str) -> float:
-        value = self._known.get(word)
-        if value is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            value = self._known[word] = float(self.weights[buckets(word)].mean())
-        return value
+    def _learn(self, names: set[str]) -> None:
+        """Remember the weights of new words: the mean over their buckets."""
+        if len(self._known) + len(names) > REMEMBERED:
+            self._known.clear()
+        ids, owner = buckets(list(names))
+        means = np.bincount(owner, self.weights[ids]) / np.bincount(owner)
+        self._known.update(zip(names, means.tolist()))
 
     def log_odds(self, text: str | None) -> float:
         found = words(text)
-        return self.base + sum(map(self._weight, found)) / (len(found) + EMPTY)
+        new = {w for w in found if w not in self._known}
+        if new:
+            self._learn(new if len(self._known) + len(new) <= REMEMBERED else set(found))
+        return self.base + sum(map(self._known.__getitem__, found)) / (len(found) + EMPTY)
 
     def scores(self, texts) -> np.ndarray:
         odds = np.clip([self.log_odds(t) for t in texts], -60, 60)
@@ -139,8 +157,7 @@ def fit(
     y = rows["label"].to_numpy(dtype="int64")
     if len(set(y)) < 2:
         return SubwordModel(np.zeros(BUCKETS), odds)
-    known: dict[str, np.ndarray] = {}
-    bags = [_bag(t, known) for t in rows["text"]]
+    bags = [_bag(t) for t in rows["text"]]
     clean = [ids for (ids, _), mark in zip(bags, y) if mark == 0]
     rare = np.bincount(np.concatenate(clean), minlength=BUCKETS) <= COMMON * len(clean)
     weights, base = _train([(ids[rare[ids]], share[rare[ids]]) for ids, share in bags], y, seed)
