@@ -128,8 +128,30 @@ WITH docs AS (
 SELECT {select} FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)"""
 
 
+EMBEDDINGS_SQL = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e)
+  WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+), walk AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings
+  UNION
+  SELECT links.b, walk.root FROM walk JOIN links ON links.a = walk.node
+), roots AS (
+  SELECT node, min(root) AS component_id FROM walk GROUP BY node
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id"""
+
+
 ORACLES = {
     "op3_mixing": mixing_sql(),
     "op4_license_scans": licenses_sql(),
     "op7_decontamination": decontamination_sql(),
+    "op9_embedding_dedup": EMBEDDINGS_SQL,
 }
