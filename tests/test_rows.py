@@ -121,7 +121,7 @@ def test_decision_bands(spark, score, name):
 def test_model_check():
     with pytest.raises(ValueError, match="at least one"):
         scoring.check_model([])
-    with pytest.raises(ValueError, match="exceeds 1.0"):
+    with pytest.raises(ValueError, match="more than 1"):
         scoring.check_model(fv.MODEL + [("extra", 0.01, "binary", None)])
     assert scoring.check_model(fv.MODEL)
 

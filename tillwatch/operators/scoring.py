@@ -14,10 +14,10 @@ Model = list[tuple[str, float, str, float | None]]
 
 def check_model(model: Model) -> Model:
     if not model:
-        raise ValueError("scoring: at least one feature must be configured")
+        raise ValueError("a scoring model needs at least one feature")
     total = sum(weight for _, weight, _, _ in model)
     if total > 1.0 + 1e-9:
-        raise ValueError(f"scoring: sum of feature weights {total:.4f} exceeds 1.0")
+        raise ValueError(f"the feature weights add up to {total:.4f}, more than 1")
     return model
 
 
@@ -87,5 +87,8 @@ def with_score(df: DataFrame, answered: Column | None = None, model: Model | Non
     """
     valid = F.col("txn_id") != ""
     parts = contributions(model)
-    scored = df.withColumns({"risk_score": risk_score(parts), "contributing_factors": contributing_factors(parts)})
-    return with_fallback(scored, valid if answered is None else valid & answered)
+    # every term is computed once, into an array that score and factors read
+    df = df.withColumn("_terms", F.array(*[part for _, _, part in parts]))
+    once = [(name, weight, F.col("_terms")[i]) for i, (name, weight, _) in enumerate(parts)]
+    scored = df.withColumns({"risk_score": risk_score(once), "contributing_factors": contributing_factors(once)})
+    return with_fallback(scored.drop("_terms"), valid if answered is None else valid & answered)
