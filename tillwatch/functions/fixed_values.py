@@ -140,6 +140,19 @@ AMOUNT_MIN = 1
 AMOUNT_MAX = 999999999999
 TERMINAL_ID_MAX = 16
 MERCHANT_ID_MAX = 20
+# what a failed check says; currency is followed by the value in quotes
+CHECK_TEXTS = {
+    "idempotency_key": "idempotency_key: required",
+    "card_hash": "card_hash: required",
+    "pan_last4": "pan_last4: must be exactly 4 digits",
+    "amount": "amount_minor: must be 1–999999999999",
+    "currency": "currency: unsupported value ",
+    "transaction_type": "transaction_type: required",
+    "channel": "channel: required",
+    "mcc": "mcc: does not match pattern ^[0-9]{4}$",
+    "terminal_id": "terminal_id: exceeds max length 16",
+    "merchant_id": "merchant_id: exceeds max length 20",
+}
 ALLOWED_TYPES = ["sales", "refund", "void", "auth"]
 ALLOWED_CHANNELS = ["pos", "pg", "atm", "moto"]
 REQUESTS_PER_SECOND = 100
@@ -168,6 +181,7 @@ FIRST_MONTH = "2025-01"
 LAST_MONTH = "2026-12"
 DEFAULT_MONTH = "default"
 RESULT_TOPIC = "fraud_results"
+BATCH_FAILURE = "db_error after {attempts} attempts: {error}"
 QUARANTINE_TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 # write attempts; seconds before the second, growth, and the longest wait
 MAX_ATTEMPTS = 3

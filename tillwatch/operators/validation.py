@@ -22,33 +22,21 @@ def _quoted(col: Column) -> Column:
 def request_checks() -> dict[str, tuple[Column, Column]]:
     """Check name -> (fails when, message). The order is the reporting order."""
     c = F.col
-    return {
-        "idempotency_key": (C.is_blank(c("idempotency_key")), F.lit("idempotency_key: required")),
-        "card_hash": (C.is_blank(c("card_hash")), F.lit("card_hash: required")),
-        "pan_last4": (~c("pan_last4").rlike(FOUR_DIGITS), F.lit("pan_last4: must be exactly 4 digits")),
-        "amount": (
-            ~c("amount_minor").between(fv.AMOUNT_MIN, fv.AMOUNT_MAX),
-            F.lit(f"amount_minor: must be {fv.AMOUNT_MIN}–{fv.AMOUNT_MAX}"),
-        ),
-        "currency": (
-            ~F.upper("currency").isin(fv.SUPPORTED_CURRENCIES),
-            F.concat(F.lit("currency: unsupported value "), _quoted(c("currency"))),
-        ),
-        "transaction_type": (c("transaction_type") == 0, F.lit("transaction_type: required")),
-        "channel": (c("channel") == 0, F.lit("channel: required")),
-        "mcc": (
-            (c("mcc") != "") & ~c("mcc").rlike(FOUR_DIGITS),
-            F.lit("mcc: does not match pattern ^[0-9]{4}$"),
-        ),
-        "terminal_id": (
-            F.octet_length("terminal_id") > fv.TERMINAL_ID_MAX,
-            F.lit(f"terminal_id: exceeds max length {fv.TERMINAL_ID_MAX}"),
-        ),
-        "merchant_id": (
-            F.octet_length("merchant_id") > fv.MERCHANT_ID_MAX,
-            F.lit(f"merchant_id: exceeds max length {fv.MERCHANT_ID_MAX}"),
-        ),
+    fails = {
+        "idempotency_key": C.is_blank(c("idempotency_key")),
+        "card_hash": C.is_blank(c("card_hash")),
+        "pan_last4": ~c("pan_last4").rlike(FOUR_DIGITS),
+        "amount": ~c("amount_minor").between(fv.AMOUNT_MIN, fv.AMOUNT_MAX),
+        "currency": ~F.upper("currency").isin(fv.SUPPORTED_CURRENCIES),
+        "transaction_type": c("transaction_type") == 0,
+        "channel": c("channel") == 0,
+        "mcc": (c("mcc") != "") & ~c("mcc").rlike(FOUR_DIGITS),
+        "terminal_id": F.octet_length("terminal_id") > fv.TERMINAL_ID_MAX,
+        "merchant_id": F.octet_length("merchant_id") > fv.MERCHANT_ID_MAX,
     }
+    texts = {name: F.lit(text) for name, text in fv.CHECK_TEXTS.items()}
+    texts["currency"] = F.concat(texts["currency"], _quoted(c("currency")))
+    return {name: (bad, texts[name]) for name, bad in fails.items()}
 
 
 def with_failures(requests: DataFrame) -> DataFrame:

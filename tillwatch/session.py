@@ -51,7 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
     one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tillwatch-")
         spark.conf.set("spark.checkpoint.dir", folder)

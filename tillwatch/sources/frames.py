@@ -86,4 +86,4 @@ def to_quarantine(bad: DataFrame, failed_at: Column, retry_count: int = 0) -> Da
 
 
 def batch_failure_reason(error: str, attempts: int = fv.MAX_ATTEMPTS) -> str:
-    return f"db_error after {attempts} attempts: {error}"
+    return fv.BATCH_FAILURE.format(attempts=attempts, error=error)
