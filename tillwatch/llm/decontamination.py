@@ -27,7 +27,7 @@ WINDOW = 10
 #: Benchmark words searched together; a larger benchmark is searched in several slices.
 SLICE_WORDS = 2_000_000
 #: Words of a shard: documents are added until it is full.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_000_000
 #: Every so many words of a run, the place of its suffix is kept.
 SAMPLED = 8
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
