@@ -13,7 +13,7 @@ A task passes on a spanning forest of the links it found, not all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -172,12 +172,12 @@ def linked(values: DataFrame) -> DataFrame:
     return rows.mapInPandas(_links, "a long, b long")
 
 
-def classes(values: DataFrame) -> DataFrame:
+def classes(values: DataFrame, links: Callable[[DataFrame], DataFrame] = linked) -> DataFrame:
     """(fp, component_id, _first) from ``values`` (doc_id, fp, tie): for every fingerprint the smallest
     doc_id reachable over links, and doc_id with ``tie`` of the document that stands for all."""
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least")
     distinct = written(values.groupBy("fp").agg(least), "values")
-    roots = components(linked(distinct.select("fp")), "links").withColumnRenamed("node", "fp")
+    roots = components(links(distinct.select("fp")), "links").withColumnRenamed("node", "fp")
     placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     first = placed.groupBy("root").agg(F.min("least").alias("_first"))
     return placed.join(first, "root").select("fp", F.col("_first.doc_id").alias("component_id"), "_first")
@@ -203,9 +203,14 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 
     Keeps all columns; cases as in ``groups``.
     """
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("tie"), fingerprint(F.col("text")).alias("fp"))
+    return firsts(docs, written(narrow, "fingerprints"), linked)
+
+
+def firsts(docs: DataFrame, values: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that stand for the classes of ``values`` (doc_id, fp, and as tie the text's hash)."""
     row = {"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_hash": F.xxhash64("text")}
-    narrow = docs.select("doc_id", row["_hash"].alias("tie"), fingerprint(F.col("text")).alias("fp"))
-    kept = classes(written(narrow, "fingerprints")).select("_first").distinct()
+    kept = classes(values, links).select("_first").distinct()
     kept = kept.select(
         F.coalesce(F.col("_first.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("_first.tie").alias("_hash")
     )
