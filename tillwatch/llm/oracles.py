@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from . import licenses
 from .decontamination import WINDOW
+from .lexical import LENGTH_SHARE, TERM
 from .licenses import DRIFT, ENOUGH, GAP, K
+from .merkle import FANOUT
 from .mixing import UNIT
+from .sharding import BYTE, PARTS, SHARDS, SLOTS
 
 A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -149,9 +152,157 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings JOIN roots ON node = vec_id LEFT JOIN counts ON a = vec_id"""
 
 
+#: The table of CRC-32, one row: t[b + 1] is the remainder of byte b.
+CRC_TABLE = """crc_steps AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM crc_steps WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM crc_steps WHERE k = 8
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of ``text`` in UTF-8, unsigned; needs crc_table."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    step = "lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), {step}), 4294967295)::BIGINT"
+
+
+LEXICAL_SQL = rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{TERM}'),
+         lambda t: translate(t, {A_TO_Z})) AS w FROM documents
+), sizes AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM words WHERE len(w) > 0
+), postings AS (
+  SELECT r, term, count(*)::BIGINT AS tf, any_value(n) AS n FROM (SELECT r, unnest(w) AS term, len(w)::BIGINT AS n FROM words) GROUP BY 1, 2
+), frequencies AS (
+  SELECT term, count(*) AS df FROM postings GROUP BY term
+), items AS (
+  SELECT DISTINCT q, item_id, translate(term, {A_TO_Z}) AS term FROM (
+    SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(coalesce(text, ''), '{TERM}')) AS term FROM benchmark)
+), weighted AS (
+  SELECT q, item_id, term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM items JOIN frequencies USING (term), sizes
+), scored AS (
+  SELECT q, item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - {LENGTH_SHARE} + ({LENGTH_SHARE} * n * docs) // terms))))::BIGINT AS score
+  FROM weighted JOIN postings USING (term), sizes GROUP BY 1, 2, 3
+), ranked AS (
+  SELECT q, item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+  FROM scored JOIN words USING (r) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+#: Levels that the manifest's SQL spells out: enough for 16 ** 7 leaves of a source.
+MERKLE_LEVELS = 7
+
+
+def _merkle_levels(name: str, nodes: str, part: str, member: str) -> str:
+    """``{name}_0`` (part, pos, h) up to ``{name}_{MERKLE_LEVELS}``, the runs between them, and ``{name}_fold``:
+    ``member`` (part, pos, h, alt) with its root, the altered one and its siblings, level by level."""
+    steps = [f"{name}_0 AS (SELECT {part} AS part, pos, h FROM {nodes})"]
+    folds, now = [], f"(SELECT part, pos, h, alt, '' AS proof FROM {member})"
+    for n in range(MERKLE_LEVELS):
+        steps.append(f"""{name}_runs_{n} AS (
+  SELECT part, run, text, count(*) OVER (PARTITION BY part) > 1 OR members > 1 AS several FROM (
+    SELECT part, pos // {FANOUT} AS run, string_agg(h, '' ORDER BY pos) AS text, count(*) AS members FROM {name}_{n} GROUP BY 1, 2)
+), {name}_{n + 1} AS (
+  SELECT part, run AS pos, CASE WHEN several THEN sha256(text) ELSE text END AS h FROM {name}_runs_{n}
+)""")
+        at = f"m.pos // {FANOUT**n} % {FANOUT}"
+        left, right = f"substr(text, 1, 64 * ({at})::INT)", f"substr(text, 64 * ({at})::INT + 65)"
+        folds.append(f"""{name}_fold_{n} AS (
+  SELECT m.part, m.pos, CASE WHEN several THEN sha256({left} || m.alt || {right}) ELSE m.alt END AS alt, m.h,
+         m.proof || {left} || {right} AS proof
+  FROM {now} m JOIN {name}_runs_{n} r ON r.part = m.part AND r.run = m.pos // {FANOUT**(n + 1)}
+)""")
+        now = f"{name}_fold_{n}"
+    return ", ".join([*steps, *folds])
+
+
+def merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+    last = MERKLE_LEVELS
+    return f"""
+WITH RECURSIVE {CRC_TABLE}, leaves AS (
+  SELECT doc_id, source, coalesce('1' || source, '0') AS part, {leaf('text')} AS h,
+         CASE WHEN {crc32_sql("coalesce(doc_id::VARCHAR, '')")} % 5 = 0 AND doc_id IS NOT NULL
+              THEN {leaf(f"translate(text, {A_TO_Z})")} ELSE {leaf('text')} END AS alt
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM leaves
+), {_merkle_levels("leaf", "placed", "part", "placed")}, subroots AS (
+  SELECT part, h AS subroot, row_number() OVER (ORDER BY part) - 1 AS place FROM leaf_{last}
+), sources AS (
+  SELECT '' AS part, place AS pos, subroot AS h FROM subroots
+), proved AS (
+  SELECT f.part, f.pos, '' AS top, s.place, f.alt, f.proof FROM leaf_fold_{last - 1} f JOIN subroots s USING (part)
+), {_merkle_levels("top", "sources", "part", "(SELECT '' AS part, place AS pos, part || ':' || pos AS h, alt FROM proved)")}
+SELECT p.doc_id, p.h AS leaf, s.subroot, r.h AS root, sha256(v.proof || t.proof) AS proof_sha256, t.alt AS folded_root,
+       t.alt = r.h AS verified, p.source, p.pos
+FROM placed p JOIN subroots s USING (part) JOIN proved v ON v.part = p.part AND v.pos = p.pos
+JOIN top_fold_{last - 1} t ON t.h = p.part || ':' || p.pos CROSS JOIN top_{last} r"""
+
+
+def _least(load: str, first: int) -> str:
+    """Number of the least loaded shard from ``first`` on."""
+    return f"list_position({load}[{first + 1}:], list_min({load}[{first + 1}:]))::INT - 1 + {first}"
+
+
+def _dealt_sql(name: str, slots: str, shards: int, first: int) -> str:
+    place = f"coalesce(q.shard, {_least('d.load', first)})"
+    return f"""{name}_order AS (
+  SELECT slot, shard, bytes * {BYTE} + 1 AS weight,
+         row_number() OVER (ORDER BY (shard IS NULL), bytes DESC, slot) AS n FROM {slots}
+), {name}_steps AS (
+  SELECT 0::BIGINT AS n, -1 AS slot, -1 AS shard, list_transform(range({shards}), lambda x: 0::BIGINT) AS load
+  UNION ALL
+  SELECT q.n, q.slot, {place},
+         list_transform(d.load, lambda v, i: CASE WHEN i - 1 = {place} THEN v + q.weight ELSE v END)
+  FROM {name}_steps d JOIN {name}_order q ON q.n = d.n + 1
+), {name} AS (
+  SELECT slot, shard FROM {name}_steps WHERE n > 0
+)"""
+
+
+def sharding_sql() -> str:
+    return f"""
+WITH RECURSIVE {CRC_TABLE}, records AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT + 1 AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32,
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k, row_number() OVER () AS r
+  FROM documents, crc_table
+), slotted AS (
+  SELECT *, (('0x' || substr(k, 1, 8))::BIGINT % {SLOTS})::INT AS virtual_slot,
+         (('0x' || substr(k, 9, 4))::BIGINT % {PARTS})::INT AS part FROM records
+), sums AS (
+  SELECT virtual_slot AS slot, sum(size)::BIGINT AS bytes FROM slotted GROUP BY 1
+), sizes AS (
+  SELECT i::INT AS slot, coalesce(bytes, 0) AS bytes FROM range({SLOTS}) AS r(i) LEFT JOIN sums ON slot = i
+), unplaced AS (
+  SELECT slot, bytes, CASE WHEN bytes = 0 THEN slot % {SHARDS} END AS shard FROM sizes
+), {_dealt_sql("present", "unplaced", SHARDS, 0)}, held AS (
+  SELECT slot, bytes, shard, sum(bytes * {BYTE} + 1) OVER (PARTITION BY shard ORDER BY bytes DESC, slot
+           ROWS UNBOUNDED PRECEDING) AS held, sum(bytes * {BYTE} + 1) OVER () AS whole
+  FROM present JOIN sizes USING (slot)
+), edited AS (
+  SELECT slot, bytes, CASE WHEN bytes = 0 AND slot % {SHARDS + 1} >= {SHARDS} THEN slot % {SHARDS + 1}
+                           WHEN bytes = 0 OR held * {SHARDS + 1} <= whole THEN shard END AS shard FROM held
+), {_dealt_sql("later", "edited", SHARDS + 1, SHARDS)}
+SELECT s.doc_id, s.size, s.text_crc32, 'bytes' AS law, p.shard,
+       row_number() OVER (PARTITION BY p.shard ORDER BY s.virtual_slot, s.part, s.k, s.r)::BIGINT - 1 AS slot,
+       NULL::INT AS grown_shard, s.virtual_slot, l.shard AS next_shard
+FROM slotted s JOIN present p ON p.slot = s.virtual_slot JOIN later l ON l.slot = s.virtual_slot"""
+
+
 ORACLES = {
     "op3_mixing": mixing_sql(),
     "op4_license_scans": licenses_sql(),
     "op7_decontamination": decontamination_sql(),
     "op9_embedding_dedup": EMBEDDINGS_SQL,
+    "op11_merkle_manifest": merkle_sql(),
+    "op12_lexical_search": LEXICAL_SQL,
+    "op13_sharding": sharding_sql(),
 }

@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, html_text, language_model, licenses, mixing, quality, simhash, token_counts, toxicity
+from . import (
+    decontamination,
+    embeddings,
+    html_text,
+    language_model,
+    lexical,
+    licenses,
+    merkle,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
+from .common import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +106,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    proved = merkle.manifest(docs, tampered=remainder(F.col("doc_id"), 5) == 0)
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "source", "pos")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.manifest(docs, shared_path(spark, "shard-map"))
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none, "virtual_slot", "next_shard"
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -102,4 +137,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_sharding": op13_sharding,
 }
