@@ -22,11 +22,15 @@ def test_treap_equals_dense_grid(seed):
         rows, columns = np.nonzero(grid)
         treap = Treap(build(rows, columns, grid[rows, columns], n_rows, n_columns))
         for k in (1, 4):
-            asked = np.unique(draw.integers(0, n_rows, 6))
-            weights = draw.integers(0, 4, len(asked))
-            sums = (grid[asked] * weights[:, None]).sum(axis=0)
-            want = sorted(((int(s), c) for c, s in enumerate(sums) if s > 0), key=lambda sc: (-sc[0], sc[1]))[:k]
-            assert treap.best(asked, weights, k) == want
+            asked = [np.unique(draw.integers(0, n_rows, 6)) for _ in range(5)]
+            weights = [draw.integers(0, 4, len(rows)) for rows in asked]
+            query = np.repeat(np.arange(5), [len(rows) for rows in asked])
+            got = treap.best(query, np.concatenate(asked), np.concatenate(weights), k)
+            want = []
+            for n in range(5):
+                sums = (grid[asked[n]] * weights[n][:, None]).sum(axis=0)
+                want += sorted(((n, int(s), c) for c, s in enumerate(sums) if s > 0), key=lambda sc: (-sc[1], sc[2]))[:k]
+            assert list(zip(*(part.tolist() for part in got))) == want
 
 
 def plain_search(docs, queries, k):

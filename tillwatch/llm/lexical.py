@@ -31,14 +31,18 @@ TERM_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A shard is full from this many postings on; a document is never split.
-POINTS = 1_500_000
+POINTS = 1_000_000
+#: Shards of a file of the index, so that a reader holds few at once.
+SHARDS_A_FILE = 8
+#: Queries that a shard answers side by side.
+SIDE_BY_SIDE = 32
 #: A slice of queries has at most this many terms, or one query.
 SLICE_TERMS = 200_000
 #: A document's length counts for this many hundredths.
 LENGTH_SHARE = 90
 
 INDEX = (
-    "doc_ids array<bigint>, terms array<binary>, counts array<int>, bits binary, lacks binary, point_rows binary, "
+    "doc_ids array<string>, terms string, counts array<int>, bits binary, lacks binary, point_rows binary, "
     "point_columns binary, height int"
 )
 
@@ -49,9 +53,15 @@ def terms_of(text: Column) -> Column:
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
     """(documents with a term, all their terms)."""
-    n = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
-    row = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.sum("n").alias("terms")).first()
-    return row["docs"], row["terms"] or 0
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n = [len(TERM_BYTES.findall(text)) for text in batch["text"] if text is not None]
+            yield pd.DataFrame({"docs": [sum(size > 0 for size in n)], "terms": [sum(n)]})
+
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(sizes, "docs long, terms long")
+    row = counted.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    return row["docs"] or 0, row["terms"] or 0
 
 
 class Shard:
@@ -92,7 +102,7 @@ class Shard:
         some = impacts > 0
         stored = build(place[seen[some]], columns[some], impacts[some], len(terms), len(order))
         return {
-            "doc_ids": [self.ids[n] for n in order], "terms": [terms[n] for n in frequent],
+            "doc_ids": [None if self.ids[n] is None else str(self.ids[n]) for n in order], "terms": b" ".join([terms[n] for n in frequent]).decode(),
             "counts": counts[frequent].astype(np.int32), **stored,
         }
 
@@ -127,8 +137,8 @@ def weighted(queries: DataFrame, shards: DataFrame, docs: int) -> DataFrame:
     """
     numbered = queries.select(F.monotonically_increasing_id().alias("query"), "item_id", "text")
     split = numbered.select("query", "item_id", F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    found = shards.select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
-    found = found.select(F.col("t.terms").cast("string").alias("term"), F.col("t.counts").alias("n"))
+    found = shards.select(F.explode(F.arrays_zip(F.split("terms", " ").alias("terms"), "counts")).alias("t"))
+    found = found.select(F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
     frequency = found.join(split.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df"))
     met = split.join(frequency, "term")
     weight = F.floor(1000 * F.log((2.0 * docs + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long")
@@ -158,27 +168,30 @@ def _searched(shards: DataFrame, queries: list, k: int) -> DataFrame:
             wanted.setdefault(term, []).append((n, weight))
     sent = shards.sparkSession.sparkContext.broadcast((wanted, [q for q, _, _ in queries]))
 
+    def answers(shard: dict, wanted: dict, numbers: list) -> pd.DataFrame:
+        paths = [(n, row, weight) for row, term in enumerate(shard["terms"].encode().split(b" ")) for n, weight in wanted.get(term, ())]
+        query, rows, weights = np.array(sorted(paths), np.int64).reshape(-1, 3).T
+        treap, found = Treap(shard), []
+        for first in range(0, len(numbers), SIDE_BY_SIDE):
+            begin, end = np.searchsorted(query, [first, first + SIDE_BY_SIDE])
+            asked = query[begin:end] - first
+            who, score, column = treap.best(asked, rows[begin:end], weights[begin:end], k)
+            found.append((who + first, column, score))
+        who, column, score = (np.concatenate([f[i] for f in found]) for i in range(3))
+        ids = np.array(shard["doc_ids"], dtype=object)[column]
+        return pd.DataFrame({
+            "query": np.array(numbers, np.int64)[who], "score": score,
+            # kept as text: pandas would make numbers among nulls floats
+            "doc_id": pd.array([None if i is None else int(i) for i in ids], dtype="Int64"),
+        })
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted, numbers = sent.value
         for batch in batches:
-            for shard in batch.to_dict("records"):
-                paths: dict[int, list] = {}
-                for row, term in enumerate(shard["terms"]):
-                    for n, weight in wanted.get(bytes(term), ()):
-                        paths.setdefault(n, []).append((row, weight))
-                treap = Treap(shard)
-                ids = shard["doc_ids"]
-                found = []
-                for n, path in paths.items():
-                    rows, weights = np.array(path, np.int64).T
-                    found += [(numbers[n], ids[column], score) for score, column in treap.best(rows, weights, k)]
-                yield pd.DataFrame({
-                    "query": pd.Series([f[0] for f in found], dtype="int64"),
-                    "doc_id": pd.array([None if f[1] is None or f[1] != f[1] else int(f[1]) for f in found], dtype="Int64"),
-                    "score": pd.Series([f[2] for f in found], dtype="int64"),
-                })
-
-    return shards.mapInPandas(search, "query long, doc_id long, score long")
+            for n in range(len(batch)):
+                yield answers(batch.iloc[n].to_dict(), wanted, numbers)
+
+    return shards.drop("counts").mapInPandas(search, "query long, score long, doc_id long")
 
 
 def search(
@@ -195,14 +208,14 @@ def search(
     spark = docs.sparkSession
     size = corpus_size(docs)
     place = shared_path(spark, "index")
-    index(docs, size, points).write.option("compression", "zstd").parquet(place)
+    index(docs, size, points).write.option("compression", "zstd").option("maxRecordsPerFile", SHARDS_A_FILE).parquet(place)
     shards = spark.read.schema(INDEX).parquet(place)
     asked = shared_path(spark, "queries")
     weighted(queries, shards, size[0]).write.parquet(asked)
     ready = spark.read.parquet(asked)
 
     answers = shared_path(spark, "answers")
-    schema = "query long, doc_id long, score long"
+    schema = "query long, score long, doc_id long"
     spark.createDataFrame([], schema).write.parquet(answers)
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     for part in _slices(ready, slice_terms):

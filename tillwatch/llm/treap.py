@@ -8,8 +8,6 @@ bits, the maxima (as what they lack to the parent's) and the single points are s
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 #: Number of children, and number of children before a quadrant, by child bits.
@@ -140,64 +138,81 @@ class Treap:
             found.append((np.concatenate((at[fits], same)), half, np.concatenate((child[fits], node[same]))))
         return found
 
-    def best(self, rows: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(score, column) of the ``k`` columns with the largest sums of weight times impact over ``rows``, above 0;
-        equal sums by ascending column.
+    def best(self, query: np.ndarray, rows: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(query, score, column) of the ``k`` columns per query with the largest sums of weight times impact
+        over the query's rows, above 0, the largest first; equal sums by ascending column.
 
-        The paths of all rows descend together: a range of documents is open with one node
-        per row that has points there, and its bound is the sum of their maxima. The ranges with
-        the highest bounds are halved first, a growing number at a time; a range whose bound
-        does not reach the k-th best document so far is given up.
+        ``query`` numbers from 0 say which query a row and its weight belong to. The paths of a query's
+        rows descend together: a range of documents is open with one node per row that has
+        points there, and its bound is the sum of their maxima. A query halves its ranges with the
+        highest bounds first, a growing number at a time, and gives up a range whose bound does not
+        reach its k-th best document so far. Queries take their steps side by side.
         """
+        empty = np.zeros(0, np.int64)
         if not len(rows) or not len(self.bits):
-            return []
-        start = np.flatnonzero((self.row[0] < 0) | (self.row[0] == rows))
-        bound = np.array([float((weights[start] * self.largest[0].astype(np.int64)).sum())])
-        level, column = np.array([self.height]), np.array([0])
-        owner, path, node = np.zeros(len(start), np.int64), start, np.zeros(len(start), np.int64)
-        best: list[tuple[int, int]] = []  # (score, -column), smallest first
+            return empty, empty, empty
+        n = int(query.max()) + 1
+        weights = weights.astype(np.float64)  # sums stay below 2 ** 53
+        path = np.flatnonzero((self.row[0] < 0) | (self.row[0] == rows))
+        node = np.zeros(len(path), np.int64)
+        bound = np.bincount(query[path], weights=weights[path] * float(self.largest[0]), minlength=n)
+        asker = np.flatnonzero(bound > 0)
+        number = np.cumsum(bound > 0) - 1
+        some = bound[query[path]] > 0
+        path, node = path[some], node[some]
+        owner, bound = number[query[path]], bound[asker]
+        level, column = np.full(len(asker), self.height), np.zeros(len(asker), np.int64)
+        best = (empty, np.zeros(0), empty)
+        floor, last = np.zeros(n), np.full(n, -1)
         batch = 32
         while len(bound):
-            if len(best) == k:
-                floor, last = best[0]
-                useful = (bound > floor) | ((bound == floor) & (column << level < -last))
-            else:
-                useful = bound > 0
-            if len(bound) > batch:
-                cut = np.partition(bound, len(bound) - batch)[len(bound) - batch]
-                chosen = useful & (bound >= cut)
-                if not chosen.any():
-                    chosen = useful
-            else:
-                chosen = useful
+            reach = floor[asker]
+            useful = (bound > reach) | ((bound == reach) & (column << level < last[asker]))
+            chosen = useful & (_rank(asker, -bound, useful) < batch)
             if not chosen.any():
                 break
             batch *= 2
-            number = np.cumsum(chosen) - 1
-            mine = chosen[owner]
             rest = useful & ~chosen
-            number_rest = np.cumsum(rest) - 1
-            left = rest[owner]
-            own, way, at = number[owner[mine]], path[mine], node[mine]
-            lev, col = level[chosen] - 1, column[chosen]
-            parts = [(bound[rest], level[rest], column[rest], number_rest[owner[left]], path[left], node[left])]
+            mine, left = chosen[owner], rest[owner]
+            own, way, at = (np.cumsum(chosen) - 1)[owner[mine]], path[mine], node[mine]
+            who, lev, col = asker[chosen], level[chosen] - 1, column[chosen]
+            parts = [(bound[rest], asker[rest], level[rest], column[rest], (np.cumsum(rest) - 1)[owner[left]], path[left], node[left])]
+            done = []
             for which, half, child in self._halves(lev[own], col[own], rows[way], at):
-                total = np.bincount(own[which], weights=weights[way[which]] * self.largest[child].astype(np.float64), minlength=len(lev))
-                column_now = 2 * col + half
-                done = (lev == 0) & (total > 0)
-                for score, c in zip(total[done].astype(np.int64).tolist(), column_now[done].tolist()):
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -c))
-                    elif (score, -c) > best[0]:
-                        heapq.heapreplace(best, (score, -c))
+                total = np.bincount(own[which], weights=weights[way[which]] * self.largest[child], minlength=len(lev))
+                now = 2 * col + half
+                ended = (lev == 0) & (total > 0)
+                done.append((who[ended], total[ended], now[ended]))
                 goes_on = (lev > 0) & (total > 0)
-                renumber = np.cumsum(goes_on) - 1
                 keep = goes_on[own[which]]
-                parts.append((
-                    total[goes_on], lev[goes_on], column_now[goes_on], renumber[own[which][keep]], way[which][keep], child[keep],
-                ))
+                owners = (np.cumsum(goes_on) - 1)[own[which][keep]]
+                parts.append((total[goes_on], who[goes_on], lev[goes_on], now[goes_on], owners, way[which][keep], child[keep]))
+            if any(len(d[0]) for d in done):
+                best = tuple(np.concatenate([best[i], done[0][i], done[1][i]]) for i in range(3))
+                order = np.lexsort((best[2], -best[1], best[0]))
+                best = tuple(b[order] for b in best)
+                place = _places(best[0])
+                best = tuple(b[place < k] for b in best)
+                full = place[place < k] == k - 1
+                floor[best[0][full]], last[best[0][full]] = best[1][full], best[2][full]
             offsets = np.cumsum([0] + [len(p[0]) for p in parts])
-            bound, level, column = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            owner = np.concatenate([p[3] + offset for p, offset in zip(parts, offsets)])
-            path, node = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
-        return sorted(((score, -c) for score, c in best), key=lambda sc: (-sc[0], sc[1]))
+            bound, asker, level, column = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            owner = np.concatenate([p[4] + offset for p, offset in zip(parts, offsets)])
+            path, node = (np.concatenate([p[i] for p in parts]) for i in (5, 6))
+        return best[0], best[1].astype(np.int64), best[2]
+
+
+def _places(group: np.ndarray) -> np.ndarray:
+    """Place of each element in its run of equal ``group`` values."""
+    first = np.concatenate(([True], group[1:] != group[:-1]))[: len(group)]
+    starts = np.flatnonzero(first)
+    return np.arange(len(group)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(group)]))))
+
+
+def _rank(group: np.ndarray, key: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Rank of each element by ``key`` in its group among the elements ``among``; others get a rank past all."""
+    at = np.flatnonzero(among)
+    order = at[np.lexsort((key[at], group[at]))]
+    rank = np.full(len(group), len(group))
+    rank[order] = _places(group[order])
+    return rank
