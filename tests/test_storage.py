@@ -86,14 +86,15 @@ def test_replay_of_the_quarantine(spark, sf_dir, table):
     replay.replay(spark, path, table, q.now())
     good = decided.filter("event_id % 50 > 2 AND event_id % 41 <> 0 AND event_type <> 'purchase'").count()
     assert storage.read_table(spark, table).count() == before + good
-    left = spark.read.parquet(path)
+    left = replay.open_quarantine(spark, path)
     reasons = {r[0]: r[1] for r in left.groupBy("dlq_failure_reason").count().collect()}
     assert reasons["constraint_violation: txn_id is not a uuid"] == decided.filter("event_id % 50 > 2 AND event_id % 41 = 0").count()
     assert sum(reasons.values()) == decided.filter("event_id % 50 <= 2 OR event_id % 41 = 0").count()
     assert [r[0] for r in left.select("dlq_retry_count").distinct().collect()] == ["4"]
     replay.replay(spark, path, table, q.now())  # nothing new passes
     assert storage.read_table(spark, table).count() == before + good
-    assert [r[0] for r in spark.read.parquet(path).select("dlq_retry_count").distinct().collect()] == ["5"]
+    assert [r[0] for r in replay.open_quarantine(spark, path).select("dlq_retry_count").distinct().collect()] == ["5"]
+    assert spark.read.parquet(path).count() == failed.count()
 
 
 def test_read_transactions(spark, sf_dir):

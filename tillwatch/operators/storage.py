@@ -96,6 +96,13 @@ def write_table(rows: DataFrame, path: str, overwrite: str = "dynamic") -> None:
     )
 
 
+def union_of(frames: list[DataFrame]) -> DataFrame:
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame)
+    return whole
+
+
 def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
     """The table at ``path``, or None before its first write."""
     try:

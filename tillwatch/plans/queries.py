@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -762,18 +764,18 @@ def w11(spark, sf):
 _CARD = "'4' || lpad('1', 15, '0')"
 
 
+def one_card() -> str:
+    inner = hashlib.sha256(b"4" + b"1".rjust(15, b"0")).digest()
+    return hmac.new(sd.SECRET.encode(), inner, hashlib.sha256).hexdigest()
+
+
 @query(
     "t02_card_history",
     f"""WITH {o.DECIDED} SELECT txn_id, txn_timestamp, risk_score FROM dec
     WHERE card_hash = {o.hash_sql(_CARD)} ORDER BY txn_timestamp DESC, txn_id DESC LIMIT 20""",
 )
 def t02(spark, sf):
-    import hashlib
-    import hmac
-
-    inner = hashlib.sha256(b"4" + b"1".rjust(15, b"0")).digest()
-    card = hmac.new(sd.SECRET.encode(), inner, hashlib.sha256).hexdigest()
-    return lookups.card_history(stored_rows(spark, sf), card, 20).select(
+    return lookups.card_history(stored_rows(spark, sf), one_card(), 20).select(
         "txn_id", C.format_ts(F.col("txn_timestamp")).alias("txn_timestamp"), "risk_score"
     )
 

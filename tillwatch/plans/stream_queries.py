@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed_values as fv
-from ..operators import lookups, reports, storage
+from ..operators import lookups, reports, snapshots, storage
 from ..schemas import RAW_FRAMES
 from ..session import new_table_path
-from ..sources import readers
+from ..sources import readers, replay
 from ..sources import sample_data as sd
 from ..streaming import aggregates, persist
 from ..streaming.idempotency import IdempotencyJob
@@ -18,7 +19,7 @@ from ..streaming.velocity import VelocityJob
 from . import oracles as o
 from . import queries as q
 from . import scoring_flow as flow
-from .queries import now, query
+from .queries import ORACLES, now, query
 
 BATCHES = 3
 
@@ -132,6 +133,73 @@ query(
 )(lambda spark, sf: reports.write_outcomes(spark.read.parquet(f"{persisted(spark, sf)[1]}/audit")))
 
 
+class Stopped(RuntimeError):
+    """Stands for a machine that is lost at this point."""
+
+
+class Stops:
+    """Stops a job after each of its steps once: a step in every batch, and one between staging and publishing."""
+
+    def __init__(self) -> None:
+        self.open = {("written", 0), ("quarantined", 1), ("audited", 2), ("staged", None), ("published", None)}
+
+    def __call__(self, step: str, batch_id: int | None = None) -> None:
+        if (step, batch_id) in self.open:
+            self.open.remove((step, batch_id))
+            raise Stopped(step)
+
+
+def resumed(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """(table, folder of the job) after a run that was stopped after every step and resumed from its checkpoint."""
+    source = q.uuid_frames(spark, sf).select([f.name for f in RAW_FRAMES.fields])
+    table, folder, checkpoint = (new_table_path(spark, name) for name in ("snapshots", "job", "cp"))
+    stream, stops = arrivals(spark, source, "offset", "frames"), Stops()
+    while True:
+        write = persist.snapshot_writer(table, now(), after=stops)
+        job = persist.PersistJob(folder, write, now(), sleep=lambda seconds: None, after=stops)
+        try:
+            finish(job.start(stream, checkpoint, availableNow=True))
+            return table, folder
+        except StreamingQueryException as error:
+            if "Stopped" not in str(error):
+                raise
+
+
+@query("x09_resume", ORACLES["x04_stream_upsert"])
+def x09(spark, sf):
+    table, _ = resumed(spark, sf)
+    return snapshots.read(spark, table).select(
+        "txn_id", C.format_ts(F.col("txn_timestamp")).alias("txn_timestamp"), "risk_score", "status"
+    )
+
+
+@query("x09_resume_quarantine", ORACLES["x05_stream_quarantine"])
+def x09_quarantine(spark, sf):
+    _, folder = resumed(spark, sf)
+    return spark.read.parquet(f"{folder}/quarantine").select("dlq_original_offset", "dlq_failure_reason", "dlq_retry_count")
+
+
+@query(
+    "s10_replay_between_batches",
+    f"""WITH {o.FRAMES}, cut AS (SELECT max(event_id) // 2 AS half FROM decoded)
+    SELECT event_id::VARCHAR AS dlq_original_offset, coalesce(reason, 'constraint_violation: txn_id is not a uuid') AS dlq_failure_reason,
+    CASE WHEN event_id <= half THEN '2' ELSE '1' END AS dlq_retry_count
+    FROM decoded, cut WHERE reason IS NOT NULL OR event_id % 41 = 0""",
+)
+def s10_between(spark, sf):
+    """A batch, a replay, another batch, another replay: every reject stays visible and counts its replays."""
+    source = q.uuid_frames(spark, sf).select([f.name for f in RAW_FRAMES.fields])
+    half = (source.agg(F.max("offset")).first()[0] or 0) // 2
+    table, folder = new_table_path(spark, "snapshots"), new_table_path(spark, "job")
+    job = persist.PersistJob(folder, persist.snapshot_writer(table, now()), now())
+    for batch_id, part in enumerate((source.filter(F.col("offset") <= half), source.filter(F.col("offset") > half))):
+        job(part, batch_id)
+        replay.replay(spark, f"{folder}/quarantine", table, now(), replay.SnapshotStore())
+    return replay.open_quarantine(spark, f"{folder}/quarantine").select(
+        "dlq_original_offset", "dlq_failure_reason", "dlq_retry_count"
+    )
+
+
 # --- aggregates ------------------------------------------------------------------
 
 
@@ -184,6 +252,93 @@ def s08_table(spark, sf):
     return q.merge_view(storage.read_table(spark, path))
 
 
+def stop_at(wanted: str):
+    """A step hook that stops at step ``wanted``."""
+
+    def hook(step: str) -> None:
+        if step == wanted:
+            raise Stopped(step)
+
+    return hook
+
+
+def snapshot_table(spark: SparkSession, sf: str) -> str:
+    """Two upserts; each is stopped between staging and publishing, and run again."""
+    path = new_table_path(spark, "snapshots")
+    for rows in q.upsert_sets(spark, sf):
+        written = F.lit("2024-02-01 00:00:00").cast("timestamp") if not snapshots.versions(spark, path) else now()
+        for hook in (stop_at("staged"), stop_at("nowhere")):
+            try:
+                snapshots.upsert(spark, path, rows, written, after=hook)
+            except Stopped:
+                pass
+    return path
+
+
+@query("s08_snapshot_upsert", q.ORACLES["s08_upsert"])
+def s08_snapshot(spark, sf):
+    return q.merge_view(snapshots.read(spark, snapshot_table(spark, sf)))
+
+
+@query("s08_snapshot_compacted", q.ORACLES["s08_upsert"])
+def s08_compacted(spark, sf):
+    path = snapshot_table(spark, sf)
+    snapshots.compact(spark, path)
+    return q.merge_view(snapshots.read(spark, path))
+
+
+@query(
+    "s08_snapshot_history",
+    f"""WITH {q._MERGED} SELECT 1 AS version, count(*) AS n_rows, sum(risk_score) AS scores FROM writes WHERE seq < 0
+    UNION ALL SELECT 2, count(*), sum(risk_score) FROM merged""",
+)
+def s08_history(spark, sf):
+    path = snapshot_table(spark, sf)
+    return storage.union_of([
+        snapshots.read(spark, path, version).agg(
+            F.lit(version).alias("version"), F.count("*").alias("n_rows"), F.sum("risk_score").alias("scores")
+        )
+        for version in (1, 2)
+    ])
+
+
+def looked_up(spark: SparkSession, sf: str) -> str:
+    """The stored rows as a snapshot table, a part of them upserted again as they are."""
+    path = new_table_path(spark, "snapshots")
+    rows = q.stored_rows(spark, sf)
+    snapshots.upsert(spark, path, rows, now())
+    snapshots.upsert(spark, path, rows.filter("risk_score % 3 = 0"), now())
+    return path
+
+
+@query("t02_card_history", q.ORACLES["t02_card_history"])
+def t02(spark, sf):
+    rows = snapshots.lookup(spark, looked_up(spark, sf), "card_hash", q.one_card())
+    return lookups.card_history(rows, q.one_card(), 20).select(
+        "txn_id", C.format_ts(F.col("txn_timestamp")).alias("txn_timestamp"), "risk_score"
+    )
+
+
+@query("t03_latest_per_card", q.ORACLES["t03_latest_per_card"])
+def t03(spark, sf):
+    return lookups.latest_per_card(snapshots.read(spark, looked_up(spark, sf)), 3).select("card_hash", "txn_id", "recency")
+
+
+@query("t04_by_rrn", q.ORACLES["t04_by_rrn"])
+def t04(spark, sf):
+    rows = snapshots.lookup(spark, looked_up(spark, sf), "rrn", "000000000042")
+    return rows.select("txn_id", "rrn", "risk_score")
+
+
+@query("t06_snapshot_range", q.ORACLES["t06_date_range"])
+def t06_snapshot(spark, sf):
+    path = new_table_path(spark, "snapshots")
+    rows = q.month_rows(spark, sf)
+    snapshots.upsert(spark, path, rows, now())
+    snapshots.upsert(spark, path, rows.filter("risk_score % 2 = 0"), now())
+    return snapshots.date_range(spark, path, "2024-12-15 00:00:00", "2025-05-20 00:00:00").select("txn_id", "txn_month")
+
+
 @query("t05_by_status", q.ORACLES["t05_by_status"])
 def t05(spark, sf):
     path = new_table_path(spark, "table")

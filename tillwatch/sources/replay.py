@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import fixed_values as fv
+from ..operators import snapshots
 from ..operators.joins import not_stored
-from ..operators.storage import read_table, to_stored, upsert
+from ..operators.storage import read_if_present, read_table, to_stored, upsert
 from ..operators.validation import with_constraint_reason
-from ..schemas import FRAUD_RESULTS, STORED, fill_absent
+from ..schemas import FRAUD_RESULTS, QUARANTINE, STORED, fill_absent
 from .frames import decode, triage
 
 QUARANTINE_COLUMNS = [
@@ -49,15 +51,87 @@ def still_rejected(quarantine: DataFrame, now: Column) -> DataFrame:
     ).select(QUARANTINE_COLUMNS)
 
 
-def replay(spark: SparkSession, quarantine_path: str, table: str, now: Column) -> None:
-    """Store what passes now; the quarantine keeps the rest.
+#: What tells quarantined records apart.
+RECORD = ["dlq_original_topic", "dlq_original_partition", "dlq_original_offset"]
+_CHANGED = ["dlq_failure_reason", "dlq_retry_count", "dlq_failed_at"]
+LOG = StructType(
+    [StructField(c, StringType()) for c in [*RECORD, *_CHANGED]] + [StructField("run", LongType())]
+)
 
-    The new quarantine is written beside the old one before it replaces it, and storing the
-    same rows again changes nothing, so a replay that is cut off can be run again.
+
+def log_path(quarantine_path: str) -> str:
+    return f"{quarantine_path.rstrip('/')}_replays"
+
+
+def open_quarantine(spark: SparkSession, quarantine_path: str) -> DataFrame:
+    """The quarantined records that no replay has stored, each with what its last replay found.
+
+    The quarantine itself is only ever appended to, by the jobs that fill it; replays keep a log
+    beside it. A record's last entry counts: without a reason it was stored, otherwise it has the
+    reason and retry count of then. The log's rows are narrow and are one per record after the
+    aggregate, so a hot partition of the topic is no hot key.
     """
-    quarantine = spark.read.parquet(quarantine_path)
-    rows = replay_rows(quarantine, read_table(spark, table), now)
-    upsert(spark, table, rows.withColumn("batch_seq", F.lit(0).cast("long")), now)
-    staged = f"{quarantine_path.rstrip('/')}_staged"
-    still_rejected(quarantine, now).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(quarantine_path)
+    quarantine = spark.read.schema(QUARANTINE).parquet(quarantine_path)
+    log = read_if_present(spark, log_path(quarantine_path), LOG)
+    if log is None:
+        return quarantine
+    last = log.groupBy(*RECORD).agg(F.max_by(F.struct(*_CHANGED), "run").alias("last"))
+    same = [quarantine[c].eqNullSafe(last[c]) for c in RECORD]
+    met = quarantine.join(last, same, "left")
+    seen = F.col("last").isNotNull()
+    changed = {c: F.when(seen, F.col(f"last.{c}")).otherwise(quarantine[c]) for c in _CHANGED}
+    rows = met.filter(~seen | F.col("last.dlq_failure_reason").isNotNull())
+    return rows.select(*[changed[c].alias(c) if c in changed else quarantine[c] for c in QUARANTINE_COLUMNS])
+
+
+def replay(spark: SparkSession, quarantine_path: str, table: str, now: Column, store: Store | None = None) -> None:
+    """Store what passes now and log the outcome of every record; ``open_quarantine`` has the rest.
+
+    Nothing is overwritten, so records that are quarantined before, during or after a replay stay
+    visible. The log of a run is written last: a replay that is cut off can be run again, as storing the
+    same rows again changes nothing. ``store`` is where rows go: the month table at ``table`` by
+    default, or ``SnapshotStore``. Only the months of the records are read from the table.
+    """
+    store = store or MonthStore()
+    records = open_quarantine(spark, quarantine_path).persist()
+    try:
+        checked = checked_rows(records, now).persist()
+        good = checked.filter("reason IS NULL").select([f.name for f in STORED.fields])
+        months = [r[0] for r in good.select("txn_month").distinct().collect()]
+        stored = store.read(spark, table, months) if months else None
+        rows = good if stored is None else not_stored(good, stored)
+        store.write(spark, table, rows.withColumn("batch_seq", F.lit(0).cast("long")), now)
+        rejected = still_rejected(records, now).select(*RECORD, *_CHANGED)
+        passed = checked.filter("reason IS NULL").select(*RECORD, *[F.lit(None).cast("string").alias(c) for c in _CHANGED])
+        before = read_if_present(spark, log_path(quarantine_path), LOG)
+        run = 1 if before is None else (before.agg(F.max("run")).first()[0] or 0) + 1
+        outcome = rejected.unionByName(passed)
+        # a run's folder, so that a second attempt at logging replaces the first
+        outcome.write.mode("overwrite").parquet(f"{log_path(quarantine_path)}/run={run}")
+        checked.unpersist()
+    finally:
+        records.unpersist()
+
+
+class MonthStore:
+    """The month table."""
+
+    def read(self, spark: SparkSession, table: str, months: list[str]) -> DataFrame | None:
+        stored = read_table(spark, table)
+        return None if stored is None else stored.filter(F.col("txn_month").isin(months))
+
+    def write(self, spark: SparkSession, table: str, rows: DataFrame, now: Column) -> None:
+        upsert(spark, table, rows, now)
+
+
+class SnapshotStore:
+    """The snapshot table."""
+
+    def read(self, spark: SparkSession, table: str, months: list[str]) -> DataFrame:
+        return snapshots.read(spark, table, months=months)
+
+    def write(self, spark: SparkSession, table: str, rows: DataFrame, now: Column) -> None:
+        snapshots.upsert(spark, table, rows, now)
+
+
+Store = MonthStore | SnapshotStore

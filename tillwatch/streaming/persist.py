@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import fixed_values as fv
+from ..operators import snapshots
 from ..operators.storage import read_if_present, to_stored, upsert
 from ..operators.validation import with_constraint_reason
 from ..schemas import FRAUD_RESULTS, STORED, fill_absent
@@ -36,6 +37,11 @@ def month_writer(table: str, now: Column) -> Writer:
     return lambda rows, batch_id: upsert(rows.sparkSession, table, rows, now)
 
 
+def snapshot_writer(table: str, now: Column, writer: str = "persist", after: Callable[[str], None] = lambda step: None) -> Writer:
+    """Commit each batch to the snapshot table, once, however often the batch is run; the cost follows the batch."""
+    return lambda rows, batch_id: snapshots.upsert(rows.sparkSession, table, rows, now, writer, batch_id, after)
+
+
 #: Errors of the data or of the program: the same write would fail again.
 NOT_RETRYABLE = (AnalysisException, ValueError, TypeError, KeyError)
 
@@ -72,7 +78,10 @@ class PersistJob:
         now: Column,
         attempts: int = fv.MAX_ATTEMPTS,
         sleep: Callable[[float], None] = time.sleep,
+        after: Callable[[str, int], None] = lambda step, batch_id: None,
     ) -> None:
+        """``after`` is called after each step of a batch: "written", "quarantined", "audited"."""
+        self.after = after
         self.folder = folder.rstrip("/")
         self.write = write
         self.now = now
@@ -115,10 +124,13 @@ class PersistJob:
             unwritten = rows.filter("reason IS NULL").withColumn("reason", F.lit(reason)).select(*frame_columns)
             quarantine = quarantine.unionByName(to_quarantine(unwritten, self.now, tried))
             good_count, refused = 0, refused + good_count
+        self.after("written", batch_id)
         put_batch(quarantine, f"{self.folder}/quarantine", batch_id)
+        self.after("quarantined", batch_id)
         counts = [("success", good_count), ("retry", tried - 1 if error is None else tried), ("dlq", refused)]
         audit = spark.createDataFrame(counts, StructType(AUDIT.fields[:2]))
         put_batch(audit.coalesce(1), f"{self.folder}/audit", batch_id)
+        self.after("audited", batch_id)
 
     def start(self, frames: DataFrame, checkpoint: str, **trigger):
         """``frames`` needs partition, offset, key and value."""
