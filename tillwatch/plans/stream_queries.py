@@ -15,7 +15,7 @@ from ..sources import readers, replay
 from ..sources import sample_data as sd
 from ..streaming import aggregates, persist
 from ..streaming.idempotency import IdempotencyJob
-from ..streaming.velocity import VelocityJob
+from ..streaming.velocity import VelocityJob, corrected
 from . import oracles as o
 from . import queries as q
 from . import scoring_flow as flow
@@ -68,6 +68,46 @@ def x01(spark, sf):
     return spark.read.parquet(f"{job.folder}/results").select("txn_id", *_VELOCITY_COLUMNS)
 
 
+#: Where a row arrives out of order: in which of the micro-batches, whatever its time.
+_ARRIVAL = f"(event_id * 7919) % 1000 * {BATCHES} // 1000"
+
+
+def out_of_order(spark: SparkSession, rows: DataFrame, start) -> None:
+    """Run a job on ``rows`` (event_id, ...) by ``start(stream, checkpoint)``, micro-batch by micro-batch: each is written
+    as files of several tasks, and the job resumed from its checkpoint."""
+    path, checkpoint = new_table_path(spark, "arrivals"), new_table_path(spark, "cp")
+    arrival = F.expr(f"cast((event_id * 7919) % 1000 * {BATCHES} div 1000 AS int)")
+    for n in range(BATCHES):
+        rows.filter(arrival == n).write.mode("append").parquet(path)
+        finish(start(readers.stream_files(spark, path, rows.schema), checkpoint))
+
+
+def velocity_rows(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ("event_id", "txn_id", "card_hash", "ms", "amount_minor", "merchant_id", "terminal_id")
+    return q.vms_transactions(spark, sf).select(*columns)
+
+
+@query("x10_late_corrections", ORACLES["x01_stream_velocity"])
+def x10(spark, sf):
+    job = VelocityJob(new_table_path(spark, "velocity"), corrections=True)
+    out_of_order(spark, velocity_rows(spark, sf), lambda s, cp: job.start(s, cp, availableNow=True))
+    return corrected(spark, job.folder).select("txn_id", *_VELOCITY_COLUMNS)
+
+
+_LATENESS = 300_000
+
+
+@query(
+    "x10_late_data",
+    f"""WITH {o.TX}, arr AS (SELECT txn_id, vms, {_ARRIVAL} AS batch FROM tx)
+    SELECT txn_id, batch::BIGINT AS batch_id FROM arr WHERE vms < (SELECT max(vms) FROM arr e WHERE e.batch < arr.batch) - {_LATENESS}""",
+)
+def x10_late(spark, sf):
+    job = VelocityJob(new_table_path(spark, "velocity"), lateness_ms=_LATENESS)
+    out_of_order(spark, velocity_rows(spark, sf), lambda s, cp: job.start(s, cp, availableNow=True))
+    return spark.read.parquet(f"{job.folder}/late").select("txn_id", F.col("batch_id").cast("long").alias("batch_id"))
+
+
 @query("x02_stream_dedup", q.ORACLES["w11_idempotency"])
 def x02(spark, sf):
     requests = sd.requests(spark, sf).select("idempotency_key", "ms", "txn_id")

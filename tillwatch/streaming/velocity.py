@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..operators.storage import existing_paths, read_if_present
-from ..operators.velocity import BLOCK_MS, velocity_by_ms
+from ..operators.velocity import BLOCK_MS, LONG_COLUMNS, VELOCITY_COLUMNS, velocity_by_ms
 from .batches import put_batch, start_batches
 
 HISTORY = T.StructType(
@@ -45,6 +45,9 @@ class VelocityJob:
     already reported may have needed them, so they are set aside, not dropped.
     Hours older than the lateness plus one hour are never read again and may be
     deleted by a storage lifecycle rule.
+
+    With ``corrections``, it also receives ``corrections``: one row per card and millisecond
+    whose windows a row of this micro-batch entered after it had been reported.
     """
 
     def __init__(
@@ -53,7 +56,9 @@ class VelocityJob:
         score=None,
         lateness_ms: int = fv.HOUR_MS,
         block_ms: int = BLOCK_MS,
+        corrections: bool = False,
     ) -> None:
+        self.corrections = corrections
         self.folder = folder.rstrip("/")
         self.score = score
         self.lateness_ms = lateness_ms
@@ -94,12 +99,17 @@ class VelocityJob:
             put_batch(batch.filter(F.col("ms") < horizon), f"{self.folder}/late", batch_id)
         known = on_time.select(*_NARROW)
         first_ms, last_ms = known.agg(F.min("ms"), F.max("ms")).first()
+        fresh, earlier = known, None
         if newest is not None and first_ms is not None:
-            earlier = self._history(spark, batch_id, first_ms - fv.HOUR_MS, last_ms)
+            after = fv.HOUR_MS - 1 if self.corrections and newest >= first_ms else 0
+            earlier = self._history(spark, batch_id, first_ms - fv.HOUR_MS, last_ms + after)
             if earlier is not None:
                 cards = known.select("card_hash").distinct()
-                known = earlier.select(*_NARROW).join(cards, "card_hash", "left_semi").unionByName(known)
+                earlier = earlier.select(*_NARROW).join(cards, "card_hash", "left_semi")
+                known = earlier.unionByName(fresh)
         vel = velocity_by_ms(known, self.block_ms)
+        if self.corrections and earlier is not None and newest >= first_ms:
+            put_batch(vel.join(self._entered(earlier, fresh), ["card_hash", "ms"]), f"{self.folder}/corrections", batch_id)
         out = on_time.join(vel, ["card_hash", "ms"], "left")
         if self.score is not None:
             out = self.score(out)
@@ -108,11 +118,42 @@ class VelocityJob:
         put_batch(remembered, f"{self.folder}/history", batch_id, "hour")
         self._seen = (batch_id, max((x for x in (newest, last_ms) if x is not None), default=None))
 
+    def _entered(self, earlier: DataFrame, fresh: DataFrame) -> DataFrame:
+        """(card_hash, ms) of earlier rows that have a row of this micro-batch in their hour: the sum of
+        an hour in which fresh rows count 1 and earlier ones 0."""
+        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+        marked = earlier.withColumn("amount_minor", none).unionByName(fresh.withColumn("amount_minor", one))
+        entered = velocity_by_ms(marked, self.block_ms).filter("amount_sum_1hr > 0").select("card_hash", "ms")
+        return entered.join(earlier.select("card_hash", "ms").distinct(), ["card_hash", "ms"], "left_semi")
+
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         """``stream`` needs card_hash, ms, amount_minor, merchant_id and terminal_id."""
         return start_batches(stream, self, checkpoint, trigger)
 
 
+CORRECTIONS = T.StructType(
+    [T.StructField("card_hash", T.StringType()), T.StructField("ms", T.LongType())]
+    + [T.StructField(c, T.LongType() if c in LONG_COLUMNS else T.IntegerType()) for c in VELOCITY_COLUMNS]
+    + [T.StructField("batch_id", T.LongType())]
+)
+
+
+def corrected(spark: SparkSession, folder: str) -> DataFrame:
+    """The results with the newest velocity of every row and its version, the micro-batch that computed it."""
+    results = spark.read.parquet(f"{folder.rstrip('/')}/results")
+    changes = read_if_present(spark, f"{folder.rstrip('/')}/corrections", CORRECTIONS)
+    if changes is None:
+        return results.withColumn("version", F.col("batch_id"))
+    newest = changes.groupBy("card_hash", "ms").agg(
+        F.max_by(F.struct(*VELOCITY_COLUMNS), "batch_id").alias("change"), F.max("batch_id").alias("changed_in")
+    )
+    met = results.join(newest, ["card_hash", "ms"], "left")
+    newer = F.col("changed_in") > F.col("batch_id")
+    values = {c: F.when(newer, F.col(f"change.{c}")).otherwise(F.col(c)) for c in VELOCITY_COLUMNS}
+    values["version"] = F.when(newer, F.col("changed_in")).otherwise(F.col("batch_id"))
+    return met.withColumns(values).drop("change", "changed_in")
+
+
 def late_counts(late: DataFrame) -> DataFrame:
     return late.groupBy("batch_id").agg(F.count("*").alias("late_rows"))
 
