@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed_values as fv
-from ..operators import dedup, joins, lookups, reports, rules, scoring, sessions, storage, validation, velocity
+from ..operators import admission, dedup, joins, lookups, reports, rules, scoring, sessions, storage, validation, velocity
 from ..schemas import FRAUD_RESULTS, TRANSACTIONS
 from ..sources import frames, replay
 from ..sources import sample_data as sd
@@ -949,6 +949,28 @@ query(
     f"""WITH {o.REQ} SELECT client_id, vms // 1000 AS second, count(*) AS requests, count(*) > 1 AS over_rate,
     count(*) > 2 AS over_burst FROM req GROUP BY client_id, second""",
 )(lambda spark, sf: reports.request_rate(sd.requests(spark, sf), F.timestamp_millis("vms"), 1, 2))
+# 30 days in some five seconds, so that clients reach the limits of 100 requests a second and bursts of 200
+_FAST = "(vms - 1704067200000) // 400"
+_ROOM = "least(least(2000, w.state + p.ms - w.ms) // 10, p.n)"
+query(
+    "a13_admission",
+    f"""WITH RECURSIVE {o.REQ}, fast AS (SELECT client_id, txn_id, {_FAST} AS ms FROM req),
+    per AS (SELECT client_id, ms, count(*) AS n, row_number() OVER (PARTITION BY client_id ORDER BY ms) AS i FROM fast GROUP BY client_id, ms),
+    walk AS (
+      SELECT client_id, i, ms, least(200, n) AS room, 2000 - 10 * least(200, n) AS state FROM per WHERE i = 1
+      UNION ALL
+      SELECT p.client_id, p.i, p.ms, {_ROOM}, least(2000, w.state + p.ms - w.ms) - 10 * {_ROOM}
+      FROM walk w JOIN per p ON p.client_id = w.client_id AND p.i = w.i + 1),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY client_id, ms ORDER BY txn_id) AS place FROM fast)
+    SELECT client_id, txn_id, place <= room AS admitted FROM placed JOIN walk USING (client_id, ms)""",
+)(
+    lambda spark, sf: admission.per_request(
+        sd.requests(spark, sf).select(
+            "client_id", F.expr("(vms - 1704067200000) div 400").alias("ms"), F.col("txn_id").alias("request_id")
+        ),
+        fv.REQUESTS_PER_SECOND, fv.REQUEST_BURST, block_ms=500, chunk=4,
+    ).select("client_id", F.col("request_id").alias("txn_id"), "admitted")
+)
 query(
     "a14_table_profile",
     f"WITH {_MONTHS} SELECT txn_month, status, count(*) AS n_rows, sum(amount_minor)::BIGINT AS amount_minor FROM st GROUP BY ALL",

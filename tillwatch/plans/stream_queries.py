@@ -13,8 +13,9 @@ from ..schemas import RAW_FRAMES
 from ..session import new_table_path
 from ..sources import readers, replay
 from ..sources import sample_data as sd
-from ..streaming import aggregates, persist
+from ..streaming import aggregates, persist, sessions
 from ..streaming.idempotency import IdempotencyJob
+from ..streaming.panes import RESULT, pane_velocity
 from ..streaming.velocity import VelocityJob, corrected
 from . import oracles as o
 from . import queries as q
@@ -94,6 +95,29 @@ def x10(spark, sf):
     return corrected(spark, job.folder).select("txn_id", *_VELOCITY_COLUMNS)
 
 
+@query("x01_pane_velocity", ORACLES["x01_stream_velocity"])
+def x01_panes(spark, sf):
+    rows = velocity_rows(spark, sf)
+    # a row long after the last one moves the watermark past every pane; it arrives last
+    last = next(n for n in range(1000) if n * 7919 % 1000 == 999)
+    end = rows.groupBy().agg(F.max("ms").alias("ms")).filter("ms IS NOT NULL").select(
+        F.lit(last).cast("long").alias("event_id"), F.lit("end").alias("txn_id"), F.lit("end").alias("card_hash"),
+        (F.col("ms") + 3 * fv.HOUR_MS).alias("ms"), F.lit(0).cast("long").alias("amount_minor"),
+        F.lit("").alias("merchant_id"), F.lit("").alias("terminal_id"),
+    )
+    out = new_table_path(spark, "out")
+
+    def start(stream, checkpoint):
+        result = pane_velocity(stream.withColumn("clock", F.timestamp_millis("ms")))
+        return (
+            result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+
+    out_of_order(spark, rows.unionByName(end), start)
+    return spark.read.schema(RESULT).parquet(out).filter("card_hash <> 'end'").select("txn_id", *_VELOCITY_COLUMNS)
+
+
 _LATENESS = 300_000
 
 
@@ -253,10 +277,7 @@ def x07(spark, sf):
     return written_stream(aggregates.decisions_per_minute(arrivals(spark, rows, "vms", "decisions"), "clock"), spark, "complete")
 
 
-@query(
-    "x08_stream_sessions",
-    f"SELECT dependency, start_ms, end_ms, failures, is_episode FROM ({q.ORACLES['a15_failure_sessions']})",
-)
+@query("x08_stream_sessions", ORACLES["a15_failure_sessions"])
 def x08(spark, sf):
     failures = sd.failures(spark, sf).withColumn("clock", F.timestamp_millis("ms"))
     # a row an hour after the last one moves the watermark past every session
@@ -264,7 +285,7 @@ def x08(spark, sf):
         F.lit(-1).cast("long").alias("dependency"), (F.col("ms") + fv.HOUR_MS).alias("ms")
     )
     rows = failures.unionByName(end.withColumn("clock", F.timestamp_millis("ms")))
-    return written_stream(aggregates.failure_sessions(arrivals(spark, rows, "ms", "failures"), "clock"), spark).filter("dependency >= 0")
+    return written_stream(sessions.failure_sessions(arrivals(spark, rows, "ms", "failures"), "clock"), spark).filter("dependency >= 0")
 
 
 # --- the stored table ------------------------------------------------------------
