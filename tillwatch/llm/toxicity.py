@@ -33,6 +33,8 @@ EPOCHS, BATCH, RATE, SCALE = 5, 32, 0.3, 10.0
 COMMON = 0.3
 #: Empty words that every text has besides its own.
 EMPTY = 20
+#: Texts whose bags share an array while the model is fitted.
+TOGETHER = 100
 #: Words whose weight a worker remembers; emptied when full.
 REMEMBERED = 300_000
 _FACTOR = np.uint64(0xD1342543DE82EF95)
@@ -46,11 +48,11 @@ def words(text: str | None) -> list[str]:
 def buckets(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, which word each belongs to) of the words themselves and of their n-grams, with marks at both ends.
 
-    N-grams are of UTF-8 bytes, one per letter in most Latin words, hashed for all words together.
+    N-grams are of characters, whatever their script, hashed for all words together.
     """
-    marked = [f"<{w}>".encode("utf-8", "surrogatepass") for w in names]
+    marked = [f"<{w}>" for w in names]
     sizes = np.array([len(m) for m in marked])
-    letters = np.frombuffer(b"".join(marked), dtype="u1").astype("uint64") + np.uint64(1)
+    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("uint64") + np.uint64(1)
     owner = np.repeat(np.arange(len(marked)), sizes)
     ends = np.cumsum(sizes)
     place = np.arange(len(letters)) - np.repeat(ends - sizes, sizes)
@@ -80,6 +82,25 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return used.astype("int32"), np.bincount(inverse, each[owner]).astype("float32")
 
 
+def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bags of ``texts``, which is emptied on the way, as parts of a few large arrays: a bag holds some
+    thousand buckets, and many small arrays would leave the driver's memory in pieces."""
+    bags = []
+    texts.reverse()
+    while texts:
+        part = [_bag(texts.pop()) for _ in range(min(TOGETHER, len(texts)))]
+        cuts = np.cumsum([0] + [len(ids) for ids, _ in part])
+        ids, share = (np.concatenate([bag[i] for bag in part]) for i in (0, 1))
+        bags += [(ids[a:b], share[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return bags
+
+
+def _without(bags: list, dropped: np.ndarray) -> None:
+    """Take the ``dropped`` buckets out of the bags by giving them no share, in place."""
+    for ids, share in bags:
+        share[dropped[ids]] = 0.0
+
+
 @dataclass
 class SubwordModel:
     """``weights``: what each bucket adds to the log-odds; ``base``: the log-odds of an empty text."""
@@ -114,7 +135,7 @@ class SubwordModel:
 def _train(bags: list, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     """Bucket weights and base after AdaGrad steps on the softmax loss, over vectors and softmax alike."""
     draw = np.random.default_rng(seed)
-    vectors = (draw.random((BUCKETS, DIMENSIONS)) - 0.5) / DIMENSIONS
+    vectors = ((draw.random((BUCKETS, DIMENSIONS)) - 0.5) / DIMENSIONS).astype("float32")
     top, shift = draw.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)
     squares = [np.full_like(vectors, 1e-6), np.full_like(top, 1e-6), np.full_like(shift, 1e-6)]
     one_hot = np.eye(2)[y]
@@ -157,11 +178,17 @@ def fit(
     y = rows["label"].to_numpy(dtype="int64")
     if len(set(y)) < 2:
         return SubwordModel(np.zeros(BUCKETS), odds)
-    bags = [_bag(t) for t in rows["text"]]
-    clean = [ids for (ids, _), mark in zip(bags, y) if mark == 0]
-    rare = np.bincount(np.concatenate(clean), minlength=BUCKETS) <= COMMON * len(clean)
-    weights, base = _train([(ids[rare[ids]], share[rare[ids]]) for ids, share in bags], y, seed)
-    weights = np.where(rare, weights, 0.0)
+    texts = rows.pop("text").tolist()
+    del rows
+    bags = _bags(texts)
+    held = np.zeros(BUCKETS, dtype="int64")
+    for (ids, _), mark in zip(bags, y):
+        if mark == 0:
+            held[ids] += 1  # a bag holds a bucket once
+    common = held > COMMON * (y == 0).sum()
+    _without(bags, common)
+    weights, base = _train(bags, y, seed)
+    weights = np.where(common, 0.0, weights)
     return SubwordModel(weights, base + odds - float(np.log(y.mean() / (1 - y.mean()))))
 
 
