@@ -97,6 +97,10 @@ def throughput(txns: DataFrame, ts: Column) -> DataFrame:
     return per_window(txns, ts, 60)
 
 
+#: Windows of a time grid that are laid out at once.
+GRID_SPAN = 1000
+
+
 def quarantine_rate(quarantine: DataFrame, seconds: int = 300) -> DataFrame:
     return per_window(quarantine, C.parse_ts(F.col("dlq_failed_at")), seconds)
 
@@ -104,12 +108,19 @@ def quarantine_rate(quarantine: DataFrame, seconds: int = 300) -> DataFrame:
 def quarantine_alerts(quarantine: DataFrame, seconds: int = 120) -> DataFrame:
     """All windows from the first quarantined row to the last; an alert where anything was quarantined.
 
-    The time grid comes from two aggregates, so quiet windows are rows too.
+    The time grid comes from two aggregates, so quiet windows are rows too. It is laid out in spans of
+    ``GRID_SPAN`` windows, which go to many tasks; a time far from all others makes it long, but no array is.
     """
     rate = quarantine_rate(quarantine, seconds)
     step = seconds * 1000
-    ends = rate.agg(F.min("window_start_ms").alias("first"), F.max("window_start_ms").alias("last")).filter("first IS NOT NULL")
-    grid = ends.select(F.explode(F.sequence("first", "last", F.lit(step).cast("long"))).alias("window_start_ms"))
+    ends = rate.agg(
+        F.expr(f"min(window_start_ms) div {step}").alias("first"), F.expr(f"max(window_start_ms) div {step}").alias("last")
+    ).filter("first IS NOT NULL")
+    span = F.explode(F.sequence(F.floor(F.col("first") / GRID_SPAN), F.floor(F.col("last") / GRID_SPAN))).alias("span")
+    spans = ends.select("first", "last", span).repartition("span")
+    begin, end = F.col("span") * GRID_SPAN, F.col("span") * GRID_SPAN + (GRID_SPAN - 1)
+    places = F.explode(F.sequence(F.greatest("first", begin), F.least("last", end)))
+    grid = spans.select(places.alias("place")).select((F.col("place") * step).alias("window_start_ms"))
     filled = grid.join(rate, "window_start_ms", "left").select(
         "window_start_ms",
         F.coalesce("n_rows", F.lit(0)).alias("n_rows"),

@@ -80,16 +80,29 @@ CONDITIONS = {
 
 
 def rule_columns(ts: Column, rules: list[dict] | None = None) -> dict[str, Column]:
-    """Compile enabled rules in order; a composite on a disabled rule is false."""
+    """Enabled rules by id, in their order. A composite may name rules listed before or after it; on a disabled
+    rule it is false. Naming an unknown rule, or one that leads back, is an error."""
+    listed = fv.RULES if rules is None else rules
+    by_id = {rule["id"]: rule for rule in listed}
     fired: dict[str, Column] = {}
-    for rule in fv.RULES if rules is None else rules:
-        if not rule.get("enabled", True):
-            continue
+
+    def compiled(rule: dict, path: tuple[str, ...]) -> None:
+        if rule["id"] in fired or not rule.get("enabled", True):
+            return
+        if rule["id"] in path:
+            raise ValueError(f"rules require each other: {' > '.join([*path, rule['id']])}")
         condition = rule["condition"]
         if condition["type"] not in CONDITIONS:
             raise ValueError(f"unknown condition type {condition['type']!r} in rule {rule['id']}")
+        for needed in condition.get("requires_rules", []):
+            if needed not in by_id:
+                raise ValueError(f"rule {rule['id']} requires the unknown rule {needed!r}")
+            compiled(by_id[needed], (*path, rule["id"]))
         fired[rule["id"]] = CONDITIONS[condition["type"]](condition, ts, fired)
-    return fired
+
+    for rule in listed:
+        compiled(rule, ())
+    return {rule["id"]: fired[rule["id"]] for rule in listed if rule["id"] in fired}
 
 
 def triggered(ts: Column, rules: list[dict] | None = None) -> Column:

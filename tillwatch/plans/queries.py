@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed_values as fv
-from ..operators import admission, dedup, joins, lookups, reports, rules, scoring, sessions, storage, validation, velocity
+from ..operators import admission, dedup, joins, lookups, reports, rules, scoring, sessions, sketches, storage, validation, velocity
 from ..schemas import FRAUD_RESULTS, TRANSACTIONS
+from ..session import new_table_path
 from ..sources import frames, replay
 from ..sources import sample_data as sd
 from . import oracles as o
@@ -738,6 +739,17 @@ def x06(spark, sf):
     return velocity.bucket_distinct_approx(vms_transactions(spark, sf))
 
 
+@query(
+    "x06_stored_sketches",
+    f"""WITH {o.TX} SELECT card_hash, vms // 3600000 AS hour, count(DISTINCT merchant_id) AS unique_merchants,
+    count(DISTINCT terminal_id) AS unique_terminals FROM tx GROUP BY ALL""",
+)
+def x06_stored(spark, sf):
+    """An hour's distinct counts from the stored states of its buckets."""
+    states = stored(spark, sketches.bucket_states(vms_transactions(spark, sf)), "states")
+    return sketches.united(states, F.col("card_hash"), F.expr("bucket div 12").alias("hour"))
+
+
 _FEATURE_NAMES = [name for name, *_ in fv.MODEL]
 
 
@@ -930,6 +942,39 @@ query(
     "a10_latency_histogram",
     f"WITH {o.TX} {o.histogram('tx', '(processed_ms - vms)', fv.LATENCY_BUCKETS, scale=1000)}",
 )(lambda spark, sf: reports.latency_histogram(sd.transactions(spark, sf), F.col("vms"), F.col("processed_ms")))
+
+
+def stored(spark, rows, name):
+    """``rows`` written and read back."""
+    path = new_table_path(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _quantiles_sql(value: str, by: str) -> str:
+    at = [f"max(CASE WHEN r = ({p} * n + 99) // 100 THEN v END) AS p{p}" for p in (50, 95, 99)]
+    return f"""WITH {o.TX if 'score' not in value else o.DECIDED}, vals AS (SELECT {by}, vms // 3600000 * 3600000 AS start_ms, {value} AS v
+      FROM {'dec' if 'score' in value else 'tx'}),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY {by}, start_ms ORDER BY v) AS r,
+      count(*) OVER (PARTITION BY {by}, start_ms) AS n FROM vals)
+    SELECT {by}, start_ms, max(n) AS n_rows, {', '.join(at)} FROM placed GROUP BY {by}, start_ms"""
+
+
+@query("a10_latency_quantiles", _quantiles_sql("processed_ms - vms", "terminal_id"))
+def a10_quantiles(spark, sf):
+    """Sketches per minute are stored; hours come from them."""
+    rows = sd.transactions(spark, sf)
+    minutes = sketches.quantile_states(rows, F.col("processed_ms") - F.col("vms"), F.col("vms"), "terminal_id")
+    hours = sketches.rolled_up(stored(spark, minutes, "minutes"), "terminal_id")
+    return sketches.quantiles(hours, 50, 95, 99)
+
+
+@query("a02_score_quantiles", _quantiles_sql("risk_score", "currency"))
+def a02_quantiles(spark, sf):
+    minutes = sketches.quantile_states(sd.decided(spark, sf), F.col("risk_score"), F.col("vms"), "currency")
+    return sketches.quantiles(sketches.rolled_up(stored(spark, minutes, "minutes"), "currency"), 50, 95, 99)
+
+
 query(
     "a11_fallback_count",
     f"WITH {o.FALLBACK} SELECT count(CASE WHEN score_source = 'fallback' THEN 1 END) AS fallbacks, count(*) AS decisions FROM fb",
