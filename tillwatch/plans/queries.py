@@ -14,7 +14,7 @@ from ..functions import fixed_values as fv
 from ..operators import admission, dedup, joins, lookups, reports, rules, scoring, sessions, sketches, storage, validation, velocity
 from ..schemas import FRAUD_RESULTS, TRANSACTIONS
 from ..session import new_table_path
-from ..sources import frames, replay
+from ..sources import frames, protobuf, replay
 from ..sources import sample_data as sd
 from . import oracles as o
 from . import scoring_flow as flow
@@ -107,6 +107,37 @@ def s03(spark, sf):
     )
 
 
+# the same records as messages: some are cut, and some have a field that readers do not know
+@query(
+    "s03_protobuf_decode",
+    f"""WITH {o.FRAMES}, r AS (SELECT *, CASE WHEN event_id % 50 = 2 THEN reason || ': truncated' ELSE reason END AS why FROM decoded)
+    SELECT event_id AS "offset", why AS reason, CASE WHEN reason IS NULL THEN txn_id END AS txn_id,
+    CASE WHEN reason IS NULL THEN amount_minor END AS amount_minor, CASE WHEN reason IS NULL THEN currency END AS currency,
+    CASE WHEN reason IS NULL THEN decision END AS decision, CASE WHEN reason IS NULL THEN risk_score END AS risk_score,
+    CASE WHEN reason IS NULL THEN event_type END AS triggered_rules FROM r""",
+)
+def s03_protobuf(spark, sf):
+    d = sd.decided(spark, sf).withColumn("triggered_rules", F.array("event_type"))
+    columns = [c for c in protobuf.RESULT_FIELDS if c in d.columns]
+    message = protobuf.encode(columns, protobuf.RESULT_FIELDS)
+    d = d.select("event_id", message.alias("message"))
+    payload = (
+        F.when(F.expr("event_id % 50 = 2"), F.expr("substring(message, 1, length(message) - 1)"))
+        .when(F.expr("event_id % 50 = 3"), F.concat("message", F.lit(protobuf.encoded({"x": 1}, {"x": 99}))))
+        .otherwise(F.col("message"))
+    )
+    good = frames.frame(payload, sd.SCHEMA_ID)
+    value = F.when(F.expr("event_id % 50 = 0"), F.lit(b"\x00\x01\x02")).when(F.expr("event_id % 50 = 1"), F.concat(F.lit(b"\x01"), good))
+    framed = d.select(F.col("event_id").alias("offset"), value.otherwise(good).alias("value"))
+    df = protobuf.decode(frames.triage(framed), FRAUD_RESULTS, protobuf.RESULT_FIELDS)
+    read = F.col("reason").isNull()
+    return df.select(
+        "offset", "reason",
+        *[F.when(read, F.col(f"event.{c}")).alias(c) for c in ("txn_id", "amount_minor", "currency", "decision", "risk_score")],
+        F.when(read, F.concat_ws(",", "event.triggered_rules")).alias("triggered_rules"),
+    )
+
+
 _MERCHANT_ROWS = f"""WITH {o.MERCHANTS} SELECT merchant_id, risk::DOUBLE AS risk_score, epoch_us(updated_at) // 1000 AS updated_ms
     FROM mer"""
 
