@@ -42,8 +42,9 @@ def successors(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
     known = stamps.select("idempotency_key", F.col("ms").alias("at"), F.col("ms").alias("stamp"), F.lit(None).cast("long").alias("ms"))
     rows = asked.unionByName(known).withColumn("block", _block(F.col("at")))
     hours = rows.groupBy("idempotency_key", "block").agg(F.min("stamp").alias("first"))
-    by_hour = Window.partitionBy("idempotency_key").orderBy("block")
-    later = by_hour.rowsBetween(1, Window.unboundedFollowing)
+    # from the last hour on, so the frame only ever grows
+    by_hour = Window.partitionBy("idempotency_key").orderBy(F.desc("block"))
+    later = by_hour.rowsBetween(Window.unboundedPreceding, -1)
     hours = hours.select("idempotency_key", "block", F.min("first").over(later).alias("next_hour"))
     by_time = Window.partitionBy("idempotency_key", "block").orderBy(F.desc("at"))
     ahead = F.min("stamp").over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))

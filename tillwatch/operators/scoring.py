@@ -21,6 +21,25 @@ def check_model(model: Model) -> Model:
     return model
 
 
+def model_faults(models: DataFrame, features: DataFrame) -> DataFrame:
+    """(model_id, fault) of stored models: ``models`` (model_id) with their ``features`` (model_id, feature, weight).
+
+    Faults are those that ``check_model`` refuses, and a feature listed twice; a model has a row for each. Weights are
+    added in millionths, so the order of the rows does not matter.
+    """
+    listed = features.groupBy("model_id", "feature").agg(
+        F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("millionths"), F.count("*").alias("times")
+    )
+    sums = listed.groupBy("model_id").agg(F.sum("millionths").alias("total"), F.max("times").alias("times"))
+    met = models.select("model_id").distinct().join(sums, "model_id", "left")
+    faults = F.array(
+        F.when(F.col("total").isNull(), F.lit("no feature")),
+        F.when(F.col("total") > 1_000_000, F.lit("weights add up to more than 1")),
+        F.when(F.col("times") > 1, F.lit("a feature is listed twice")),
+    )
+    return met.select("model_id", F.explode(F.array_compact(faults)).alias("fault"))
+
+
 Contribution = tuple[str, float, Column]
 
 

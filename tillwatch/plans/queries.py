@@ -899,6 +899,25 @@ def c08(spark, sf):
 _RESULT_COLUMNS = [*[f.name for f in TRANSACTIONS.fields], "processed_at", "decision", "risk_score", "triggered_rules", "contributing_factors"]
 
 
+# nations as models, their suppliers as features
+@query(
+    "c09_model_check",
+    """WITH f AS (SELECT s_nationkey AS model_id, s_suppkey % 6 AS feature, s_suppkey * 37 % 101 AS hundredths FROM supplier),
+    l AS (SELECT model_id, feature, sum(hundredths) AS s, count(*) AS times FROM f GROUP BY ALL),
+    m AS (SELECT n_nationkey AS model_id, sum(s) AS total, max(times) AS times FROM nation LEFT JOIN l ON model_id = n_nationkey GROUP BY 1)
+    SELECT model_id, 'no feature' AS fault FROM m WHERE total IS NULL
+    UNION ALL SELECT model_id, 'weights add up to more than 1' FROM m WHERE total > 400
+    UNION ALL SELECT model_id, 'a feature is listed twice' FROM m WHERE times > 1""",
+)
+def c09(spark, sf):
+    models = sd.table(spark, sf, "nation").select(F.col("n_nationkey").alias("model_id"))
+    weight = F.expr("(s_suppkey * 37 % 101) / 400")
+    features = sd.table(spark, sf, "supplier").select(
+        F.col("s_nationkey").alias("model_id"), F.expr("s_suppkey % 6").alias("feature"), weight.alias("weight")
+    )
+    return scoring.model_faults(models, features)
+
+
 @query(
     "c10_score_transactions",
     f"""WITH {o.SCORED} SELECT * FROM (SELECT {', '.join(c for c in _RESULT_COLUMNS if c != 'processed_at')},

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..operators.dedup import with_original
-from ..operators.storage import read_if_present
+from ..operators.storage import existing_paths
 from .batches import put_batch, start_batches
 
 ORIGINS = T.StructType(
@@ -52,10 +52,12 @@ class IdempotencyJob:
         """Originals of earlier batches in the days around the batch, by (key, day) of the requests they can meet."""
         day = F.call_function("div", F.col("ms"), F.lit(self.ttl_ms))
         days = {row["day"] + k for row in batch.select(day.alias("day")).distinct().collect() if row["day"] is not None for k in (-1, 0, 1)}
-        origins = read_if_present(batch.sparkSession, f"{self.folder}/origins", ORIGINS)
-        if origins is None or not days:
+        spark, place = batch.sparkSession, f"{self.folder}/origins"
+        paths = existing_paths(spark, [f"{place}/day={day}" for day in sorted(days)])
+        if not paths:
             return None
-        known = origins.filter(F.col("day").isin(sorted(days)) & (F.col("batch_id") < batch_id))
+        origins = spark.read.schema(ORIGINS).option("basePath", place).parquet(*paths)
+        known = origins.filter(F.col("batch_id") < batch_id)
         known = known.groupBy("idempotency_key", "origin_ms").agg(F.min("original_txn_id").alias("original_txn_id"))
         own = F.call_function("div", F.col("origin_ms"), F.lit(self.ttl_ms))
         return known.withColumn("request_day", F.explode(F.sequence(own - 1, own + 1)))
