@@ -18,10 +18,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import new_table_path
+
 #: Milliseconds of a block, and blocks of a chunk.
 BLOCK_MS, CHUNK = 60_000, 60
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Bucket:
     """``rate`` tokens a second up to ``burst``; a request takes one. State counts parts of a token, so that a
@@ -76,7 +84,8 @@ def per_request(
     """``requests`` (client_id, ms, request_id) with ``admitted``.
 
     A client's bucket is full before its first request. Requests of a client in one millisecond are
-    taken in the order of request_id, which tells requests apart. Refused requests take nothing.
+    taken in the order of request_id, which tells requests apart. Refused requests take nothing. The tables of the
+    blocks and the room of each millisecond are written to the shared folder.
     """
     bucket = Bucket(rate, burst)
     span = block_ms * chunk
@@ -90,7 +99,8 @@ def per_request(
         table, _ = _through(bucket, every, members, block * block_ms, (block + 1) * block_ms)
         return pd.DataFrame({"client_id": members["client_id"].iloc[:1].to_numpy(), "block": [block], "ends": [table.tolist()]})
 
-    blocks = per_ms.groupBy(*key).applyInPandas(summary, "client_id string, block long, ends array<int>")
+    # read twice, on the way up and on the way down
+    blocks = _written(per_ms.groupBy(*key).applyInPandas(summary, "client_id string, block long, ends array<int>"), "blocks")
 
     def along(members: pd.DataFrame, column: str, width: int, begin: int, start) -> list:
         """The states before each member's time (number in ``column``, of ``width``), from ``start`` at ``begin``."""
@@ -138,6 +148,7 @@ def per_request(
     rooms = per_ms.groupBy(*key).cogroup(block_state.groupBy("client_id", "block")).applyInPandas(
         admit, "client_id string, ms long, room int"
     )
+    rooms = _written(rooms, "rooms")
     # no more than ``burst`` requests of a millisecond can be admitted, so no task ranks more of one than that
     first = Window.partitionBy("client_id", "ms").orderBy("request_id")
     early = requests.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= burst)

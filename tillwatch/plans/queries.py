@@ -130,6 +130,8 @@ def s03_protobuf(spark, sf):
     value = F.when(F.expr("event_id % 50 = 0"), F.lit(b"\x00\x01\x02")).when(F.expr("event_id % 50 = 1"), F.concat(F.lit(b"\x01"), good))
     framed = d.select(F.col("event_id").alias("offset"), value.otherwise(good).alias("value"))
     df = protobuf.decode(frames.triage(framed), FRAUD_RESULTS, protobuf.RESULT_FIELDS)
+    # decoded once and stored, as an ingest does
+    df = stored(spark, df.select("offset", "reason", "event"), "decoded")
     read = F.col("reason").isNull()
     return df.select(
         "offset", "reason",
