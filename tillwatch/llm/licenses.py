@@ -2,10 +2,11 @@
 
 All rolling word triples of the texts are joined with the triples of license
 templates. A hit votes for its diagonal: text position minus template position.
-Neighbouring diagonals close together are one span (words put in or left out move
-a quotation to the next diagonal), and a span counts when it holds enough of its
-template and, against each template of another label, a triple that the other has not.
-A phrase is a template that must stand whole on one diagonal.
+Diagonals inside a stronger one far from it come from triples that a template
+repeats, and are dropped. Neighbouring diagonals close together are one span (words
+put in or left out move a quotation to the next diagonal), and a span counts when it
+holds enough of its template and, against each template of another label, a triple
+that the other has not. A phrase is a template that must stand whole on one diagonal.
 
 The templates are a fixed list, so their triples may always be broadcast.
 """
@@ -78,13 +79,17 @@ def triples(spark: SparkSession, phrases: dict[str, str], templates: list[tuple[
     )]
     table = spark.createDataFrame(rows, "template int, label string, text string, phrase boolean")
     split = table.withColumn("_w", words(F.col("text"))).withColumn("size", F.size("_w") - (K - 1)).filter("size > 0")
-    rolled = split.select("template", "label", "phrase", "size", "_w", F.posexplode(_rolling(F.col("_w"))).alias("place", "hash"))
-    return rolled.filter("place < size").withColumn("words", F.slice("_w", F.col("place") + 1, F.lit(K))).drop("_w")
+    rolled = split.select("template", "label", "phrase", "size", F.posexplode(_rolling(F.col("_w"))).alias("place", "gram"))
+    return rolled.filter("place < size").select("template", "label", "phrase", "size", "place", "gram.hash", "gram.words")
 
 
 def _rolling(ws: Column) -> Column:
-    """Hash of the triple at each word; the last places of a text hash what is left, which no template has."""
-    return F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+    """(hash, words) of the triple at each word; the last places of a text hold what is left, which no template has."""
+    def gram(w: Column, i: Column) -> Column:
+        three = [w, F.get(ws, i + 1), F.get(ws, i + 2)]
+        return F.struct(F.xxhash64(*three).alias("hash"), F.array(*three).alias("words"))
+
+    return F.transform(ws, gram)
 
 
 def tells(table: DataFrame) -> DataFrame:
@@ -101,66 +106,69 @@ def tells(table: DataFrame) -> DataFrame:
 
 
 def spans(
-    docs: DataFrame,
-    phrases: dict[str, str] | None = None,
-    templates: list[tuple[str, str]] | None = None,
-    verify: bool = True,
+    docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None
 ) -> DataFrame:
     """One row per span, and one with null ``label`` for each document: _row, doc_id, n_words, label,
-    phrase, first_word, last_word, share. Needs doc_id and text; ``_row`` tells documents apart.
-    Without ``verify`` a span counts by its share alone, whichever template it comes from."""
+    phrase, first_word, last_word, share. Needs doc_id and text; ``_row`` tells documents apart."""
     phrases = PHRASES if phrases is None else phrases
     table = triples(docs.sparkSession, phrases, TEMPLATES if templates is None else templates)
     # one more triple of its own brings every document through the join
+    every = F.struct(F.xxhash64(F.lit("every document"), F.lit(0)).alias("hash"), F.array(F.lit("")).alias("words"))
     own = docs.sparkSession.range(1).select(
         F.lit(-1).alias("template"), F.lit(None).cast("string").alias("label"), F.lit(False).alias("phrase"),
-        F.lit(1).alias("size"), F.lit(0).alias("place"), F.xxhash64(F.lit("every document"), F.lit(0)).alias("hash"),
-        F.lit(None).cast("array<string>").alias("words"),
+        F.lit(1).alias("size"), F.lit(0).alias("place"), every["hash"].alias("hash"), every["words"].alias("words"),
     )
-    equal = F.col("label").isNull() | (F.slice("_w", F.col("at") + 1, F.lit(K)) == F.col("words"))
     cut = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words(F.col("text")).alias("_w"))
-    rolled = cut.select(
-        "_row", "doc_id", F.size("_w").cast("long").alias("n_words"), "_w",
-        F.posexplode(F.array_append(_rolling(F.col("_w")), F.xxhash64(F.lit("every document"), F.lit(0)))).alias("at", "hash"),
+    # each row of the explode has its three words; the array of all would make long texts quadratic
+    grams = cut.select(
+        "_row", "doc_id", F.size("_w").cast("long").alias("n_words"), F.array_append(_rolling(F.col("_w")), every).alias("_grams")
+    )
+    rolled = grams.select("_row", "doc_id", "n_words", F.posexplode("_grams").alias("at", "gram")).select(
+        "_row", "doc_id", "n_words", "at", F.col("gram.hash").alias("hash"), F.col("gram.words").alias("_three")
     )
-    hits = rolled.join(F.broadcast(table.unionByName(own)), "hash").filter(equal).select(
+    hits = rolled.join(F.broadcast(table.unionByName(own)), "hash").filter(F.col("_three") == F.col("words")).select(
         "_row", "doc_id", "n_words", "template", "label", "phrase", "size",
         F.col("at").cast("long"), (F.col("at") - F.col("place")).cast("long").alias("diagonal"), "place",
     )
     hits = hits.repartition("_row")
     diagonals = hits.groupBy("_row", "doc_id", "n_words", "template", "label", "phrase", "size", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"),
-        *([F.collect_set("place").alias("places")] if verify else []),
+        F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"), F.collect_set("place").alias("places"),
+    )
+    alone = F.col("phrase") | F.col("label").isNull()
+    before = (
+        Window.partitionBy("_row", "template").orderBy("low", F.desc("high"), "diagonal")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    outer = F.max(F.struct("high", "votes", "diagonal")).over(before)
+    stray = (
+        ~alone & (F.col("_outer.high") >= F.col("high")) & (F.col("_outer.votes") > F.col("votes"))
+        & (F.abs(F.col("diagonal") - F.col("_outer.diagonal")) > DRIFT)
     )
+    straight = diagonals.withColumn("_outer", outer).filter(~F.coalesce(stray, F.lit(False)))
     order = Window.partitionBy("_row", "template").orderBy("low", "diagonal")
     far = (F.col("low") - F.lag("high").over(order) > GAP) | (
         F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > DRIFT
     )
-    alone = F.col("phrase") | F.col("label").isNull()
     merged = (
-        diagonals.withColumn("_new", F.coalesce(alone | far, F.lit(True)).cast("int"))
+        straight.withColumn("_new", F.coalesce(alone | far, F.lit(True)).cast("int"))
         .withColumn("_span", F.sum("_new").over(order))
         .groupBy("_row", "doc_id", "n_words", "template", "label", "phrase", "size", "_span")
         .agg(
             F.sum("votes").alias("votes"), F.min("low").alias("first_word"), (F.max("high") + (K - 1)).alias("last_word"),
-            *([F.flatten(F.collect_list("places")).alias("places")] if verify else []),
+            F.flatten(F.collect_list("places")).alias("places"),
         )
     )
-    if verify:
-        told = merged.join(F.broadcast(tells(table)), "template", "left")
-        merged = told.filter(F.col("tells").isNull() | F.forall("tells", lambda apart: F.arrays_overlap(apart, "places")))
+    told = merged.join(F.broadcast(tells(table)), "template", "left")
+    verified = told.filter(F.col("tells").isNull() | F.forall("tells", lambda apart: F.arrays_overlap(apart, "places")))
     share = F.least(F.col("votes") / F.col("size"), F.lit(1.0))
     needed = F.when(F.col("phrase"), F.lit(1.0)).otherwise(F.lit(ENOUGH))
-    return merged.withColumn("share", share).filter(F.col("label").isNull() | (F.col("share") >= needed)).select(
+    return verified.withColumn("share", share).filter(F.col("label").isNull() | (F.col("share") >= needed)).select(
         "_row", "doc_id", "n_words", "label", "phrase", "first_word", "last_word", "share"
     )
 
 
 def scan(
-    docs: DataFrame,
-    phrases: dict[str, str] | None = None,
-    templates: list[tuple[str, str]] | None = None,
-    verify: bool = True,
+    docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -171,7 +179,7 @@ def scan(
     other than doc_id and text are not read.
     """
     base = F.col("phrase")
-    found = spans(docs, phrases, templates, verify).groupBy("_row", "doc_id", "n_words").agg(
+    found = spans(docs, phrases, templates).groupBy("_row", "doc_id", "n_words").agg(
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("first_word"))).alias("first_word"),
         F.max(F.when(base, F.col("first_word"))).alias("last_word"),

@@ -67,6 +67,12 @@ WITH templates AS (
   SELECT template, label, phrase, len(w) - {K - 1} AS size, unnest(range(len(w) - {K - 1})) AS place, w FROM templates
 ), triples AS (
   SELECT template, label, phrase, size, place, array_to_string(w[place + 1:place + {K}], ' ') AS gram FROM grams
+), apart AS (
+  SELECT a.template, a.size, o.template AS other, a.place
+  FROM triples a JOIN (SELECT DISTINCT template, label FROM triples WHERE NOT phrase) o ON a.label <> o.label
+  WHERE NOT a.phrase AND NOT EXISTS (SELECT 1 FROM triples b WHERE b.template = o.template AND b.gram = a.gram)
+), tells AS (
+  SELECT template, other, list(place) AS telling FROM apart GROUP BY template, other, size HAVING count(*) <= size * (1 - {ENOUGH})
 ), docs AS (
   SELECT row_number() OVER () AS r, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '{LETTERS}') AS w FROM documents
@@ -74,19 +80,29 @@ WITH templates AS (
   SELECT r, place AS pos, array_to_string(w[place + 1:place + {K}], ' ') AS gram
   FROM (SELECT r, w, unnest(range(len(w) - {K - 1})) AS place FROM docs WHERE len(w) >= {K})
 ), diagonals AS (
-  SELECT r, template, label, phrase, size, pos - place AS diagonal, count(*) AS votes, min(pos) AS low, max(pos) AS high
+  SELECT r, template, label, phrase, size, pos - place AS diagonal, count(*) AS votes, min(pos) AS low, max(pos) AS high,
+         list(DISTINCT place) AS places
   FROM rolled JOIN triples USING (gram) GROUP BY ALL
+), inside AS (
+  SELECT *, max([high, votes, diagonal]) OVER (
+    PARTITION BY r, template ORDER BY low, high DESC, diagonal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS outermost
+  FROM diagonals
+), straight AS (
+  SELECT * EXCLUDE (outermost) FROM inside
+  WHERE phrase OR outermost IS NULL OR outermost[1] < high OR outermost[2] <= votes OR abs(diagonal - outermost[3]) <= {DRIFT}
 ), starts AS (
   SELECT *, CASE WHEN phrase OR lag(high) OVER o IS NULL OR low - lag(high) OVER o > {GAP}
                    OR abs(diagonal - lag(diagonal) OVER o) > {DRIFT} THEN 1 ELSE 0 END AS fresh
-  FROM diagonals WINDOW o AS (PARTITION BY r, template ORDER BY low, diagonal)
+  FROM straight WINDOW o AS (PARTITION BY r, template ORDER BY low, diagonal)
 ), numbered AS (
   SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY low, diagonal) AS span FROM starts
 ), spans AS (
-  SELECT r, template, label, phrase, size, span, least(sum(votes) / size, 1.0)::DOUBLE AS share, min(low) AS low
+  SELECT r, template, label, phrase, size, span, least(sum(votes) / size, 1.0)::DOUBLE AS share, min(low) AS low,
+         flatten(list(places)) AS places
   FROM numbered GROUP BY r, template, label, phrase, size, span
 ), kept AS (
-  SELECT * FROM spans WHERE share >= CASE WHEN phrase THEN 1.0 ELSE {ENOUGH} END
+  SELECT * FROM spans s WHERE share >= CASE WHEN phrase THEN 1.0 ELSE {ENOUGH} END
+    AND NOT EXISTS (SELECT 1 FROM tells t WHERE t.template = s.template AND NOT list_has_any(t.telling, s.places))
 ), found AS (
   SELECT r, count(*) FILTER (phrase) AS n_base, min(low) FILTER (phrase) AS first_word, max(low) FILTER (phrase) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase) AS base_labels,
