@@ -138,6 +138,26 @@ def test_ranges_open_matching_files_only(spark, sf_dir, table):
     assert content(ranged) == content(lookups.date_range(rows, *span))
 
 
+def test_keys_are_read_from_the_months_of_the_rows_only(spark, sf_dir, table):
+    rows = q.month_rows(spark, sf_dir)
+    held = F.pmod(F.xxhash64("txn_id"), F.lit(3)) > 0
+    snapshots.upsert(spark, table, rows.filter(held & (F.col("amount_minor") % 2 == 0)), q.now())
+    snapshots.upsert(spark, table, rows.filter(held & (F.col("amount_minor") % 2 == 1)), q.now())
+    month = rows.filter(~held).first()["txn_month"]
+    asked = rows.filter(F.col("txn_month") == month)
+    asked = asked.unionByName(asked.limit(1).withColumn("txn_id", F.lit(None).cast("string")))
+    keys = snapshots.stored_keys(spark, table, [month])
+    assert keys.columns == storage.KEY and keys.inputFiles()
+    assert all(f"txn_month={month}/" in f for f in keys.inputFiles())
+    assert len(keys.inputFiles()) < len(snapshots.stored_keys(spark, table).inputFiles())
+    expected = content(asked.join(rows.filter(held), storage.KEY, "left_anti"))
+    assert content(snapshots.unstored(spark, table, asked)) == expected
+    snapshots.compact(spark, table)
+    assert content(snapshots.unstored(spark, table, asked)) == expected
+    assert snapshots.unstored(spark, table, asked.limit(0)).count() == 0
+    assert content(snapshots.unstored(spark, f"{table}-none", asked)) == content(asked)
+
+
 def test_bloom_filters_are_in_the_files(spark, sf_dir, table):
     """A filter sized for BLOOM_VALUES is far larger than the few rows of a month; a column that repeats few values
     has a dictionary instead, which rules out row groups as well."""

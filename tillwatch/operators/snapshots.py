@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import STORED
-from .storage import DECISION_COLUMNS, KEY, merge_rows
+from .joins import not_stored
+from .storage import DECISION_COLUMNS, KEY, merge_rows, month_of
 
 SEGMENT = T.StructType([*STORED.fields, T.StructField("committed_at", T.TimestampType())])
 #: Ranges kept of every file.
@@ -279,6 +280,20 @@ def read(spark: SparkSession, table: str, version: int | None = None, months: li
     return spark.createDataFrame([], STORED) if rows is None else rows.select(columns)
 
 
+def stored_keys(spark: SparkSession, table: str, months: list[str] | None = None) -> DataFrame:
+    """The primary keys of the table, or of those months of it; one may repeat. No upsert deletes, so a key that
+    any live segment has is stored: nothing is merged, and two columns of the months' files are read."""
+    parts = _union([_segment(spark, table, s, months) for s in snapshot(spark, table)["segments"]])
+    return spark.createDataFrame([], STORED).select(*KEY) if parts is None else parts.select(*KEY)
+
+
+def unstored(spark: SparkSession, table: str, rows: DataFrame) -> DataFrame:
+    """The rows whose primary key is not in the table. The key holds the time and the time tells the month, so only
+    files of the months of ``rows`` are opened; a null in the key is in no table."""
+    found = rows.select(month_of(F.col("txn_timestamp"))).distinct().collect()
+    return not_stored(rows, stored_keys(spark, table, [r[0] for r in found]))
+
+
 def files_with(spark: SparkSession, table: str, segments: list[dict], condition: Column) -> list[str]:
     """The files of the segments' live months whose ranges satisfy ``condition``; they are found by a query over the
     ranges, and only their names come to the driver."""

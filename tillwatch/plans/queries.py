@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed_values as fv
-from ..operators import admission, dedup, joins, lookups, reports, rules, scoring, sessions, sketches, storage, validation, velocity
+from ..operators import admission, dedup, joins, lookups, reports, rules, scoring, sessions, sketches
+from ..operators import snapshots, storage, validation, velocity
 from ..schemas import FRAUD_RESULTS, TRANSACTIONS
 from ..session import new_table_path
 from ..sources import frames, protobuf, replay
@@ -753,6 +754,18 @@ def j06(spark, sf):
     return joins.not_stored(rows, before).select("txn_id", C.format_ts(F.col("txn_timestamp")).alias("txn_timestamp"))
 
 
+@query("j06_snapshot_filter", ORACLES["j06_replay_filter"])
+def j06_snapshot(spark, sf):
+    """Against the written table: a base of most purchases, an upsert of the others, keys read by month."""
+    bought = storage.to_stored(sd.decided(spark, sf).filter("event_type = 'purchase'"), now())
+    late = F.pmod(F.xxhash64("txn_id"), F.lit(5)) == 0
+    table = new_table_path(spark, "snapshots")
+    for part in (bought.filter(~late), bought.filter(late)):
+        snapshots.upsert(spark, table, part, now())
+    missing = snapshots.unstored(spark, table, stored_rows(spark, sf))
+    return missing.select("txn_id", C.format_ts(F.col("txn_timestamp")).alias("txn_timestamp"))
+
+
 # --- velocity and other windows --------------------------------------------------
 
 for _i, _col in enumerate(o.VELOCITY_SQL, 1):

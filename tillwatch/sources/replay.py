@@ -114,7 +114,7 @@ def replay(spark: SparkSession, quarantine_path: str, table: str, now: Column, s
 
 
 class MonthStore:
-    """The month table."""
+    """The month table; ``read`` has at least the keys of the months."""
 
     def read(self, spark: SparkSession, table: str, months: list[str]) -> DataFrame | None:
         stored = read_table(spark, table)
@@ -128,7 +128,7 @@ class SnapshotStore:
     """The snapshot table."""
 
     def read(self, spark: SparkSession, table: str, months: list[str]) -> DataFrame:
-        return snapshots.read(spark, table, months=months)
+        return snapshots.stored_keys(spark, table, months)
 
     def write(self, spark: SparkSession, table: str, rows: DataFrame, now: Column) -> None:
         snapshots.upsert(spark, table, rows, now)
