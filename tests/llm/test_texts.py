@@ -37,6 +37,24 @@ def test_mix_takes_whole_steps_and_meets_targets(spark):
     assert ((taken - target).abs() <= 0.02 * target + 120).all()
 
 
+def test_null_and_repeated_ids_spread_over_buckets(spark):
+    """A third of the rows without an id, a third of one id, all of one size."""
+    rows = [(None if n % 3 == 0 else 7 if n % 3 == 1 else n, f"w{n} a b", "s") for n in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bucket = mixing.bucket_of(mixing.hash_of(F.col("doc_id"), F.col("text")))
+    assert docs.groupBy(bucket).count().agg(F.max("count")).first()[0] < 40
+    mixed = mixing.mix(docs, weights=(1,))
+    assert mixed.agg(F.sum("copies"), F.count("*")).first()[:] == (30_000, 30_000)
+
+
+@pytest.mark.parametrize("bits", [1, 20])
+def test_mix_does_not_depend_on_buckets(spark, odd_docs, monkeypatch, bits):
+    columns = ["doc_id", "size", "source", "copies"]
+    before = sorted(map(repr, mixing.mix(odd_docs).select(columns).collect()))
+    monkeypatch.setattr(mixing, "BUCKET_BITS", bits)
+    assert sorted(map(repr, mixing.mix(odd_docs).select(columns).collect())) == before
+
+
 def test_mix_odd_documents(spark, odd_docs):
     mixed = mixing.mix(odd_docs)
     assert set(odd_docs.columns) <= set(mixed.columns)

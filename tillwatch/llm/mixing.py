@@ -4,9 +4,10 @@ Within a source, every document gets an expected number of copies; these are add
 up along an order, one random offset is added, and a document is taken once for
 every whole number its interval crosses.
 
-The order runs through size classes, then 256 hash buckets, then size. The running
-sum has three levels (classes of a source, buckets of a class, documents of a
-bucket), so no task ever gets a whole source or a whole size.
+The order runs through size classes, then by a hash of id and text. The running sum
+has three levels (classes of a source, buckets of a class, documents of a bucket);
+a bucket is a range of hashes, so no task gets a whole source, a whole size, or the
+rows of one repeated or null id. Rows equal in id and text are in one bucket.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .common import fraction_of, numbered, written
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Copies are added up as whole numbers of this many parts.
 UNIT = 1_000_000_000_000
+#: Leading bits of the 32 of a hash that tell its bucket. The order, hence the mix, does not depend on them.
+BUCKET_BITS = 12
 
 
 def word_count(text: Column) -> Column:
@@ -57,6 +60,16 @@ def _size_class(size: Column) -> Column:
     return F.call_function("shiftright", size, more) + more * 32
 
 
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """32 bits of an MD5 of id and text, null like empty."""
+    both = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 8), 16, 10).cast("long")
+
+
+def bucket_of(hashed: Column) -> Column:
+    return F.call_function("shiftright", hashed, F.lit(32 - BUCKET_BITS)).cast("int")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 11) -> DataFrame:
     """``docs`` (doc_id, text, source, ...) with size, source_size, target and copies.
 
@@ -69,13 +82,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     own = ["size", "source_size", "target", "copies"]
     start_with, end_with = numbered(docs, [c for c in docs.columns if c not in own])
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     placed = (
         docs.select(
-            *start_with, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_src"), F.xxhash64("text").alias("_tie")
+            *start_with, "doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("_src"),
+            hash_of(F.col("doc_id"), F.col("text")).alias("_hash"),
         )
         .withColumn("_class", _size_class(F.col("size")))
-        .withColumn("_bucket", F.conv(F.substring(F.md5(doc), 1, 2), 16, 10).cast("int"))
+        .withColumn("_bucket", bucket_of(F.col("_hash")))
     )
     cells = written(
         placed.groupBy("_src", "_class", "_bucket").agg(
@@ -100,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
         .withColumn("_ahead", F.col("_above") + F.col("_near"))
         .drop("_above", "_near")
     )
-    order = Window.partitionBy("_src", "_class", "_bucket").orderBy("size", "doc_id", "_tie")
+    order = Window.partitionBy("_src", "_class", "_bucket").orderBy("_hash", "size", "doc_id")
     ranked = placed.withColumn("_rank", F.row_number().over(order))
     met = ranked.join(starts, ["_src", "_class", "_bucket"])
     last = (F.col("_ahead") + F.col("_rank")).cast("decimal(18,0)") * F.col("_each") + F.col("_start")

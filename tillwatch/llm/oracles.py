@@ -21,7 +21,7 @@ def mixing_sql(table: str = "documents", select: str = "") -> str:
 WITH sized AS (
   SELECT *, coalesce(len(regexp_extract_all(text, '{NOT_SPACE}')), 0)::BIGINT AS size,
          coalesce('s' || source, 'n') AS src,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2))::INT AS bucket
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 8))::UBIGINT AS hash
   FROM {table}
 ), placed AS (
   SELECT *, (size >> greatest(length(bin(size)) - 5, 0)) + 32 * greatest(length(bin(size)) - 5, 0) AS class FROM sized
@@ -47,7 +47,7 @@ WITH sized AS (
   FROM plan
 ), summed AS (
   SELECT p.*, u.source_size, u.target, u.unit,
-         u.start + u.unit * row_number() OVER (PARTITION BY src ORDER BY class, bucket, size, doc_id NULLS FIRST)::HUGEINT AS last
+         u.start + u.unit * row_number() OVER (PARTITION BY src ORDER BY class, hash, size, doc_id NULLS FIRST)::HUGEINT AS last
   FROM placed p JOIN units u USING (src)
 ), taken AS (
   SELECT *, (last // {UNIT} - (last - unit) // {UNIT})::BIGINT AS copies FROM summed

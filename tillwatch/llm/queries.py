@@ -33,7 +33,7 @@ def remainder(key: Column, divisor: int) -> Column:
 
 
 def _scored(docs: DataFrame, held_out: Column, score: Column, threshold: float) -> DataFrame:
-    scored = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    scored = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
