@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillwatch.functions import fixed_values as fv
 from tillwatch.operators import sessions as batch_sessions
 from tillwatch.operators.velocity import VELOCITY_COLUMNS, with_velocity
+from tillwatch.plans.catalog import QUERIES
 from tillwatch.session import new_table_path
 from tillwatch.sources import readers
 from tillwatch.streaming import panes, sessions
@@ -117,3 +118,14 @@ def test_pieces_merge_in_any_order():
         cut = draw.randrange(60)
         parts = [sessions.merged([(t, t, 1, [t]) for t in part], 30, 5) for part in (shuffled[:cut], shuffled[cut:])]
         assert sessions.merged([*parts[1], *parts[0]], 30, 5) == whole
+
+
+def test_keyed_state_in_a_session_of_another_store(spark, sf_dir):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        found = QUERIES["x08_stream_sessions"](spark, sf_dir)
+        assert found.count() == QUERIES["a15_failure_sessions"](spark, sf_dir).count() > 0
+    finally:
+        spark.conf.set(key, before)
