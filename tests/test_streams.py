@@ -10,6 +10,7 @@ from tillwatch.functions import fixed_values as fv
 from tillwatch.operators import dedup, reports, sessions, storage, velocity
 from tillwatch.plans import queries as q
 from tillwatch.plans import scoring_flow as flow
+from tillwatch.plans.stream_queries import in_order
 from tillwatch.schemas import RAW_FRAMES
 from tillwatch.session import new_table_path
 from tillwatch.sources import frames, readers, sinks
@@ -61,6 +62,22 @@ def batch_velocity(df):
     return sorted(map(tuple, velocity.with_velocity(df).select(cols).collect()))
 
 
+def test_a_micro_batch_arrives_as_files_of_all_tasks(spark):
+    rows = spark.range(0, 900, 1, 4).withColumnRenamed("id", "ms")
+    seen = {}
+
+    def job(batch, batch_id):
+        files = batch.select(F.input_file_name().alias("f")).distinct().count()
+        seen[batch_id] = (files, *batch.agg(F.count("*"), F.min("ms"), F.max("ms")).first())
+
+    def start(stream, checkpoint):
+        return stream.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    in_order(spark, rows.repartition(4), "ms", "numbers", start)
+    assert [seen[n][1:] for n in range(3)] == [(300, 0, 299), (300, 300, 599), (300, 600, 899)]
+    assert all(seen[n][0] > 1 for n in range(3))
+
+
 def test_velocity_job_equals_batch(spark, sf_dir, txns):
     path, df = txns
     folder, checkpoint = new_table_path(spark, "velocity"), new_table_path(spark, "cp")
