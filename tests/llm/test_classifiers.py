@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -73,3 +74,22 @@ def test_logistic_recovers_a_known_curve():
     y = (draw.random(20_000) < 1 / (1 + np.exp(-(2 * x + 0.5)))).astype(float)
     slope, base = quality._logistic(x, y, np.ones_like(x))
     assert slope == pytest.approx(2, abs=0.1) and base == pytest.approx(0.5, abs=0.1)
+
+
+def test_bags_are_not_all_in_memory():
+    """The driver holds the bags of one step, not those of the whole sample."""
+    draw = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [" ".join("".join(draw.choice(letters) for _ in range(9)) for _ in range(150)) for _ in range(400)]
+    whole = sum(8 * len(toxicity._bag(t)[0]) for t in texts)
+    expected = [toxicity._bag(t) for t in texts[:3]]
+    tracemalloc.start()
+    bags = toxicity.Bags(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bags) == 400 and peak < whole / 4
+    for n, (ids, share) in enumerate(expected):
+        assert (bags[n][0] == ids).all() and (bags[n][1] == share).all()
+    bags.dropped[expected[0][0][:2]] = True
+    assert (bags[0][0] == expected[0][0][2:]).all()
+    bags.close()

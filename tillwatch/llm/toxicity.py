@@ -12,6 +12,7 @@ bucket: the weight its vector adds to the toxic side.
 from __future__ import annotations
 
 import re
+import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,8 +34,6 @@ EPOCHS, BATCH, RATE, SCALE = 5, 32, 0.3, 10.0
 COMMON = 0.3
 #: Empty words that every text has besides its own.
 EMPTY = 20
-#: Texts whose bags share an array while the model is fitted.
-TOGETHER = 100
 #: Words whose weight a worker remembers; emptied when full.
 REMEMBERED = 300_000
 _FACTOR = np.uint64(0xD1342543DE82EF95)
@@ -82,23 +81,34 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return used.astype("int32"), np.bincount(inverse, each[owner]).astype("float32")
 
 
-def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The bags of ``texts``, which is emptied on the way, as parts of a few large arrays: a bag holds some
-    thousand buckets, and many small arrays would leave the driver's memory in pieces."""
-    bags = []
-    texts.reverse()
-    while texts:
-        part = [_bag(texts.pop()) for _ in range(min(TOGETHER, len(texts)))]
-        cuts = np.cumsum([0] + [len(ids) for ids, _ in part])
-        ids, share = (np.concatenate([bag[i] for bag in part]) for i in (0, 1))
-        bags += [(ids[a:b], share[a:b]) for a, b in zip(cuts, cuts[1:])]
-    return bags
+class Bags:
+    """The bags of ``texts``, which is emptied on the way, in a temporary file of the driver: a bag holds some thousand
+    buckets, and all of them would be the largest object there. Only the place of each is kept in memory."""
 
+    def __init__(self, texts: list[str]) -> None:
+        self._file = tempfile.TemporaryFile()
+        self._cuts = [0]
+        #: Buckets that are left out when bags are read.
+        self.dropped = np.zeros(BUCKETS, dtype=bool)
+        texts.reverse()
+        while texts:
+            for part in _bag(texts.pop()):
+                self._file.write(part.tobytes())
+            self._cuts.append(self._file.tell())
 
-def _without(bags: list, dropped: np.ndarray) -> None:
-    """Take the ``dropped`` buckets out of the bags by giving them no share, in place."""
-    for ids, share in bags:
-        share[dropped[ids]] = 0.0
+    def __len__(self) -> int:
+        return len(self._cuts) - 1
+
+    def __getitem__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        size = (self._cuts[n + 1] - self._cuts[n]) // 8
+        self._file.seek(self._cuts[n])
+        raw = self._file.read(8 * size)
+        ids, share = np.frombuffer(raw, "int32", size), np.frombuffer(raw, "float32", size, 4 * size)
+        kept = ~self.dropped[ids]
+        return ids[kept], share[kept]
+
+    def close(self) -> None:
+        self._file.close()
 
 
 @dataclass
@@ -132,7 +142,7 @@ class SubwordModel:
         return 1.0 / (1.0 + np.exp(-odds.astype("float64")))
 
 
-def _train(bags: list, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+def _train(bags: Bags, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     """Bucket weights and base after AdaGrad steps on the softmax loss, over vectors and softmax alike."""
     draw = np.random.default_rng(seed)
     vectors = ((draw.random((BUCKETS, DIMENSIONS)) - 0.5) / DIMENSIONS).astype("float32")
@@ -143,9 +153,10 @@ def _train(bags: list, y: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
         order = draw.permutation(len(bags))
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
-            ids = np.concatenate([bags[i][0] for i in rows])
-            share = np.concatenate([bags[i][1] for i in rows]) * SCALE
-            owner = np.repeat(np.arange(len(rows)), [len(bags[i][0]) for i in rows])
+            read = [bags[i] for i in rows]
+            ids = np.concatenate([bag[0] for bag in read])
+            share = np.concatenate([bag[1] for bag in read]) * SCALE
+            owner = np.repeat(np.arange(len(rows)), [len(bag[0]) for bag in read])
             near = vectors[ids] * share[:, None]
             mean = np.column_stack([np.bincount(owner, near[:, j], len(rows)) for j in range(DIMENSIONS)])
             odds = mean @ top + shift
@@ -180,15 +191,16 @@ def fit(
         return SubwordModel(np.zeros(BUCKETS), odds)
     texts = rows.pop("text").tolist()
     del rows
-    bags = _bags(texts)
-    held = np.zeros(BUCKETS, dtype="int64")
-    for (ids, _), mark in zip(bags, y):
-        if mark == 0:
-            held[ids] += 1  # a bag holds a bucket once
-    common = held > COMMON * (y == 0).sum()
-    _without(bags, common)
-    weights, base = _train(bags, y, seed)
-    weights = np.where(common, 0.0, weights)
+    bags = Bags(texts)
+    try:
+        held = np.zeros(BUCKETS, dtype="int64")
+        for n in np.flatnonzero(y == 0):
+            held[bags[n][0]] += 1  # a bag holds a bucket once
+        bags.dropped = held > COMMON * (y == 0).sum()
+        weights, base = _train(bags, y, seed)
+    finally:
+        bags.close()
+    weights = np.where(bags.dropped, 0.0, weights)
     return SubwordModel(weights, base + odds - float(np.log(y.mean() / (1 - y.mean()))))
 
 
