@@ -163,3 +163,25 @@ def test_copies_do_not_multiply(spark):
     got = sorted(tuple(r) for r in joins.status_lookup(ids, submitted, results).collect())
     declined = ("a", "DECLINED", "DECLINE", 800, "T1", "P2")
     assert got == [declined, declined, ("b", "PENDING", "", 0, "T2", ""), ("z", "NOT_FOUND", "", 0, "", "")]
+
+
+def test_chains_begin_anew_after_a_day_without_requests(spark):
+    """A link to a stamp that nothing can cover is not followed, and a stamp finds its original in an earlier hour."""
+    day, hour = fv.DAY_MS, fv.HOUR_MS
+    times = [0, 5 * hour, day, day + 1, 2 * day - 1, 2 * day, 2 * day + 1, 4 * day, 5 * day - 1, 6 * day, 6 * day + 23 * hour]
+    rows = [("k", t, f"t{n:02d}") for n, t in enumerate(times)] + [("other", 7, "o")]
+    requests = spark.createDataFrame(rows, "idempotency_key string, ms long, txn_id string")
+    stamps = requests.select("idempotency_key", "ms")
+    found = {(r["ms"], r["next_ms"]) for r in dedup.links(stamps).filter("idempotency_key = 'k'").collect()}
+    # from 2 days + 1 ms on the next stamp a day later is at 4 days, and nothing covers that one
+    assert {(0, None), (4 * day, None), (6 * day, None)} <= found
+    assert not [x for x in found if x[1] in (4 * day, 6 * day)]
+    got = {(r["idempotency_key"], r["ms"]): r["original_txn_id"] for r in dedup.with_original(requests).collect()}
+    origin, last = {}, {}
+    for key, ms, txn in rows:
+        if key not in last or ms - last[key][0] >= day:
+            last[key] = (ms, txn)
+        origin[key, ms] = last[key][1]
+    assert got == origin
+    plan = dedup.with_original(requests)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no original is sent to every hour it covers

@@ -8,11 +8,14 @@ original. That is a chain per key, and originals are at least 24 hours apart.
 * The successor of a stamp is the key's first stamp 24 hours later or more. It is
   looked for among the stamps of one hour, a window bounded by its milliseconds, and
   otherwise is the first stamp of the key's next hour that has any.
-* The chain is followed by doubling: successors, successors of successors, and so on,
-  each round one join on (key, millisecond). Rounds grow with the logarithm of the
-  days, and no key is ever gathered.
-* Stamps find their original by (key, hour), requests find their stamp by
-  (key, millisecond), so a busy key is spread however busy it is.
+* A stamp with none in the 24 hours before it is an original whatever came earlier,
+  so chains begin anew there, and no link to it is followed.
+* In between, chains are followed by doubling: successors, successors of successors,
+  and so on, each round one join on (key, millisecond). Rounds grow with the logarithm
+  of the days without such a gap, and no key is ever gathered.
+* The original of a stamp is the last one up to it: of its hour, else of the key's
+  last hour that has one. Requests find their stamp by (key, millisecond), so a busy
+  key is spread however busy it is.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..session import new_table_path
+from .storage import union_of
 
 BLOCK_MS = fv.HOUR_MS
 
@@ -36,20 +40,44 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def successors(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
-    """(idempotency_key, ms, next_ms) of ``stamps`` that have a later one at ``ttl_ms`` or more."""
-    asked = stamps.select("idempotency_key", (F.col("ms") + ttl_ms).alias("at"), F.lit(None).cast("long").alias("stamp"), "ms")
-    known = stamps.select("idempotency_key", F.col("ms").alias("at"), F.col("ms").alias("stamp"), F.lit(None).cast("long").alias("ms"))
+def _beside(hours: DataFrame, **carried: tuple[str, bool]) -> DataFrame:
+    """(idempotency_key, block) of ``hours`` with what the key's other hours hold. ``carried`` names columns:
+    the least of a column over later hours (name=(column, True)), or the greatest over earlier ones."""
+    by_hour = Window.partitionBy("idempotency_key")
+    # both frames only ever grow
+    later = by_hour.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_hour.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    values = [(F.min(c).over(later) if after else F.max(c).over(earlier)).alias(n) for n, (c, after) in carried.items()]
+    return hours.select("idempotency_key", "block", *values)
+
+
+def links(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
+    """(idempotency_key, ms, next_ms) of ``stamps``: the successor of each that has one, unless that begins a chain
+    anew; and each stamp that begins a chain, with next_ms null."""
+    asked = stamps.select("idempotency_key", (F.col("ms") + ttl_ms).alias("at"), F.lit(None).cast("long").alias("stamp"))
+    known = stamps.select("idempotency_key", F.col("ms").alias("at"), F.col("ms").alias("stamp"))
     rows = asked.unionByName(known).withColumn("block", _block(F.col("at")))
-    hours = rows.groupBy("idempotency_key", "block").agg(F.min("stamp").alias("first"))
-    # from the last hour on, so the frame only ever grows
-    by_hour = Window.partitionBy("idempotency_key").orderBy(F.desc("block"))
-    later = by_hour.rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select("idempotency_key", "block", F.min("first").over(later).alias("next_hour"))
-    by_time = Window.partitionBy("idempotency_key", "block").orderBy(F.desc("at"))
-    ahead = F.min("stamp").over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    found = rows.withColumn("ahead", ahead).filter("ms IS NOT NULL").join(hours, ["idempotency_key", "block"])
-    return found.select("idempotency_key", "ms", F.coalesce("ahead", "next_hour").alias("next_ms")).filter("next_ms IS NOT NULL")
+    hours = rows.groupBy("idempotency_key", "block").agg(F.min("stamp").alias("first"), F.max("stamp").alias("last"))
+    hours = _beside(hours, next_hour=("first", True), hour_before=("last", False))
+    # from the last row on, a stamp before a question for its own time
+    by_time = Window.partitionBy("idempotency_key", "block").orderBy(F.desc("at"), F.desc_nulls_last("stamp"))
+    ahead = F.min("stamp").over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    behind = F.expr(
+        "lead(stamp) IGNORE NULLS OVER (PARTITION BY idempotency_key, block ORDER BY at DESC, stamp DESC NULLS LAST)"
+    )
+    met = rows.withColumns({"ahead": ahead, "behind": behind}).join(hours, ["idempotency_key", "block"])
+    found = met.select(
+        "idempotency_key", "at", "stamp",
+        F.coalesce("ahead", "next_hour").alias("next_ms"), F.coalesce("behind", "hour_before").alias("before"),
+    )
+    apart = F.col("next_ms") - F.col("before") >= ttl_ms
+    begins = F.col("stamp").isNotNull() & (F.col("before").isNull() | apart)
+    follows = F.col("stamp").isNull() & F.col("next_ms").isNotNull() & ~apart
+    is_link = F.col("stamp").isNull()
+    return found.filter(begins | follows).select(
+        "idempotency_key", F.when(is_link, F.col("at") - ttl_ms).otherwise(F.col("stamp")).alias("ms"),
+        F.when(is_link, F.col("next_ms")).alias("next_ms"),
+    )
 
 
 def originals(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
@@ -57,32 +85,34 @@ def originals(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
 
     Every round is written to the shared folder.
     """
-    reached = stamps.groupBy("idempotency_key").agg(F.min("ms").alias("ms"))
-    step = _written(successors(stamps, ttl_ms), "successors")
+    found = _written(links(stamps, ttl_ms), "links")
+    parts = [found.filter("next_ms IS NULL").select("idempotency_key", "ms")]
+    step = found.filter("next_ms IS NOT NULL")
     while not step.isEmpty():
+        reached = union_of(parts)
         further = reached.join(step, ["idempotency_key", "ms"]).select("idempotency_key", F.col("next_ms").alias("ms"))
-        reached = _written(reached.union(further), "reached")
+        parts.append(_written(further, "reached"))
         beyond = step.select("idempotency_key", F.col("ms").alias("next_ms"), F.col("next_ms").alias("beyond_ms"))
         step = step.join(beyond, ["idempotency_key", "next_ms"]).select(
             "idempotency_key", "ms", F.col("beyond_ms").alias("next_ms")
         )
         step = _written(step, "successors")
-    return reached.withColumnRenamed("ms", "origin_ms")
+    return union_of(parts).withColumnRenamed("ms", "origin_ms")
 
 
 def _stamps_with_origin(stamps: DataFrame, ttl_ms: int) -> DataFrame:
-    """``stamps`` (idempotency_key, ms, first_id) with origin_ms and original_txn_id."""
+    """``stamps`` (idempotency_key, ms, first_id) with original_txn_id."""
     origins = originals(stamps.select("idempotency_key", "ms"), ttl_ms)
-    named = origins.join(stamps.withColumnRenamed("ms", "origin_ms"), ["idempotency_key", "origin_ms"])
-    spread = named.select(
-        "idempotency_key",
-        "origin_ms",
-        F.col("first_id").alias("original_txn_id"),
-        F.explode(F.sequence(_block(F.col("origin_ms")), _block(F.col("origin_ms") + (ttl_ms - 1)))).alias("block"),
-    )
-    met = stamps.withColumn("block", _block(F.col("ms"))).join(spread, ["idempotency_key", "block"])
-    covered = F.col("ms").between(F.col("origin_ms"), F.col("origin_ms") + (ttl_ms - 1))
-    return met.filter(covered).select("idempotency_key", "ms", "original_txn_id")
+    named = stamps.join(origins.withColumn("ms", F.col("origin_ms")), ["idempotency_key", "ms"], "left")
+    origin = F.when(F.col("origin_ms").isNotNull(), F.struct("ms", "first_id"))
+    rows = named.select("idempotency_key", "ms", origin.alias("origin"), _block(F.col("ms")).alias("block"))
+    rows = _written(rows, "origins")
+    hours = rows.groupBy("idempotency_key", "block").agg(F.max("origin").alias("last"))
+    hours = _beside(hours, hour_before=("last", False))
+    by_time = Window.partitionBy("idempotency_key", "block").orderBy("ms")
+    so_far = F.max("origin").over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = rows.withColumn("so_far", so_far).join(hours, ["idempotency_key", "block"])
+    return met.select("idempotency_key", "ms", F.coalesce("so_far", "hour_before")["first_id"].alias("original_txn_id"))
 
 
 def with_original(requests: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
