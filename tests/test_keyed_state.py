@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwatch.functions import fixed_values as fv
 from tillwatch.operators import sessions as batch_sessions
-from tillwatch.operators.velocity import VELOCITY_COLUMNS, with_velocity
+from tillwatch.operators.velocity import VELOCITY_COLUMNS, velocity_by_ms, with_velocity
 from tillwatch.plans.catalog import QUERIES
 from tillwatch.session import new_table_path
 from tillwatch.sources import readers
@@ -129,3 +129,15 @@ def test_keyed_state_in_a_session_of_another_store(spark, sf_dir):
         assert found.count() == QUERIES["a15_failure_sessions"](spark, sf_dir).count() > 0
     finally:
         spark.conf.set(key, before)
+
+
+def test_corrections_take_one_computation(spark, rows, monkeypatch):
+    """What a micro-batch corrects and what it reports come from one velocity table."""
+    calls = []
+    monkeypatch.setattr(sv, "velocity_by_ms", lambda *a, **k: calls.append(1) or velocity_by_ms(*a, **k))
+    job = sv.VelocityJob(new_table_path(spark, "velocity"), lateness_ms=10 * fv.HOUR_MS, corrections=True)
+    shuffled = random.Random(3).sample(rows, len(rows))
+    for n, part in enumerate((shuffled[:300], shuffled[300:600], shuffled[600:])):
+        job(spark.createDataFrame(part, SCHEMA), n)
+    assert len(calls) == 3
+    assert velocities(sv.corrected(spark, job.folder)) == velocities(with_velocity(spark.createDataFrame(rows, SCHEMA)))

@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..session import new_table_path
-from .storage import union_of
+from .storage import union_of, written
 
 BLOCK_MS = fv.HOUR_MS
 
@@ -34,12 +33,6 @@ def _block(ms: Column) -> Column:
     return F.call_function("div", ms, F.lit(BLOCK_MS))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _beside(hours: DataFrame, **carried: tuple[str, bool]) -> DataFrame:
     """(idempotency_key, block) of ``hours`` with what the key's other hours hold. ``carried`` names columns:
     the least of a column over later hours (name=(column, True)), or the greatest over earlier ones."""
@@ -85,18 +78,18 @@ def originals(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
 
     Every round is written to the shared folder.
     """
-    found = _written(links(stamps, ttl_ms), "links")
+    found = written(links(stamps, ttl_ms), "links")
     parts = [found.filter("next_ms IS NULL").select("idempotency_key", "ms")]
     step = found.filter("next_ms IS NOT NULL")
     while not step.isEmpty():
         reached = union_of(parts)
         further = reached.join(step, ["idempotency_key", "ms"]).select("idempotency_key", F.col("next_ms").alias("ms"))
-        parts.append(_written(further, "reached"))
+        parts.append(written(further, "reached"))
         beyond = step.select("idempotency_key", F.col("ms").alias("next_ms"), F.col("next_ms").alias("beyond_ms"))
         step = step.join(beyond, ["idempotency_key", "next_ms"]).select(
             "idempotency_key", "ms", F.col("beyond_ms").alias("next_ms")
         )
-        step = _written(step, "successors")
+        step = written(step, "successors")
     return union_of(parts).withColumnRenamed("ms", "origin_ms")
 
 
@@ -106,7 +99,7 @@ def _stamps_with_origin(stamps: DataFrame, ttl_ms: int) -> DataFrame:
     named = stamps.join(origins.withColumn("ms", F.col("origin_ms")), ["idempotency_key", "ms"], "left")
     origin = F.when(F.col("origin_ms").isNotNull(), F.struct("ms", "first_id"))
     rows = named.select("idempotency_key", "ms", origin.alias("origin"), _block(F.col("ms")).alias("block"))
-    rows = _written(rows, "origins")
+    rows = written(rows, "origins")
     hours = rows.groupBy("idempotency_key", "block").agg(F.max("origin").alias("last"))
     hours = _beside(hours, hour_before=("last", False))
     by_time = Window.partitionBy("idempotency_key", "block").orderBy("ms")
@@ -121,7 +114,7 @@ def with_original(requests: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
     A request without a key or time has no original.
     """
     stamps = requests.filter("idempotency_key IS NOT NULL AND ms IS NOT NULL").groupBy("idempotency_key", "ms")
-    stamps = _written(stamps.agg(F.min("txn_id").alias("first_id")), "stamps")
+    stamps = written(stamps.agg(F.min("txn_id").alias("first_id")), "stamps")
     joined = requests.join(_stamps_with_origin(stamps, ttl_ms), ["idempotency_key", "ms"], "left")
     return joined.select(
         *requests.columns, "original_txn_id", (F.col("txn_id") != F.col("original_txn_id")).alias("is_duplicate")

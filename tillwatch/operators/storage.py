@@ -16,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from ..functions import columns as C
 from ..functions import fixed_values as fv
 from ..schemas import STORED
+from ..session import new_table_path
 
 KEY = ["txn_id", "txn_timestamp"]
 DECISION_COLUMNS = ["status", "risk_score", "triggered_rules", "decision", "processed_at"]
@@ -103,6 +104,13 @@ def union_of(frames: list[DataFrame]) -> DataFrame:
     return whole
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and no lineage to lose."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_if_present(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
     """The table at ``path``, or None before its first write."""
     try:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
-from ..operators.storage import existing_paths, read_if_present
+from ..operators.storage import existing_paths, read_if_present, written
 from ..operators.velocity import BLOCK_MS, LONG_COLUMNS, VELOCITY_COLUMNS, velocity_by_ms
 from .batches import put_batch, start_batches
 
@@ -99,17 +99,17 @@ class VelocityJob:
             put_batch(batch.filter(F.col("ms") < horizon), f"{self.folder}/late", batch_id)
         known = on_time.select(*_NARROW)
         first_ms, last_ms = known.agg(F.min("ms"), F.max("ms")).first()
-        fresh, earlier = known, None
+        earlier, before = None, newest is not None and first_ms is not None and newest >= first_ms
         if newest is not None and first_ms is not None:
-            after = fv.HOUR_MS - 1 if self.corrections and newest >= first_ms else 0
+            after = fv.HOUR_MS - 1 if self.corrections and before else 0
             earlier = self._history(spark, batch_id, first_ms - fv.HOUR_MS, last_ms + after)
             if earlier is not None:
                 cards = known.select("card_hash").distinct()
                 earlier = earlier.select(*_NARROW).join(cards, "card_hash", "left_semi")
-                known = earlier.unionByName(fresh)
-        vel = velocity_by_ms(known, self.block_ms)
-        if self.corrections and earlier is not None and newest >= first_ms:
-            put_batch(vel.join(self._entered(earlier, fresh), ["card_hash", "ms"]), f"{self.folder}/corrections", batch_id)
+        if self.corrections and earlier is not None and before:
+            vel = self._corrected(earlier, known, batch_id)
+        else:
+            vel = velocity_by_ms(known if earlier is None else earlier.unionByName(known), self.block_ms)
         out = on_time.join(vel, ["card_hash", "ms"], "left")
         if self.score is not None:
             out = self.score(out)
@@ -118,13 +118,16 @@ class VelocityJob:
         put_batch(remembered, f"{self.folder}/history", batch_id, "hour")
         self._seen = (batch_id, max((x for x in (newest, last_ms) if x is not None), default=None))
 
-    def _entered(self, earlier: DataFrame, fresh: DataFrame) -> DataFrame:
-        """(card_hash, ms) of earlier rows that have a row of this micro-batch in their hour: the sum of
-        an hour in which fresh rows count 1 and earlier ones 0."""
+    def _corrected(self, earlier: DataFrame, fresh: DataFrame, batch_id: int) -> DataFrame:
+        """The velocity of the rows of ``fresh``. That of ``earlier`` rows with one of them in their hour goes to the
+        corrections; both come from one computation, whose narrow result is written."""
         one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-        marked = earlier.withColumn("amount_minor", none).unionByName(fresh.withColumn("amount_minor", one))
-        entered = velocity_by_ms(marked, self.block_ms).filter("amount_sum_1hr > 0").select("card_hash", "ms")
-        return entered.join(earlier.select("card_hash", "ms").distinct(), ["card_hash", "ms"], "left_semi")
+        known = earlier.withColumn("is_fresh", none).unionByName(fresh.withColumn("is_fresh", one))
+        vel = written(velocity_by_ms(known, self.block_ms, F.col("is_fresh")), "velocity")
+        columns = ["card_hash", "ms", *VELOCITY_COLUMNS]
+        entered = vel.filter("fresh_1hr > 0 AND others_now > 0").select(columns)
+        put_batch(entered, f"{self.folder}/corrections", batch_id)
+        return vel.filter("fresh_now > 0").select(columns)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):
         """``stream`` needs card_hash, ms, amount_minor, merchant_id and terminal_id."""
