@@ -198,3 +198,27 @@ def test_no_table(spark, table):
     assert snapshots.lookup(spark, table, "rrn", "x").count() == 0
     assert snapshots.date_range(spark, table, "2024-01-01", "2025-01-01").count() == 0
     assert snapshots.compact(spark, table)
+
+
+def test_reads_move_the_base_once(spark, sets, table):
+    """An upsert is merged by one join with the base, not by grouping both; keys without a time stay as they are."""
+    existing, incoming = sets
+    nameless = existing.limit(2).withColumn("txn_timestamp", F.lit(None).cast("timestamp")).withColumn("txn_month", storage.month_of(F.lit(None).cast("timestamp")))
+    snapshots.upsert(spark, table, existing.unionByName(nameless), at("2024-02-01"))
+    snapshots.upsert(spark, table, incoming, q.now())
+    got = snapshots.read(spark, table)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    expected = storage.merge_rows(existing, incoming, q.now()).unionByName(
+        storage.merge_rows(None, nameless, at("2024-02-01")).select(*existing.columns), allowMissingColumns=True
+    )
+    assert content(got) == content(expected.select(got.columns))
+
+
+def test_date_range_merges_by_join(spark, sets, table):
+    existing, incoming = sets
+    snapshots.upsert(spark, table, existing, at("2024-02-01"))
+    snapshots.upsert(spark, table, incoming, q.now())
+    got = snapshots.date_range(spark, table, "2024-01-10 00:00:00", "2024-01-20 00:00:00")
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    inside = (F.col("txn_timestamp") >= at("2024-01-10")) & (F.col("txn_timestamp") < at("2024-01-20"))
+    assert content(got) == content(storage.merge_rows(existing, incoming, q.now()).filter(inside).select(got.columns))

@@ -101,3 +101,16 @@ def test_read_transactions(spark, sf_dir):
     path = new_table_path(spark, "transactions")
     sd.transactions(spark, sf_dir).write.parquet(path)
     assert readers.read_transactions(spark, path).count() == sd.transactions(spark, sf_dir).count()
+
+
+def test_the_staged_copy_is_not_dealt_anew(spark, sf_dir, monkeypatch):
+    dealt = []
+    plain = storage.write_table
+    monkeypatch.setattr(storage, "write_table", lambda rows, path, *a, **k: dealt.append(k.get("balanced", False)) or plain(rows, path, *a, **k))
+    existing, incoming = q.upsert_sets(spark, sf_dir)
+    path = new_table_path(spark, "table")
+    storage.upsert(spark, path, existing, q.now())
+    storage.upsert(spark, path, incoming, q.now())
+    assert dealt == [False, True, False, True]
+    got = storage.read_table(spark, path)
+    assert got.count() == storage.merge_rows(existing, incoming, q.now()).count()

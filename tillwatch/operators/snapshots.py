@@ -253,24 +253,36 @@ def _folded(rows: DataFrame) -> DataFrame:
     return merged.select(*KEY, *[v.alias(c) for c, v in values.items()])
 
 
+def _upserted(base: DataFrame | None, deltas: DataFrame, several: bool) -> DataFrame:
+    """``base`` (one row per key) with the rows of upserts merged in: its whole rows are moved once and its keys once
+    more, or neither where the upserts are few enough to be broadcast. ``several``: a key may be in more than one upsert."""
+    names = [f.name for f in SEGMENT.fields]
+    last = (_folded(deltas) if several else deltas).select(names)
+    if base is None:
+        return last
+    decided = last.select(*KEY, *[F.col(c).alias(f"new_{c}") for c in (*DECISION_COLUMNS, "committed_at")])
+    met = base.select(names).join(decided, KEY, "left")
+    hit = F.col("new_committed_at").isNotNull()
+    values = {c: F.when(hit, F.col(f"new_{c}")).otherwise(F.col(c)) for c in (*DECISION_COLUMNS, "committed_at")}
+    values["updated_at"] = F.when(hit, F.col("new_committed_at")).otherwise(F.col("updated_at"))
+    changed = met.select([values.get(c, F.col(c)).alias(c) for c in names])
+    known = base.select(*KEY).join(last.select(*KEY), KEY, "left_semi")
+    return changed.unionByName(last.join(known, KEY, "left_anti"))
+
+
 def _merged(spark: SparkSession, table: str, manifest: dict, months: list[str] | None = None) -> DataFrame | None:
-    """All rows of a snapshot. Base rows without an upsert are read as they are, without a shuffle where the
-    keys of the upserts are few; only the others are merged."""
+    """All rows of a snapshot. Base rows of months without an upsert are read as they are."""
     names = [f.name for f in SEGMENT.fields]
     bases = [s for s in manifest["segments"] if s["kind"] == "base"]
-    deltas = _union([_segment(spark, table, s, months) for s in manifest["segments"] if s["kind"] == "delta"])
+    changes = [s for s in manifest["segments"] if s["kind"] == "delta"]
+    deltas = _union([_segment(spark, table, s, months) for s in changes])
     if deltas is None:
         base = _union([_segment(spark, table, s, months) for s in bases])
         return None if base is None else base.select(names)
-    touched = {m for s in manifest["segments"] if s["kind"] == "delta" for m in s["months"]}
+    touched = {m for s in changes for m in s["months"]}
     calm = _union([_segment(spark, table, s, [m for m in s["months"] if m not in touched and (not months or m in months)]) for s in bases])
     busy = _union([_segment(spark, table, s, [m for m in s["months"] if m in touched and (not months or m in months)]) for s in bases])
-    keys = deltas.select(*KEY).distinct()
-    parts = [calm]
-    if busy is not None:
-        parts.append(busy.join(keys, KEY, "left_anti"))
-        deltas = deltas.unionByName(busy.join(keys, KEY, "left_semi"))
-    return _union([*[p.select(names) for p in parts if p is not None], _folded(deltas).select(names)])
+    return _union([None if calm is None else calm.select(names), _upserted(busy, deltas, len(changes) > 1)])
 
 
 def read(spark: SparkSession, table: str, version: int | None = None, months: list[str] | None = None) -> DataFrame:
@@ -355,9 +367,14 @@ def date_range(spark: SparkSession, table: str, start: str, end: str) -> DataFra
     manifest = snapshot(spark, table)
     begin, stop = F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))
     spans = (F.col("min_txn_timestamp") < stop) & (F.col("max_txn_timestamp") >= begin)
-    opened = _opened(spark, table, manifest["segments"], spans)
-    if opened is None:
-        return spark.createDataFrame([], STORED)
-    inside = opened.filter((F.col("txn_timestamp") >= begin) & (F.col("txn_timestamp") < stop))
-    several = len(manifest["segments"]) > 1
-    return (_folded(inside) if several else inside).select([f.name for f in STORED.fields])
+    segments = {kind: [s for s in manifest["segments"] if s["kind"] == kind] for kind in ("base", "delta")}
+    opened = {kind: _opened(spark, table, found, spans) for kind, found in segments.items()}
+    inside = {
+        kind: None if rows is None else rows.filter((F.col("txn_timestamp") >= begin) & (F.col("txn_timestamp") < stop))
+        for kind, rows in opened.items()
+    }
+    rows = inside["base"]
+    if inside["delta"] is not None:
+        rows = _upserted(rows, inside["delta"], len(segments["delta"]) > 1)
+    columns = [f.name for f in STORED.fields]
+    return spark.createDataFrame([], STORED) if rows is None else rows.select(columns)

@@ -81,14 +81,15 @@ def merge_rows(existing: DataFrame | None, incoming: DataFrame, now: Column) ->
     return merged.select(*KEY, *[source[c].alias(c) for c in values])
 
 
-def write_table(rows: DataFrame, path: str, overwrite: str = "dynamic") -> None:
+def write_table(rows: DataFrame, path: str, overwrite: str = "dynamic", balanced: bool = False) -> None:
     """Write whole months. Large months are split over tasks, small ones share files.
 
-    ``dynamic`` replaces only the months in ``rows``, ``static`` the whole table.
+    ``dynamic`` replaces only the months in ``rows``, ``static`` the whole table. Rows that are ``balanced`` already,
+    as read from a table written here, are not dealt anew.
     """
+    rows = rows.select([f.name for f in STORED.fields])
     (
-        rows.select([f.name for f in STORED.fields])
-        .hint("rebalance", "txn_month")
+        (rows if balanced else rows.hint("rebalance", "txn_month"))
         .sortWithinPartitions("txn_month", "card_hash", "txn_timestamp")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", overwrite)
@@ -157,5 +158,5 @@ def _replace_months(spark: SparkSession, path: str, incoming: DataFrame, now: Co
         existing = existing.filter(F.col("txn_month").isin(months))
     staged = f"{path.rstrip('/')}_staged"
     write_table(merge_rows(existing, incoming, now), staged, "static")
-    write_table(spark.read.schema(STORED).parquet(staged), path)
+    write_table(spark.read.schema(STORED).parquet(staged), path, balanced=True)
 
