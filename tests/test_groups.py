@@ -7,6 +7,8 @@ import pytest
 
 from tillwatch.functions import fixed_values as fv
 from tillwatch.operators import dedup, joins, sessions, velocity
+from tillwatch.session import new_table_path
+from tillwatch.streaming import idempotency as stream_idempotency
 
 HOUR = fv.HOUR_MS
 
@@ -185,3 +187,21 @@ def test_chains_begin_anew_after_a_day_without_requests(spark):
     assert got == origin
     plan = dedup.with_original(requests)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # no original is sent to every hour it covers
+
+
+def test_stream_originals_come_from_the_written_requests(spark, monkeypatch):
+    """The chain of a micro-batch is followed once: its originals are read back."""
+    sources = {}
+    plain = stream_idempotency.put_batch
+    monkeypatch.setattr(
+        stream_idempotency, "put_batch",
+        lambda df, path, batch_id, *by: sources.update({(path.split("/")[-1], batch_id): df.inputFiles()}) or plain(df, path, batch_id, *by),
+    )
+    job = stream_idempotency.IdempotencyJob(new_table_path(spark, "idempotency"))
+    schema, rows = "idempotency_key string, ms long, txn_id string", request_rows(5, 200, 9)
+    rows.sort(key=lambda r: r[1])
+    for n, part in enumerate((rows[:100], [], rows[100:])):
+        job(spark.createDataFrame(part, schema), n)
+    assert all("/requests/batch_id=0/" in f for f in sources["origins", 0]) and sources["origins", 0]
+    got = spark.read.parquet(f"{job.folder}/requests")
+    assert {r["txn_id"]: r["original_txn_id"] for r in got.collect()} == brute_originals(rows, fv.DAY_MS)

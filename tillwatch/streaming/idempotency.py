@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..operators.dedup import with_original
-from ..operators.storage import existing_paths
+from ..operators.storage import existing_paths, read_if_present
 from .batches import put_batch, start_batches
 
 ORIGINS = T.StructType(
@@ -78,9 +78,14 @@ class IdempotencyJob:
             )
             fresh = decided.filter("original_txn_id IS NULL").select(*batch.columns)
         decided = with_original(fresh, self.ttl_ms)
-        put_batch(decided if repeats is None else decided.unionByName(repeats), f"{self.folder}/requests", batch_id)
+        whole = decided if repeats is None else decided.unionByName(repeats)
+        put_batch(whole, f"{self.folder}/requests", batch_id)
+        # the originals are read from what was written, so that nothing is decided twice; repeats are duplicates
+        done = read_if_present(batch.sparkSession, f"{self.folder}/requests/batch_id={batch_id}", whole.schema)
+        if done is None:
+            return
         new = (
-            decided.filter(~F.col("is_duplicate"))
+            done.filter(~F.col("is_duplicate"))
             .groupBy("idempotency_key", F.col("ms").alias("origin_ms"))
             .agg(F.min("original_txn_id").alias("original_txn_id"))
             .withColumn("day", F.call_function("div", F.col("origin_ms"), F.lit(self.ttl_ms)))
