@@ -222,3 +222,22 @@ def test_date_range_merges_by_join(spark, sets, table):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     inside = (F.col("txn_timestamp") >= at("2024-01-10")) & (F.col("txn_timestamp") < at("2024-01-20"))
     assert content(got) == content(storage.merge_rows(existing, incoming, q.now()).filter(inside).select(got.columns))
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_only_repeated_keys_of_a_batch_are_merged(spark, sets, table, monkeypatch, most):
+    staged = []
+    plain = snapshots.stage
+    monkeypatch.setattr(snapshots, "MOST_REPEATED", most)
+    monkeypatch.setattr(snapshots, "stage", lambda spark, table, rows: staged.append(rows) or plain(spark, table, rows))
+    rows = sets[0].withColumn("batch_seq", F.lit(1).cast("long"))
+    once = storage.merge_rows(None, rows, q.now()).withColumn("batch_seq", F.lit(1).cast("long")).localCheckpoint()
+    snapshots.upsert(spark, table, once, q.now())
+    assert "Aggregate" not in staged[0]._jdf.queryExecution().optimizedPlan().toString()
+    nameless = once.limit(1).withColumn("txn_id", F.lit(None).cast("string"))
+    again = once.limit(3).withColumn("risk_score", F.lit(7)).withColumn("batch_seq", F.lit(2).cast("long"))
+    batch = once.unionByName(again).unionByName(nameless).unionByName(nameless).localCheckpoint()
+    other = new_table_path(spark, "snapshots")
+    snapshots.upsert(spark, other, batch, q.now())
+    expected = storage.merge_rows(None, batch, q.now())
+    assert content(snapshots.read(spark, other)) == content(expected.select(snapshots.read(spark, other).columns))

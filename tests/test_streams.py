@@ -347,3 +347,27 @@ def test_records_stream_to_files(spark, sf_dir):
     sinks.stream_records(stream, target, new_table_path(spark, "cp"), availableNow=True).awaitTermination(300)
     want = frames.publish(events)
     assert sorted(map(tuple, spark.read.parquet(target).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_batch_is_decoded_once(spark, sf_dir, monkeypatch):
+    """Writing, counting and quarantining read the decoded rows; only a failed write decodes again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(triaged, schema):
+        touch = F.udf(lambda payload: seen.add(1) or payload, "binary")
+        return frames.decode(triaged.withColumn("payload", touch("payload")), schema)
+
+    monkeypatch.setattr(persist, "decode", counted)
+    source = q.uuid_frames(spark, sf_dir).select([f.name for f in RAW_FRAMES.fields]).limit(200).localCheckpoint()
+    for write, times in ((persist.snapshot_writer(new_table_path(spark, "table"), q.now()), 1), (lambda rows, batch_id: 1 / 0, 2)):
+        seen.value = 0
+        folder = new_table_path(spark, "job")
+        persist.PersistJob(folder, write, q.now(), attempts=1)(source, 0)
+        assert 200 <= seen.value <= 200 * times
+        quarantine = spark.read.parquet(f"{folder}/quarantine")
+        audit = {r["status"]: r["units"] for r in spark.read.parquet(f"{folder}/audit").collect()}
+        assert quarantine.count() == audit["dlq"] == 200 - audit["success"]
+        frame = ["dlq_original_offset", "key", "value"]
+        whole = source.select(F.col("offset").cast("string"), F.col("key").cast("binary"), "value")
+        assert {tuple(map(bytes, r[1:])) for r in quarantine.select(frame).collect()} <= {tuple(map(bytes, r[1:])) for r in whole.collect()}
+    assert audit["success"] == 0

@@ -32,6 +32,8 @@ RANGED = ("card_hash", "rrn", "txn_timestamp")
 BLOOM_VALUES = 100_000
 #: Segments of upserts before they are compacted.
 MOST_DELTAS = 8
+#: Keys that repeat within a batch and may be broadcast; with more, all rows are merged by a shuffle.
+MOST_REPEATED = 500_000
 
 Step = Callable[[str], None]
 
@@ -139,19 +141,43 @@ def stats_of(spark: SparkSession, table: str, segments: list[str]) -> DataFrame:
     return spark.read.schema(STATS).parquet(*[f"{table.rstrip('/')}/stats/{s}" for s in segments])
 
 
+def _one_per_key(incoming: DataFrame, now: Column) -> tuple[DataFrame, bool]:
+    """``merge_rows`` of a batch alone, and whether its rows cost more than reading the batch. Only rows whose key
+    repeats are moved and merged; these are found by counts per hash of the key, where a collision merges nothing."""
+    names = [*KEY, *[c for c in incoming.columns if c not in [*KEY, "batch_seq"]]]
+    key = F.xxhash64(*KEY)
+    counts = incoming.groupBy(key.alias("_key")).agg(F.count("*").alias("_n"))
+    repeated = counts.filter("_n > 1").select("_key").persist()
+    try:
+        many = repeated.count()
+        if many == 0:
+            return incoming.select(names), False
+        if many > MOST_REPEATED:
+            return merge_rows(None, incoming, now), True
+        spark = incoming.sparkSession
+        found = F.broadcast(spark.createDataFrame(repeated.toArrow(), repeated.schema))
+    finally:
+        repeated.unpersist()
+    keyed = incoming.withColumn("_key", key)
+    merged = merge_rows(None, keyed.join(found, "_key", "left_semi").drop("_key"), now)
+    return keyed.join(found, "_key", "left_anti").select(names).unionByName(merged), True
+
+
 def upsert(
     spark: SparkSession, table: str, incoming: DataFrame, now: Column, writer: str = "", batch_id: int = -1,
     after: Step = _nothing, most_deltas: int = MOST_DELTAS,
 ) -> None:
     """Merge ``incoming`` into the table: rows of one key as in ``merge_rows``, later commits after earlier ones.
 
-    The cost is that of ``incoming``. With ``writer`` and ``batch_id``, a batch that was published
+    The cost is that of ``incoming``, which is read three times: callers keep what is costly to compute. With ``writer`` and ``batch_id``, a batch that was published
     before is not published again. ``after`` is called after the steps "staged" and "published".
     """
     if writer and snapshot(spark, table)["batches"].get(writer, -1) >= batch_id:
         return
-    # the ranges of the files are sampled, so the rows are computed once
-    rows = merge_rows(None, incoming, now).withColumn("committed_at", now).persist()
+    rows, merged = _one_per_key(incoming, now)
+    rows = rows.withColumn("committed_at", now)
+    if merged:  # the ranges of the files are sampled, so the rows are computed once
+        rows.persist()
     try:
         segment = stage(spark, table, rows)
     finally:

@@ -41,8 +41,11 @@ def replay_rows(quarantine: DataFrame, stored: DataFrame | None, now: Column) ->
 
 def still_rejected(quarantine: DataFrame, now: Column) -> DataFrame:
     """Records that fail again, with the reason found now and a higher retry count."""
-    rows = checked_rows(quarantine, now).filter("reason IS NOT NULL")
-    return rows.withColumns(
+    return _rejected(checked_rows(quarantine, now), now)
+
+
+def _rejected(checked: DataFrame, now: Column) -> DataFrame:
+    return checked.filter("reason IS NOT NULL").withColumns(
         {
             "dlq_failure_reason": F.col("reason"),
             "dlq_retry_count": (F.coalesce(F.col("dlq_retry_count").try_cast("int"), F.lit(0)) + 1).cast("string"),
@@ -98,10 +101,15 @@ def replay(spark: SparkSession, quarantine_path: str, table: str, now: Column, s
         checked = checked_rows(records, now).persist()
         good = checked.filter("reason IS NULL").select([f.name for f in STORED.fields])
         months = [r[0] for r in good.select("txn_month").distinct().collect()]
-        stored = store.read(spark, table, months) if months else None
-        rows = good if stored is None else not_stored(good, stored)
-        store.write(spark, table, rows.withColumn("batch_seq", F.lit(0).cast("long")), now)
-        rejected = still_rejected(records, now).select(*RECORD, *_CHANGED)
+        if months:
+            stored = store.read(spark, table, months)
+            rows = good if stored is None else not_stored(good, stored)
+            rows = rows.withColumn("batch_seq", F.lit(0).cast("long")).persist()  # the store reads it several times
+            try:
+                store.write(spark, table, rows, now)
+            finally:
+                rows.unpersist()
+        rejected = _rejected(checked, now).select(*RECORD, *_CHANGED)
         passed = checked.filter("reason IS NULL").select(*RECORD, *[F.lit(None).cast("string").alias(c) for c in _CHANGED])
         before = read_if_present(spark, log_path(quarantine_path), LOG)
         run = 1 if before is None else (before.agg(F.max("run")).first()[0] or 0) + 1

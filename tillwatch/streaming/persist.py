@@ -97,31 +97,36 @@ class PersistJob:
         spark = batch.sparkSession
         if self._finished(spark, batch_id):
             return
-        batch = batch.persist()
+        checked = self._checked(batch)
+        # decoded once; the frames are kept of refused rows only
+        frame = {c: F.when(F.col("reason").isNotNull(), F.col(c)) for c in ("key", "value")}
+        rows = checked.withColumns(frame).persist()
         try:
-            self._run(spark, batch, batch_id)
+            self._run(spark, rows, checked, batch_id)
         finally:
-            batch.unpersist()
+            rows.unpersist()
 
-    def _run(self, spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
+    def _checked(self, batch: DataFrame) -> DataFrame:
+        """Every frame as a stored row, with the frame and ``reason``: what keeps it out, or NULL."""
         decoded = decode(triage(batch), FRAUD_RESULTS)
-        events = decoded.filter("reason IS NULL").select(
-            "key", "value", "partition", "offset", F.col("offset").alias("batch_seq"),
+        events = decoded.select(
+            "key", "value", "partition", "offset", F.col("offset").alias("batch_seq"), F.col("reason").alias("unread"),
             *[F.col(f"event.{f.name}").alias(f.name) for f in FRAUD_RESULTS.fields],
         )
-        kept = ("key", "value", "partition", "offset", "batch_seq")
+        kept = ("key", "value", "partition", "offset", "batch_seq", "unread")
         rows = with_constraint_reason(to_stored(fill_absent(events, FRAUD_RESULTS), self.now, kept))
+        return rows.withColumn("reason", F.coalesce("unread", "reason")).drop("unread")
+
+    def _run(self, spark: SparkSession, rows: DataFrame, checked: DataFrame, batch_id: int) -> None:
+        """``rows`` are ``checked``, kept, without the frames of good rows."""
         good = rows.filter("reason IS NULL").select(*[f.name for f in STORED.fields], "batch_seq")
         frame_columns = ["key", "value", "partition", "offset", "reason"]
-        bad = decoded.filter("reason IS NOT NULL").select(*frame_columns).unionByName(
-            rows.filter("reason IS NOT NULL").select(*frame_columns)
-        )
         tried, error = with_retry(lambda: self.write(good, batch_id), self.attempts, sleep=self.sleep)
-        quarantine, refused = to_quarantine(bad, self.now), bad.count()
-        good_count = good.count()
+        quarantine = to_quarantine(rows.filter("reason IS NOT NULL").select(*frame_columns), self.now)
+        good_count, refused = rows.agg(F.count_if(F.isnull("reason")), F.count("reason")).first()
         if error is not None:
             reason = batch_failure_reason(type(error).__name__, tried)
-            unwritten = rows.filter("reason IS NULL").withColumn("reason", F.lit(reason)).select(*frame_columns)
+            unwritten = checked.filter("reason IS NULL").withColumn("reason", F.lit(reason)).select(*frame_columns)
             quarantine = quarantine.unionByName(to_quarantine(unwritten, self.now, tried))
             good_count, refused = 0, refused + good_count
         self.after("written", batch_id)
