@@ -2,11 +2,17 @@
 
 A page is read as a row of tokens: tags with the path of elements around them, and,
 outside articles, the words with theirs. Tokens of one host that occur equally often on
-every page form an equivalence class; a class with enough tokens on enough of the
-host's pages is part of the template when its tokens come in one order on every page.
-What stands between the template's tokens are slots. Slots of navigation, forms,
-notices and the like are left out by the element or class that encloses them, the text
-of the others is the main text; a page with an article has its text there.
+every page form an equivalence class. A class with enough tokens on enough of the host's
+pages is part of the template when it is ordered (its tokens come in one sequence, repeated,
+on every page) and nested (all its occurrences stand at one place of each class that holds
+any of them, on every page; of two classes that are not, the one on more pages stays).
+
+Nested classes make the host's template a tree, and what stands between two consecutive
+tokens of a class, outside the classes inside it, is a slot. A slot is boilerplate when its
+content repeats from page to page or is mostly links. Elements and classes of navigation,
+forms, notices and the like, and articles, are the check on the slots: what they leave out
+goes, and inside articles a slot goes only when it is links that repeat. The text of the
+other slots is the main text; a page with an article has its text there.
 
 Occurrence vectors are never gathered. Each token carries the sum of its pages' random
 numbers, multiplied by its occurrences there; equal sums stand for equal vectors, and a
@@ -19,10 +25,11 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -57,19 +64,66 @@ _TOKEN = re.compile(
 )
 #: A tag whose quotes do not close.
 _BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)()>|</[^>]*>")
+_WORDS = re.compile(r"\s+|\S+")
 _CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+class Piece(NamedTuple):
+    """Text between two tags."""
+
+    block: int
+    path: str
+    text: str
+    content: bool  # in an article
+    out: bool  # in an element that holds no main text
+    linked: bool
+
+
+#: Of each token: its class, its place in the class's sequence, and the length of that.
+Template = dict[int, tuple[int, int, int]]
+
+
+class Place:
+    """Where in the template's tree a page is read. ``slot`` numbers the innermost open class and its last token read."""
+
+    def __init__(self) -> None:
+        self.slot = 0
+        self._open: list[list[int]] = []  # (class, place)
+
+    def take(self, token: tuple[int, int, int] | None) -> bool:
+        """Step over a token of the template; False where it is not the next one of its class."""
+        if token is None:
+            return False
+        name, place, size = token
+        depth = next((n for n in range(len(self._open) - 1, -1, -1) if self._open[n][0] == name), None)
+        if place == 0:
+            del self._open[len(self._open) if depth is None else depth :]
+            self._open.append([name, 0])
+        elif depth is None or self._open[depth][1] != place - 1:
+            return False
+        else:
+            del self._open[depth + 1 :]
+            self._open[depth][1] = place
+            if place == size - 1:
+                del self._open[depth]
+        self.slot = _number("{} {}".format(*self._open[-1]) if self._open else f"after {name}")
+        return True
+
+
 class Reader:
-    """One page. ``tags`` are (path, name) in order; ``pieces`` are (block, path, text, in an article, left out)."""
+    """One page. ``items`` are its tags, with their path, and pieces of text, in order."""
 
     def __init__(self, html: str | None) -> None:
-        self.tags: list[str] = []
-        self.pieces: list[tuple[int, str, str, bool, bool]] = []
+        self.items: list[str | Piece] = []
         self._open: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
         self._block = 0
+        self._link = 0  # open elements around a link, 0 outside
         self._read(html or "")
 
+    def _text(self, text: str) -> None:
+        _, path, content, out = self._open[-1]
+        self.items.append(Piece(self._block, path, text, content, out, 0 < self._link <= len(self._open)))
+
     def _read(self, html: str) -> None:
         at, size = 0, len(html)
         while at < size:
@@ -78,8 +132,7 @@ class Reader:
                 return
             at = m.end()
             if m[4]:
-                _, path, content, out = self._open[-1]
-                self.pieces.append((self._block, path, m[4], content, out))
+                self._text(m[4])
             elif m[2]:  # comments and declarations have no name
                 name = m[2].lower()
                 if m[1]:
@@ -95,13 +148,14 @@ class Reader:
     def _start(self, name: str, attributes: str) -> None:
         if name in VOID:
             if name == "br":
-                _, path, content, out = self._open[-1]
-                self.pieces.append((self._block, path, " ", content, out))
+                self._text(" ")
             elif name == "hr":
                 self._block += 1
             return
         marks = " ".join(a or b or c for a, b, c in _CLASS.findall(attributes)) if attributes else ""
         left_out = bool(marks and NOT_TEXT_CLASS.search(marks))
+        if name == "a":
+            self._link = len(self._open)
         if name in INLINE and not left_out:
             return
         if name not in INLINE:
@@ -111,36 +165,67 @@ class Reader:
         _, path, content, out = self._open[-1]
         left_out = left_out or name in NOT_TEXT or (name == "header" and not content)
         label = name + (f".{re.sub(r'[0-9]+', '0', marks)}" if marks else "")
-        self.tags.append(f"{path}<{label}")
+        self.items.append(f"{path}<{label}")
         self._open.append((name, f"{path}/{label}", content or name in CONTENT, out or left_out))
 
     def _end(self, name: str) -> None:
         if name not in INLINE:
             self._block += 1
+        elif name == "a":
+            self._link = 0
         for depth in range(len(self._open) - 1, 0, -1):
             if self._open[depth][0] == name:
-                self.tags.append(f"{self._open[depth][1]}>")
+                self.items.append(f"{self._open[depth][1]}>")
                 del self._open[depth:]
                 return
             if self._open[depth][0] in CONTENT and name not in ("body", "html"):
                 return
 
     def roles(self) -> list[int]:
-        """Numbers of the tokens that may be template: tags, and the words outside articles."""
-        words = (f"{path} {w}" for _, path, text, content, _ in self.pieces if not content for w in text.split())
-        return [_number(x) for x in (*self.tags, *words)]
-
-    def text(self, template: frozenset[int]) -> str:
-        """Text of the slots, block by block. An article keeps all of its words: a word that happens
-        to stand once on every page of a small host is not template."""
-        article = any(content and not out and text.strip() for _, _, text, content, out in self.pieces)
-        blocks: dict[int, list[str]] = defaultdict(list)
-        for block, path, text, content, out in self.pieces:
-            if out or content != article:
+        """Numbers of the tokens that may be template, in page order: tags, and the words outside articles."""
+        out = []
+        for item in self.items:
+            if isinstance(item, str):
+                out.append(_number(item))
+            elif not item.content:
+                out.extend(_number(f"{item.path} {w}") for w in item.text.split())
+        return out
+
+    def slots(self, template: Template) -> Iterator[tuple[int, Piece, str]]:
+        """(slot, piece, text) of what stands between the template's tokens. An article keeps all of its
+        words: a word that happens to stand once on every page of a small host is not template."""
+        place = Place()
+        for item in self.items:
+            if isinstance(item, str):
+                if template:
+                    place.take(template.get(_number(item)))
+                continue
+            if item.content or not template:
+                yield place.slot, item, item.text
                 continue
-            if not article and template:
-                text = re.sub(r"\S+", lambda m: "" if _number(f"{path} {m[0]}") in template else m[0], text)  # noqa: B023
-            blocks[block].append(text)
+            text = ""
+            for part in _WORDS.findall(item.text):
+                slot = place.slot
+                if part.isspace() or not place.take(template.get(_number(f"{item.path} {part}"))):
+                    text += part
+                elif text:
+                    yield slot, item, text
+                    text = ""
+            if text:
+                yield place.slot, item, text
+
+    def text(self, template: Template, left_out: frozenset[int] = frozenset()) -> str:
+        """Text of the slots but ``left_out``, block by block."""
+        found = [
+            (piece.block, text, piece.content)
+            for slot, piece, text in self.slots(template)
+            if not piece.out and slot not in left_out
+        ]
+        article = any(content and text.strip() for _, text, content in found)
+        blocks: dict[int, list[str]] = defaultdict(list)
+        for block, text, content in found:
+            if content == article:
+                blocks[block].append(text)
         joined = (" ".join(unescape("".join(parts)).split()) for parts in blocks.values())
         return "\n".join(b for b in joined if b)
 
@@ -164,44 +249,114 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["host", "role", "pages", "times", "vector"])
 
 
-def _order(page: Reader, classes: dict[int, int]) -> Iterator[tuple[int, int]]:
-    """(class, number of its token order) for the classes on a page; -1 where the order is not one sequence, repeated."""
+def _relations(page: Reader, classes: dict[int, int]) -> tuple[dict[int, tuple[int, list[int]]], Counter]:
+    """(occurrences, sequence of tokens) of the classes on a page, (0, []) where it is not one sequence, repeated; and how
+    often an occurrence of a class starts at a place of another, (class, other, place), with place -1 where they overlap."""
+    found = [role for role in page.roles() if role in classes]
     rows: dict[int, list[int]] = defaultdict(list)
-    for role in page.roles():
-        if role in classes:
-            rows[classes[role]].append(role)
+    for role in found:
+        rows[classes[role]].append(role)
     sizes = Counter(classes.values())
+    orders, places = {}, {}
     for name, row in rows.items():
         base = row[: sizes[name]]
         whole = len(set(base)) == sizes[name] and row == base * (len(row) // sizes[name])
-        yield name, _number(" ".join(map(str, base))) if whole else -1
-
-
-def _orders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        orders[name] = (len(row) // sizes[name], base) if whole else (0, [])
+        if whole:
+            places.update((role, place) for place, role in enumerate(base))
+    held: Counter = Counter()
+    begun: Counter = Counter()
+    at: dict[int, int] = {}  # open classes
+    around: dict[int, dict[int, tuple[int, int]]] = {}  # and what was open when they began
+    for role in found:
+        if role not in places:
+            continue
+        name, place = classes[role], places[role]
+        if place == 0:
+            begun[name] += 1
+            around[name] = {other: (begun[other], p) for other, p in at.items()}
+            held.update((name, other, p) for other, p in at.items())
+        at[name] = place
+        if place == sizes[name] - 1:
+            del at[name]
+            for other, then in around.pop(name).items():
+                if (begun[other], at.get(other)) != then:
+                    held[name, other, -1] += 1
+    return orders, held
+
+
+def _nestings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per host and class of a batch: its sequences (``other`` is null), and its places in other classes."""
     for batch in batches:
         known: dict = {}
-        found = set()
+        orders: Counter = Counter()
+        held: Counter = Counter()
         for host, html, roles, names in zip(batch["host"], batch["html"], batch["roles"], batch["names"]):
             if host not in known:
                 known[host] = dict(zip(list(roles), list(names)))
-            found.update((host, name, order) for name, order in _order(Reader(html), known[host]))
-        yield pd.DataFrame(list(found), columns=["host", "name", "order"])
+            sequences, places = _relations(Reader(html), known[host])
+            for name, (times, base) in sequences.items():
+                orders[host, name, tuple(base)] += times
+            for (name, other, place), times in places.items():
+                held[host, name, other, place] += times
+        rows = [(h, n, None, None, list(base), times) for (h, n, base), times in orders.items()]
+        rows += [(h, n, other, place, None, times) for (h, n, other, place), times in held.items()]
+        # object columns: with nulls, pandas would make whole numbers inexact
+        yield pd.DataFrame(rows, columns=["host", "name", "other", "place", "base", "times"], dtype=object)
+
+
+def _template(row: tuple | None) -> Template:
+    """The template of a host from its arrays."""
+    if row is None or row[0] is None:
+        return {}
+    roles, names, places, sizes = (list(map(int, column)) for column in row)
+    return dict(zip(roles, zip(names, places, sizes)))
+
+
+def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per host, slot and content of a batch: pages, and words: all, linked, left out by their elements, in an article."""
+    for batch in batches:
+        known: dict = {}
+        found: dict = defaultdict(lambda: [0.0, 0, 0, 0, 0])
+        columns = [batch[c] for c in ("host", "html", "copies", *TREE)]
+        for host, html, copies, *row in zip(*columns):
+            if host not in known:
+                known[host] = _template(row)
+            slots: dict = defaultdict(lambda: [[], 0, 0, 0])
+            for slot, piece, text in Reader(html).slots(known[host]):
+                words = text.split()
+                entry = slots[slot]
+                entry[0].extend(words)
+                for n, mark in enumerate((piece.linked, piece.out, piece.content), 1):
+                    entry[n] += len(words) if mark else 0
+            for slot, (words, *marked) in slots.items():
+                if words:
+                    entry = found[host, slot, _number(" ".join(words))]
+                    entry[0] += 1 / copies
+                    for n, count in enumerate((len(words), *marked), 1):
+                        entry[n] += count
+        rows = [(*key, *entry) for key, entry in found.items()]
+        yield pd.DataFrame(rows, columns=["host", "slot", "content", "pages", "words", "linked", "out", "article"])
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         known: dict = {}
         out = []
-        for host, html, roles in zip(batch["host"], batch["html"], batch["roles"]):
+        for host, html, slots, *row in zip(*[batch[c] for c in ("host", "html", "left_out", *TREE)]):
             if host not in known:
-                known[host] = frozenset(() if roles is None else list(roles))
-            out.append(Reader(html).text(known[host]))
+                known[host] = _template(row), frozenset(() if slots is None else map(int, slots))
+            out.append(Reader(html).text(*known[host]))
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out})
 
 
+#: Columns of a host's template: per token its number, its class, its place in that, and the class's length.
+TREE = ["roles", "names", "places", "sizes"]
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, roles) of ``pages`` (host, html): the tokens of every host's template, from all of its pages.
-    With a column ``copies`` (n), each of the n equal rows of a page counts as 1/n."""
+    """(host, roles, names, places, sizes) of ``pages`` (host, html): every host's template, from all of its pages, as its
+    tokens with their class, their place in its sequence and that one's length. With a column ``copies`` (n), each of the n equal rows of a page counts as 1/n."""
     if "copies" not in pages.columns:
         pages = pages.withColumn("copies", F.lit(1).cast("long"))
     # copies of a page share its number
@@ -218,15 +373,69 @@ def templates(pages: DataFrame) -> DataFrame:
     often = tokens.join(sizes, "host").filter(F.col("pages") >= F.col("all_pages") * SHARE)
     classes = often.groupBy("host", "pages", "times", "vector").agg(F.collect_list("role").alias("roles"))
     named = classes.filter(F.size("roles") >= TOKENS).withColumn("name", F.xxhash64("pages", "times", "vector"))
-    named = written(named.select("host", "name", "roles"), "classes")
+    named = written(named.select("host", "name", "pages", "roles"), "classes")
     flat = named.select("host", "name", F.explode("roles").alias("role"))
     by_host = flat.groupBy("host").agg(F.collect_list(F.struct("role", "name")).alias("m"))
     by_host = by_host.select("host", F.col("m.role").alias("roles"), F.col("m.name").alias("names"))
     met = pages.select("host", "html").join(_small(by_host), "host").select("host", "html", "roles", "names")
-    orders = met.mapInPandas(_orders, "host string, name long, order long")
-    one = orders.groupBy("host", "name").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a = b and a <> -1")
-    valid = named.join(one.select("host", "name"), ["host", "name"], "left_semi")
-    return valid.select("host", F.explode("roles").alias("role")).groupBy("host").agg(F.collect_list("role").alias("roles"))
+    kind = "host string, name long, other long, place long, base array<long>, times long"
+    found = written(met.mapInPandas(_nestings, kind), "nestings")
+    one = found.filter("other IS NULL").groupBy("host", "name").agg(
+        F.min("base").alias("base"), F.max("base").alias("_last"), F.sum("times").alias("all_times")
+    )
+    one = one.filter((F.col("base") == F.col("_last")) & (F.size("base") > 0)).drop("_last")
+    valid = written(one.join(named.select("host", "name", "pages"), ["host", "name"]), "ordered")
+    kept = _nested(valid, found.filter("other IS NOT NULL"))
+    rows = valid.join(kept, ["host", "name"], "left_semi").select(
+        "host", "name", F.size("base").cast("long").alias("size"), F.posexplode("base").alias("place", "role")
+    )
+    token = F.struct("role", "name", F.col("place").cast("long").alias("place"), "size")
+    rows = rows.groupBy("host").agg(F.collect_list(token).alias("m"))
+    return rows.select("host", *[F.col(f"m.{c}").alias(n) for c, n in zip(("role", "name", "place", "size"), TREE)])
+
+
+def _nested(valid: DataFrame, held: DataFrame) -> DataFrame:
+    """(host, name) of the ordered classes that nest: by pages and length, each that nests with all kept before it."""
+    places = held.groupBy("host", "name", "other").agg(
+        F.min("place").alias("a"), F.max("place").alias("b"), F.sum("times").alias("times")
+    )
+    names = valid.select("host", "name", "all_times")
+    places = places.join(names, ["host", "name"]).join(names.select("host", F.col("name").alias("other")), ["host", "other"])
+    bad = places.filter("a <> b OR a < 0 OR times <> all_times").select("host", "name", "other")
+    both = bad.unionByName(bad.select("host", F.col("other").alias("name"), F.col("name").alias("other")))
+    foes = both.groupBy("host", "name").agg(F.collect_set("other").alias("foes"))
+    ranked = valid.join(foes, ["host", "name"], "left").select(
+        "host",
+        F.struct(
+            (-F.col("pages")).alias("pages"), (-F.size("base")).alias("size"), "name",
+            F.coalesce("foes", F.array().cast("array<long>")).alias("foes"),
+        ).alias("c"),
+    )
+    kept = F.aggregate(
+        F.array_sort(F.collect_list("c")),
+        F.array().cast("array<long>"),
+        lambda kept, c: F.when(F.arrays_overlap(kept, c["foes"]), kept).otherwise(F.array_append(kept, c["name"])),
+    )
+    return ranked.groupBy("host").agg(kept.alias("kept")).select("host", F.explode("kept").alias("name"))
+
+
+def boilerplate(pages: DataFrame, trees: DataFrame) -> DataFrame:
+    """(host, left_out) of ``pages`` (host, html, copies): the slots of every host's template that are no main text."""
+    met = pages.join(trees, "host").select("host", "html", "copies", *TREE)
+    kind = "host string, slot long, content long, pages double, words long, linked long, out long, article long"
+    counts = ["pages", "words", "linked", "out", "article"]
+    contents = met.mapInPandas(_filled, kind).groupBy("host", "slot", "content").agg(*[F.sum(c).alias(c) for c in counts])
+    # pages that hold what another one holds there
+    contents = contents.withColumn("shared", F.when(F.round("pages") > 1, F.col("pages")).otherwise(0.0))
+    slots = contents.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("shared", *counts)])
+    slots = slots.withColumn("own", F.col("words") - F.col("out"))
+    # the slot that holds most of a host's words is its text, however much its pages are alike
+    slots = slots.withColumn("largest", F.max("own").over(Window.partitionBy("host")) == F.col("own"))
+    repeats = (F.round("pages") >= PAGES) & (F.col("shared") * 2 > F.col("pages")) & ~F.col("largest")
+    links = F.col("linked") * 2 > F.col("words")
+    inside = F.col("article") * 2 > F.col("words")
+    left_out = F.when(F.col("out") * 2 > F.col("words"), False).when(inside, repeats & links).otherwise(repeats | links)
+    return slots.filter(left_out).groupBy("host").agg(F.collect_list("slot").alias("left_out"))
 
 
 def _contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,8 +477,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.call_function("try_parse_url", F.col("url"), F.lit("HOST")))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
-    found = _small(templates(distinct_contents(hosted.select("host", "html"))))
+    distinct = distinct_contents(hosted.select("host", "html"))
+    trees = _small(templates(distinct))
+    found = _small(trees.join(boilerplate(distinct, trees), "host", "left"))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    met = hosted.join(found, "host", "left").select("page_id", "url", "host", "html", "roles")
+    met = hosted.join(found, "host", "left").select("page_id", "url", "host", "html", "left_out", *TREE)
     out = met.mapInPandas(_texts, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
