@@ -371,3 +371,12 @@ def test_a_batch_is_decoded_once(spark, sf_dir, monkeypatch):
         whole = source.select(F.col("offset").cast("string"), F.col("key").cast("binary"), "value")
         assert {tuple(map(bytes, r[1:])) for r in quarantine.select(frame).collect()} <= {tuple(map(bytes, r[1:])) for r in whole.collect()}
     assert audit["success"] == 0
+
+
+def test_a_batch_is_dealt_to_all_tasks(spark, sf_dir):
+    """A batch that lies in one part is decoded by as many tasks as there are cores."""
+    tasks = []
+    source = q.uuid_frames(spark, sf_dir).select([f.name for f in RAW_FRAMES.fields]).coalesce(1)
+    write = lambda rows, batch_id: tasks.extend(r[0] for r in rows.select(F.spark_partition_id()).distinct().collect())
+    persist.PersistJob(new_table_path(spark, "job"), write, q.now())(source, 0)
+    assert len(tasks) >= spark.sparkContext.defaultParallelism

@@ -97,7 +97,9 @@ class PersistJob:
         spark = batch.sparkSession
         if self._finished(spark, batch_id):
             return
-        checked = self._checked(batch)
+        # a topic or file may have fewer parts than there are cores, or all of a batch in a few of them
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        checked = self._checked(batch.repartition(parts, "partition", "offset"))
         # decoded once; the frames are kept of refused rows only
         frame = {c: F.when(F.col("reason").isNotNull(), F.col(c)) for c in ("key", "value")}
         rows = checked.withColumns(frame).persist()
