@@ -86,6 +86,59 @@ def test_panes_equal_batch_and_leave_no_state(spark, rows):
     assert progress[0] > 500 and progress[1] < 60
 
 
+def pane_results(spark, parts, lateness="4 hours"):
+    """(what the pane stream gives out, rows of its state after each part)."""
+    out, state = new_table_path(spark, "out"), []
+
+    def start(stream, checkpoint):
+        result = panes.pane_velocity(stream.withColumn("clock", F.timestamp_millis("ms")), lateness=lateness)
+        query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination(200)
+        state.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        return query
+
+    fed(spark, parts, start)
+    return spark.read.schema(panes.RESULT).parquet(out).filter("NOT card_hash <=> 'end'"), state
+
+
+def test_pane_state_does_not_grow_with_cards(spark):
+    """State, and with it the calls to its store, follows groups and panes."""
+    rows = [(n, f"t{n}", f"card{n % 3000}", START + n % 7 * 1000, n % 50, f"m{n % 3}", f"e{n % 2}") for n in range(6000)]
+    end = (9000, "end", "end", START + 9 * fv.HOUR_MS, 0, "", "")
+    got, state = pane_results(spark, [rows, [end]])
+    assert velocities(got) == velocities(with_velocity(spark.createDataFrame(rows, SCHEMA)))
+    assert state[0] < 3000
+
+
+def test_panes_of_rows_with_nulls(spark):
+    """Null cards are one card, a null amount is none, a null merchant is not counted; rows without a time have no window."""
+    rows = [
+        (1, "a", None, START, 5, "m0", "e0"), (2, "b", None, START + fv.FIVE_MINUTES_MS, None, None, "e1"),
+        (3, "c", "c1", None, 5, "m0", "e0"), (4, "d", None, None, 5, "m0", "e0"), (5, "e", "c1", START, 7, None, None),
+    ]
+    end = (9000, "end", "end", START + 9 * fv.HOUR_MS, 0, "", "")
+    got, _ = pane_results(spark, [rows, [end]])
+    none = (0,) * 7
+    assert velocities(got) == [
+        ("a", 1, 1, 1, 5, 5, 1, 1), ("b", 1, 1, 2, 0, 5, 0, 1), ("c", *none), ("d", *none), ("e", 1, 1, 1, 7, 7, 0, 0),
+    ]
+    assert {r["txn_id"]: r["ms"] for r in got.collect()} == {r[1]: r[3] for r in rows}
+
+
+def test_late_rows_enter_panes_still_open(spark):
+    """A late row has zeros; a pane given out with its batch does not see it, one still open does."""
+    minute, pane = fv.MINUTE_MS, fv.FIVE_MINUTES_MS
+    begin = START // fv.HOUR_MS * fv.HOUR_MS
+    parts = [
+        [(1, "first", "c", begin + 2 * pane, 1, "m", "e"), (2, "clock", "x", begin + 3 * pane + minute, 1, "m", "e")],
+        [(3, "late", "c", begin + pane, 10, "m", "e"), (4, "open", "c", begin + 4 * pane, 100, "m", "e")],
+        [(5, "end", "end", begin + 9 * fv.HOUR_MS, 0, "", "")],
+    ]
+    got, _ = pane_results(spark, parts, lateness="0 seconds")
+    found = {r["txn_id"]: (r["is_late"], r["txn_count_1hr"], r["amount_sum_1hr"]) for r in got.collect()}
+    assert found == {"first": (False, 1, 1), "clock": (False, 1, 1), "late": (True, 0, 0), "open": (False, 3, 111)}
+
+
 def test_sessions_open_as_in_batch(spark):
     draw = random.Random(6)
     rows = []

@@ -1,12 +1,13 @@
 """Velocity from keyed state: windows put together from five-minute panes.
 
-State is kept per card and pane, never per card. A row goes to its own pane, and what later
-windows need of it goes to the panes they end in: times and amounts to the next pane and the one
-an hour on, whose windows start inside its pane, and plain sums to those between. These are
-added up in each task before the shuffle, so a busy card sends one sum per task and pane.
+State is kept per group of cards and hour, never per card: in an hour's state, the rows of each pane
+and what windows need of them, added up per card and millisecond. A row goes to its own hour and, without
+its texts, to the next, which its windows reach; each key is then complete in itself. What arrives
+together for a pane is one value of the state, a column batch, and a pane's windows are computed for
+all cards of its group at once, so calls to the state store follow groups, panes and micro-batches, not cards or rows.
 
 When the watermark passes the end of a pane, a timer puts its windows together, gives out its
-rows and clears its state. The order in which rows arrived does not matter, so long as they come before
+rows and drops them; the last timer of an hour clears the rest. The order in which rows arrived does not matter, so long as they come before
 the watermark; a row that comes after its pane was given out is given out as late.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,126 +28,178 @@ from ..operators.velocity import LONG_COLUMNS, VELOCITY_COLUMNS
 PANE_MS = fv.FIVE_MINUTES_MS
 #: Panes that a window of an hour reaches back.
 REACH = fv.HOUR_MS // PANE_MS
-
-_OWN, _EDGE, _SUM = 0, 1, 2
-_ROUTED = (
-    "card_hash string, pane long, kind int, txn_id string, ms long, n long, amount long, merchant_id string, terminal_id string"
-)
+#: Time of one state, and groups of cards. A checkpoint holds state by both.
+BLOCK_MS, GROUPS = fv.HOUR_MS, 128
+#: Rows of one key gathered before they are put into its state.
+GATHER = 100_000
+
+_OWN, _FACTS = 0, 1
+#: Block of rows without a time; a null in a batch would turn all its blocks into floats.
+_NO_TIME = -(1 << 62)
+_ROWS = pa.schema([(c, pa.string()) for c in ("card_hash", "txn_id", "merchant_id", "terminal_id")] + [("ms", pa.int64()), ("amount", pa.int64())])
 RESULT = "card_hash string, txn_id string, ms long, " + ", ".join(
     f"{c} {'long' if c in LONG_COLUMNS else 'int'}" for c in VELOCITY_COLUMNS
 ) + ", is_late boolean"
+_COLUMNS = [field.split()[0] for field in RESULT.split(", ")]
+#: Slots of a card: the times that windows of one pane reach, and one before them.
+_SPAN = (REACH + 1) * PANE_MS + 1
+
+
+def _codes(values: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value, null among them."""
+    coded = values.combine_chunks().dictionary_encode(null_encoding="encode")
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _slots(cards: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Places on one line where each card has a stretch of its own; ``times`` from -1 (before all)."""
+    return cards * _SPAN + 1 + times
+
+
+def _distinct_so_far(cards: np.ndarray, times: np.ndarray, items: pa.ChunkedArray) -> np.ndarray:
+    """For each row, the items of its card seen up to its time; null is none."""
+    codes, known = _codes(items), items.is_valid().to_numpy()
+    pair = cards * (codes.max() + 1) + codes
+    order = np.lexsort((times, pair))
+    order = order[known[order]]
+    first = order[np.diff(pair[order], prepend=-1) != 0]
+    seen = np.sort(_slots(cards[first], times[first]))
+    before = np.searchsorted(seen, _slots(cards, np.full(len(cards), -1)), side="right")
+    return np.searchsorted(seen, _slots(cards, times), side="right") - before
+
+
+def windows(own: pa.Table, facts: pa.Table, pane: int) -> pd.DataFrame:
+    """The velocity of a pane's rows ``own`` (card_hash, txn_id, ms, merchant_id, terminal_id), given the ``facts``
+    (card_hash, ms, n, amount) of this pane and the ``REACH`` panes before."""
+    start = (pane - REACH) * PANE_MS
+    codes = _codes(pa.chunked_array([*own["card_hash"].chunks, *facts["card_hash"].chunks], pa.string()))
+    cards, at = codes[: len(own)], own["ms"].to_numpy() - start
+    times = _slots(codes[len(own) :], facts["ms"].to_numpy() - start)
+    order = np.argsort(times, kind="stable")
+    times = times[order]
+    until = np.searchsorted(times, _slots(cards, at), side="right")
+    since = {w: np.searchsorted(times, _slots(cards, at - w), side="right") for w in (fv.MINUTE_MS, PANE_MS, fv.HOUR_MS)}
+    counts, amounts = (np.concatenate(([0], np.cumsum(facts[c].to_numpy()[order]))) for c in ("n", "amount"))
+    return pd.DataFrame({
+        "card_hash": own["card_hash"].to_pandas(), "txn_id": own["txn_id"].to_pandas(), "ms": own["ms"].to_numpy(),
+        "txn_count_1min": counts[until] - counts[since[fv.MINUTE_MS]],
+        "txn_count_5min": counts[until] - counts[since[PANE_MS]],
+        "txn_count_1hr": counts[until] - counts[since[fv.HOUR_MS]],
+        "amount_sum_1min": amounts[until] - amounts[since[fv.MINUTE_MS]],
+        "amount_sum_1hr": amounts[until] - amounts[since[fv.HOUR_MS]],
+        "unique_merchants_5min": _distinct_so_far(cards, at, own["merchant_id"]),
+        "unique_terminals_5min": _distinct_so_far(cards, at, own["terminal_id"]),
+    })
 
 
-def _route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows to the panes that need them, added up per card, pane and time."""
-    for rows in batches:
-        if rows.empty:
-            continue
-        pane = rows["ms"] // PANE_MS
-        yield pd.DataFrame({
-            "card_hash": rows["card_hash"], "pane": pane, "kind": _OWN, "txn_id": rows["txn_id"], "ms": rows["ms"], "n": 1,
-            "amount": rows["amount_minor"], "merchant_id": rows["merchant_id"], "terminal_id": rows["terminal_id"],
-        })
-        facts = pd.DataFrame({"card_hash": rows["card_hash"], "pane": pane, "ms": rows["ms"], "n": 1, "amount": rows["amount_minor"]})
-        edges = facts.groupby(["card_hash", "pane", "ms"], as_index=False).sum()
-        sums = facts.groupby(["card_hash", "pane"], as_index=False)[["n", "amount"]].sum()
-        parts = [edges.assign(pane=edges["pane"] + step, kind=_EDGE) for step in (1, REACH)]
-        parts += [sums.assign(pane=sums["pane"] + step, kind=_SUM, ms=0) for step in range(2, REACH)]
-        for part in parts:
-            yield part.assign(txn_id=None, merchant_id=None, terminal_id=None)[_COLUMNS]
-
-
-_COLUMNS = [field.split()[0] for field in _ROUTED.split(", ")]
-
-
-def _so_far(times: np.ndarray, values: np.ndarray, until: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` whose sorted ``times`` are at most ``until``."""
-    running = np.concatenate(([0], np.cumsum(values)))
-    return running[np.searchsorted(times, until, side="right")]
-
-
-def _distinct_so_far(times: np.ndarray, items: pd.Series, until: np.ndarray) -> np.ndarray:
-    first = pd.Series(times).groupby(items.to_numpy()).min().sort_values().to_numpy()
-    return np.searchsorted(first, until, side="right")
-
-
-def windows(own: pd.DataFrame, edges: pd.DataFrame, n: int, amount: int) -> pd.DataFrame:
-    """The velocity of a pane's rows ``own`` (txn_id, ms, amount, merchant_id, terminal_id), given the times ``edges``
-    (ms, n, amount) of the pane before and the pane an hour back, and the sums of the panes between."""
-    times = np.concatenate([edges["ms"], own["ms"]]).astype(np.int64)
-    order = np.argsort(times, kind="stable")
-    counts = np.concatenate([edges["n"], np.ones(len(own), np.int64)]).astype(np.int64)[order]
-    amounts = np.concatenate([edges["amount"], own["amount"]]).astype(np.int64)[order]
-    times, at = times[order], own["ms"].to_numpy(np.int64)
+def _without_windows(rows: pd.DataFrame, is_late: bool) -> pd.DataFrame:
+    out = rows[["card_hash", "txn_id", "ms"]].astype({"ms": "Int64"})
+    return out.assign(**{c: 0 for c in VELOCITY_COLUMNS}, is_late=is_late)
 
-    def within(values: np.ndarray, width: int) -> np.ndarray:
-        return _so_far(times, values, at) - _so_far(times, values, at - width)
 
-    return pd.DataFrame({
-        "txn_id": own["txn_id"], "ms": at,
-        "txn_count_1min": within(counts, fv.MINUTE_MS), "txn_count_5min": within(counts, PANE_MS),
-        "txn_count_1hr": within(counts, fv.HOUR_MS) + n,
-        "amount_sum_1min": within(amounts, fv.MINUTE_MS), "amount_sum_1hr": within(amounts, fv.HOUR_MS) + amount,
-        "unique_merchants_5min": _distinct_so_far(at, own["merchant_id"], at),
-        "unique_terminals_5min": _distinct_so_far(at, own["terminal_id"], at),
-    })
+def _by_pane(table: pa.Table) -> Iterator[tuple[int, pa.Table]]:
+    panes = table["ms"].to_numpy() // PANE_MS
+    order = np.argsort(panes, kind="stable")
+    panes, table = panes[order], table.take(order)
+    cuts = [0, *(np.flatnonzero(np.diff(panes)) + 1).tolist(), len(panes)]
+    for low, high in zip(cuts, cuts[1:]):
+        if high > low:
+            yield int(panes[low]), table.slice(low, high - low)
 
 
 class PaneProcessor(StatefulProcessor):
-    """State of one card and pane: its rows, the times at the edges of their windows, the sum between."""
+    """State of a group of cards in one block of time: parts, each the rows of a pane that came together (``_OWN``)
+    or the sums per card and millisecond of a pane of this or the last block (``_FACTS``)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "txn_id string, ms long, amount long, merchant_id string, terminal_id string")
-        self.edges = handle.getListState("edges", "ms long, n long, amount long")
-        self.sums = handle.getValueState("sums", "n long, amount long")
+        # ``since``: the watermark when the part came; panes that ended before do not see it
+        self.parts = handle.getMapState("parts", "kind int, pane long, part int", "since long, data binary")
+        self.count = handle.getValueState("count", "n int")
+
+    def _put(self, kind: int, pane: int, since: int, table: pa.Table) -> None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        self.parts.updateValue((kind, pane, self.n), (since, sink.getvalue().to_pybytes()))
+        self.n += 1
+
+    def _got(self, keys: list[tuple], end: int) -> pa.Table:
+        """The parts ``keys`` that a pane until ``end`` sees."""
+        found = [self.parts.getValue(key) for key in keys]
+        return pa.concat_tables([pa.ipc.open_stream(bytes(data)).read_all() for since, data in found if since < end])
+
+    def _gathered(self, rows: list[pd.DataFrame], block: int, watermark: int) -> Iterator[pd.DataFrame]:
+        """Put ``rows`` into the state; those whose pane was given out before are late."""
+        table = pa.Table.from_pandas(pd.concat(rows), _ROWS, preserve_index=False)
+        ms = table["ms"].to_numpy()
+        own = ms // BLOCK_MS == block
+        late = own & ((ms // PANE_MS + 1) * PANE_MS <= watermark)
+        if late.any():
+            yield _without_windows(table.filter(pa.array(late)).to_pandas(), True)
+        if (block + 1) * BLOCK_MS <= watermark:
+            return
+        for pane, part in _by_pane(table.filter(pa.array(own & ~late)).drop_columns("amount")):
+            self._put(_OWN, pane, watermark, part)
+            self.handle.registerTimer((pane + 1) * PANE_MS)
+        facts = table.select(["card_hash", "ms", "amount"]).append_column("n", pa.array(np.ones(len(table), np.int64)))
+        facts = facts.group_by(["card_hash", "ms"]).aggregate([("n", "sum"), ("amount", "sum")])
+        for pane, part in _by_pane(facts.select(["card_hash", "ms", "n_sum", "amount_sum"]).rename_columns(["card_hash", "ms", "n", "amount"])):
+            self._put(_FACTS, pane, watermark, part)
+        self.handle.registerTimer((block + 1) * BLOCK_MS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        end = (key[1] + 1) * PANE_MS
-        if end <= timerValues.getCurrentWatermarkInMs():  # given out before
+        if key[1] == _NO_TIME:  # in no window
             for part in rows:
-                own = part[part["kind"] == _OWN]
-                if len(own):
-                    late = pd.DataFrame({"card_hash": key[0], "txn_id": own["txn_id"], "ms": own["ms"]})
-                    yield late.assign(**{c: 0 for c in VELOCITY_COLUMNS}, is_late=True)
+                yield _without_windows(part, False)
             return
+        block, watermark = key[1], timerValues.getCurrentWatermarkInMs()
+        before = self.n = self.count.get()[0] if self.count.exists() else 0
+        held: list[pd.DataFrame] = []
         for part in rows:
-            own, edges, sums = (part[part["kind"] == kind] for kind in (_OWN, _EDGE, _SUM))
-            if len(own):
-                self.rows.appendList(list(own[["txn_id", "ms", "amount", "merchant_id", "terminal_id"]].itertuples(index=False, name=None)))
-            if len(edges):
-                self.edges.appendList([tuple(map(int, e)) for e in edges[["ms", "n", "amount"]].itertuples(index=False, name=None)])
-            if len(sums):
-                n, amount = self.sums.get() if self.sums.exists() else (0, 0)
-                self.sums.update((n + int(sums["n"].sum()), amount + int(sums["amount"].sum())))
-        self.handle.registerTimer(end)
-        return
-        yield
+            held.append(part)
+            if sum(map(len, held)) >= GATHER:
+                yield from self._gathered(held, block, watermark)
+                held = []
+        if held:
+            yield from self._gathered(held, block, watermark)
+        if self.n > before:
+            self.count.update((self.n,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        own = pd.DataFrame(list(self.rows.get()), columns=["txn_id", "ms", "amount", "merchant_id", "terminal_id"])
-        if len(own):
-            edges = pd.DataFrame(list(self.edges.get()), columns=["ms", "n", "amount"])
-            n, amount = self.sums.get() if self.sums.exists() else (0, 0)
-            yield windows(own, edges, n, amount).assign(card_hash=key[0], is_late=False)[[f.split()[0] for f in RESULT.split(", ")]]
-        for state in (self.rows, self.edges, self.sums):
-            state.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        keys = [tuple(k) for k in self.parts.keys()]
+        for pane in sorted({p for kind, p, _ in keys if kind == _OWN and (p + 1) * PANE_MS <= now}):
+            end, mine = (pane + 1) * PANE_MS, [k for k in keys if k[0] == _OWN and k[1] == pane]
+            facts = self._got([k for k in keys if k[0] == _FACTS and pane - REACH <= k[1] <= pane], end)
+            yield windows(self._got(mine, end), facts, pane).assign(is_late=False)[_COLUMNS]
+            for k in mine:
+                self.parts.removeKey(k)
+        if now >= (key[1] + 1) * BLOCK_MS:
+            self.parts.clear()
+            self.count.clear()
 
     def close(self) -> None:
         pass
 
 
-def pane_velocity(txns: DataFrame, ts: str = "clock", lateness: str = "1 hour") -> DataFrame:
+def pane_velocity(txns: DataFrame, ts: str = "clock", lateness: str = "1 hour", groups: int = GROUPS) -> DataFrame:
     """``txns`` (card_hash, txn_id, ms, amount_minor, merchant_id, terminal_id and the event time ``ts``), a stream, as
     rows (card_hash, txn_id, ms, velocity columns, is_late), given out once the watermark has passed their pane.
 
-    Late rows have zeros for velocity and changed no other row's. Needs the RocksDB state store.
+    Late rows, and at once rows without ``ms``, have zeros for velocity. Late rows
+    changed no row given out. Needs the RocksDB state store; a checkpoint keeps its number of ``groups``.
     """
-    rows = txns.withWatermark(ts, lateness).select(
-        ts, "card_hash", "txn_id", "ms", F.col("amount_minor").cast("long").alias("amount_minor"), "merchant_id", "terminal_id"
-    )
+    own = F.expr(f"ms div {BLOCK_MS}")
+    last = F.expr(f"(ms + {fv.HOUR_MS - 1}) div {BLOCK_MS}")
+    blocks = F.explode(F.coalesce(F.sequence(own, last), F.array(F.lit(_NO_TIME)))).alias("block")
+    here = F.col("ms").isNull() | (F.col("block") == own)
     return (
-        rows.mapInPandas(_route, _ROUTED)
-        .groupBy("card_hash", "pane")
+        txns.withWatermark(ts, lateness)
+        .select("card_hash", "txn_id", "ms", F.coalesce(F.col("amount_minor").cast("long"), F.lit(0)).alias("amount"), "merchant_id", "terminal_id", blocks)
+        .withColumns({c: F.when(here, F.col(c)) for c in ("txn_id", "merchant_id", "terminal_id")})
+        .withColumn("group", F.pmod(F.xxhash64("card_hash"), F.lit(groups)).cast("int"))
+        .groupBy("group", "block")
         .transformWithStateInPandas(PaneProcessor(), RESULT, outputMode="append", timeMode="eventTime")
     )
