@@ -115,6 +115,20 @@ def test_idempotency_equals_brute_force(spark, seed):
     assert {r["txn_id"] for r in firsts} == set(expected.values())
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_idempotency_over_many_spans_of_hours(spark, seed):
+    """Requests years long, before 1970 too: windows over hours run per key and span, and no hour goes by its key alone."""
+    rnd = random.Random(seed)
+    span = dedup.SPAN * 25 * fv.HOUR_MS
+    rows = []
+    for n in range(400):
+        # about the edges of spans, close together and far apart
+        ms = rnd.randrange(-4, 6) * span + rnd.choice([rnd.randrange(-2 * fv.DAY_MS, 2 * fv.DAY_MS), rnd.randrange(span)])
+        rows.append(("busy" if n % 2 else f"k{n % 3}", ms // 60_000 * 60_000, f"t{n:05d}"))
+    df = spark.createDataFrame(rows, "idempotency_key string, ms long, txn_id string")
+    assert {r["txn_id"]: r["original_txn_id"] for r in dedup.with_original(df).collect()} == brute_originals(rows, fv.DAY_MS)
+
+
 def test_idempotency_edge(spark):
     t = 1_700_000_000_000
     rows = [("k", t, "a"), ("k", t, "b"), ("k", t + 86399999, "c"), ("k", t + 86400000, "d"), ("k", t + 86400001, "e"),

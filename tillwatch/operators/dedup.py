@@ -7,7 +7,8 @@ original. That is a chain per key, and originals are at least 24 hours apart.
   chain runs on rows aggregated to that grain, without payload.
 * The successor of a stamp is the key's first stamp 24 hours later or more. It is
   looked for among the stamps of one hour, a window bounded by its milliseconds, and
-  otherwise is the first stamp of the key's next hour that has any.
+  otherwise is the first stamp of the key's next hour that has any. Hours further off than 24
+  do not matter, as chains begin anew there, so hours are looked through in spans of some weeks.
 * A stamp with none in the 24 hours before it is an original whatever came earlier,
   so chains begin anew there, and no link to it is followed.
 * In between, chains are followed by doubling: successors, successors of successors,
@@ -27,21 +28,40 @@ from ..functions import fixed_values as fv
 from .storage import union_of, written
 
 BLOCK_MS = fv.HOUR_MS
+#: Times the hours that a request reaches, which make a span of hours.
+SPAN = 32
 
 
 def _block(ms: Column) -> Column:
     return F.call_function("div", ms, F.lit(BLOCK_MS))
 
 
-def _beside(hours: DataFrame, **carried: tuple[str, bool]) -> DataFrame:
-    """(idempotency_key, block) of ``hours`` with what the key's other hours hold. ``carried`` names columns:
-    the least of a column over later hours (name=(column, True)), or the greatest over earlier ones."""
-    by_hour = Window.partitionBy("idempotency_key")
+def _beside(hours: DataFrame, ttl_ms: int, **carried: tuple[str, bool]) -> DataFrame:
+    """(idempotency_key, block) of ``hours`` with what the key's other hours hold, all within ``ttl_ms`` among them.
+    ``carried`` names columns: the least of a column over later hours (name=(column, True)), or the greatest over earlier ones.
+
+    Windows run per key and span of hours; a span sees the next ones to either side as one row each.
+    """
+    span = F.lit(SPAN * (ttl_ms // BLOCK_MS + 1))
+    rows = hours.select(
+        "idempotency_key", F.col("block").alias("hour"), F.call_function("div", F.col("block"), span).alias("block"),
+        *[F.col(c).alias(n) for n, (c, _) in carried.items()],
+    )
+    whole = rows.groupBy("idempotency_key", "block").agg(*[(F.min(n) if after else F.max(n)).alias(n) for n, (_, after) in carried.items()])
+
+    def sent(step: int, wanted: bool) -> DataFrame:
+        held = [F.when(F.lit(after == wanted), F.col(n)).alias(n) for n, (_, after) in carried.items()]
+        return whole.select("idempotency_key", F.lit(None).cast("long").alias("hour"), (F.col("block") + step).alias("block"), *held)
+
+    sides = {after for _, after in carried.values()}
+    known = union_of([rows, *[sent(-1 if after else 1, after) for after in sorted(sides)]])
+    by_span = Window.partitionBy("idempotency_key", "block")
     # both frames only ever grow
-    later = by_hour.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = by_hour.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    values = [(F.min(c).over(later) if after else F.max(c).over(earlier)).alias(n) for n, (c, after) in carried.items()]
-    return hours.select("idempotency_key", "block", *values)
+    later = by_span.orderBy(F.desc_nulls_first("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_span.orderBy(F.asc_nulls_first("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    values = {n: F.min(n).over(later) if after else F.max(n).over(earlier) for n, (_, after) in carried.items()}
+    found = known.select("idempotency_key", F.col("hour").alias("block"), *[v.alias(n) for n, v in values.items()])
+    return found.filter("block IS NOT NULL")
 
 
 def links(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
@@ -51,7 +71,7 @@ def links(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
     known = stamps.select("idempotency_key", F.col("ms").alias("at"), F.col("ms").alias("stamp"))
     rows = asked.unionByName(known).withColumn("block", _block(F.col("at")))
     hours = rows.groupBy("idempotency_key", "block").agg(F.min("stamp").alias("first"), F.max("stamp").alias("last"))
-    hours = _beside(hours, next_hour=("first", True), hour_before=("last", False))
+    hours = _beside(hours, ttl_ms, next_hour=("first", True), hour_before=("last", False))
     # from the last row on, a stamp before a question for its own time
     by_time = Window.partitionBy("idempotency_key", "block").orderBy(F.desc("at"), F.desc_nulls_last("stamp"))
     ahead = F.min("stamp").over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -101,7 +121,7 @@ def _stamps_with_origin(stamps: DataFrame, ttl_ms: int) -> DataFrame:
     rows = named.select("idempotency_key", "ms", origin.alias("origin"), _block(F.col("ms")).alias("block"))
     rows = written(rows, "origins")
     hours = rows.groupBy("idempotency_key", "block").agg(F.max("origin").alias("last"))
-    hours = _beside(hours, hour_before=("last", False))
+    hours = _beside(hours, ttl_ms, hour_before=("last", False))
     by_time = Window.partitionBy("idempotency_key", "block").orderBy("ms")
     so_far = F.max("origin").over(by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = rows.withColumn("so_far", so_far).join(hours, ["idempotency_key", "block"])
