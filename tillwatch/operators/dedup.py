@@ -40,28 +40,23 @@ def _beside(hours: DataFrame, ttl_ms: int, **carried: tuple[str, bool]) -> DataF
     """(idempotency_key, block) of ``hours`` with what the key's other hours hold, all within ``ttl_ms`` among them.
     ``carried`` names columns: the least of a column over later hours (name=(column, True)), or the greatest over earlier ones.
 
-    Windows run per key and span of hours; a span sees the next ones to either side as one row each.
+    Windows run per key and span of hours; the hours near an edge also go to the span beyond it.
     """
-    span = F.lit(SPAN * (ttl_ms // BLOCK_MS + 1))
-    rows = hours.select(
-        "idempotency_key", F.col("block").alias("hour"), F.call_function("div", F.col("block"), span).alias("block"),
-        *[F.col(c).alias(n) for n, (c, _) in carried.items()],
-    )
-    whole = rows.groupBy("idempotency_key", "block").agg(*[(F.min(n) if after else F.max(n)).alias(n) for n, (_, after) in carried.items()])
+    reach = ttl_ms // BLOCK_MS + 1
+    hour = F.col("hour")
 
-    def sent(step: int, wanted: bool) -> DataFrame:
-        held = [F.when(F.lit(after == wanted), F.col(n)).alias(n) for n, (_, after) in carried.items()]
-        return whole.select("idempotency_key", F.lit(None).cast("long").alias("hour"), (F.col("block") + step).alias("block"), *held)
+    def span(shift: int = 0) -> Column:
+        return F.call_function("div", hour + shift, F.lit(SPAN * reach))
 
-    sides = {after for _, after in carried.values()}
-    known = union_of([rows, *[sent(-1 if after else 1, after) for after in sorted(sides)]])
+    rows = hours.withColumnRenamed("block", "hour")
+    near = [rows.filter(span(shift) != span()).withColumn("block", span(shift)) for shift in (reach, -reach)]
+    known = union_of([rows.withColumn("block", span()), *near])
     by_span = Window.partitionBy("idempotency_key", "block")
     # both frames only ever grow
-    later = by_span.orderBy(F.desc_nulls_first("hour")).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = by_span.orderBy(F.asc_nulls_first("hour")).rowsBetween(Window.unboundedPreceding, -1)
-    values = {n: F.min(n).over(later) if after else F.max(n).over(earlier) for n, (_, after) in carried.items()}
-    found = known.select("idempotency_key", F.col("hour").alias("block"), *[v.alias(n) for n, v in values.items()])
-    return found.filter("block IS NOT NULL")
+    later = by_span.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_span.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    found = known.withColumns({n: F.min(c).over(later) if after else F.max(c).over(earlier) for n, (c, after) in carried.items()})
+    return found.filter(F.col("block") == span()).select("idempotency_key", hour.alias("block"), *carried)
 
 
 def links(stamps: DataFrame, ttl_ms: int = fv.DAY_MS) -> DataFrame:
